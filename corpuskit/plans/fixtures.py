@@ -305,4 +305,4 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def duckdb_sql(main: str, extra: dict[str, str] | None = None) -> str:
     """A complete DuckDB statement for ``main`` over the derived views."""
-    return with_clause(main, "duckdb", extra) + main
+    return with_clause(main, "duckdb", extra).replace("WITH ", "WITH RECURSIVE ", 1) + main
