@@ -95,14 +95,14 @@ def host_report(metrics: DataFrame, hosts: DataFrame, as_of: Column) -> DataFram
 
     ``hosts`` has one row per host. ``overall`` repeats the worst severity of the report on each row.
     """
-    latest = metrics.filter(F.col("at") <= as_of).groupBy("host").agg(
-        F.max_by(F.struct("at", "mem_pct", "swap_pct", "load1", "cpus"), "at").alias("m")
+    latest = metrics.filter(F.col("seen_at") <= as_of).groupBy("host").agg(
+        F.max_by(F.struct("seen_at", "mem_pct", "swap_pct", "load1", "cpus"), "seen_at").alias("m")
     )
-    aged = latest.select("host", "m.*", (_seconds(as_of) - _seconds(F.col("m.at"))).alias("age"))
+    aged = latest.select("host", "m.*", (_seconds(as_of) - _seconds(F.col("m.seen_at"))).alias("age"))
     alive = classify_host(aged.filter(F.col("age") < HEARTBEAT_TTL_S))
     report = hosts.join(alive, "host", "left").select(
         "host",
-        F.col("at").isNotNull().alias("online"),
+        F.col("seen_at").isNotNull().alias("online"),
         F.bround("age").cast("bigint").alias("age_s"),
         F.coalesce("severity", F.lit("warn")).alias("severity"),
         F.coalesce("reasons", F.array(F.lit(NO_HEARTBEAT))).alias("reasons"),
@@ -130,7 +130,7 @@ def liveness_sessions(beats: DataFrame, ttl: int = HEARTBEAT_TTL_S) -> DataFrame
     Beats in one slot of ``ttl`` seconds always belong together, so each slot is reduced to its first
     and last beat before anything is sorted; a chatty host costs one row per slot.
     """
-    at_us = F.unix_micros(F.col("at").cast("timestamp"))
+    at_us = F.unix_micros(F.col("seen_at").cast("timestamp"))
     span = ttl * 1_000_000
     slots = beats.groupBy("host", F.floor(at_us / F.lit(span)).alias("slot")).agg(
         F.min(at_us).alias("first_us"), F.max(at_us).alias("last_us"), F.count(F.lit(1)).alias("beats")
@@ -168,13 +168,13 @@ def tail_logs(logs: DataFrame, source: str, n: int = 200) -> DataFrame:
     """The last ``n`` lines of a source, oldest first."""
     if not 10 <= n <= 1000:
         raise ValueError("n must lie between 10 and 1000")
-    newest = logs.filter(F.col("source") == source).orderBy(F.desc("at"), F.desc("id")).limit(n)
-    return newest.orderBy("at", "id")
+    newest = logs.filter(F.col("source") == source).orderBy(F.desc("seen_at"), F.desc("id")).limit(n)
+    return newest.orderBy("seen_at", "id")
 
 
 def cap_log(logs: DataFrame, n: int = LOG_KEEP) -> DataFrame:
     """The newest ``n`` lines of every source."""
-    return newest_per_group(logs, "source", [F.desc("at"), F.desc("id")], n)
+    return newest_per_group(logs, "source", [F.desc("seen_at"), F.desc("id")], n)
 
 
 def queue_depth(items: DataFrame, queues: Sequence[str] = QUEUES) -> DataFrame:

@@ -152,10 +152,10 @@ VIEWS: dict[str, str] = {
                ts AS created_at
         FROM events""",
     "host_metrics": """
-        SELECT 'h' || CAST(user_id % 5 AS STRING) AS host, ts AS at, value % 100 AS mem_pct,
+        SELECT 'h' || CAST(user_id % 5 AS STRING) AS host, ts AS seen_at, value % 100 AS mem_pct,
                (value * 3) % 100 AS swap_pct, value % 8 AS load1, CAST(1 + user_id % 4 AS INT) AS cpus
         FROM events""",
-    "beats": "SELECT 'host-' || CAST(user_id % 40 AS STRING) AS host, ts AS at FROM events",
+    "beats": "SELECT 'host-' || CAST(user_id % 40 AS STRING) AS host, ts AS seen_at FROM events",
     "ab_tests": """
         SELECT s_suppkey AS id, s_name AS title, 'Clip of ' || s_name AS description, s_suppkey % 4 <> 0 AS published,
                s_acctbal AS created_at
@@ -193,7 +193,7 @@ VIEWS: dict[str, str] = {
         SELECT 'audio-archive/' || CAST(book_id AS STRING) || '/T0/' || lpad(CAST(seg_order AS STRING), 4, '0') || '.mp3'
         FROM segments""",
     "log_lines": """
-        SELECT event_id AS id, ts AS at, CASE WHEN user_id % 2 = 0 THEN 'web' ELSE 'worker' END AS source,
+        SELECT event_id AS id, ts AS seen_at, CASE WHEN user_id % 2 = 0 THEN 'web' ELSE 'worker' END AS source,
                {iso_ts} || CASE event_type WHEN 'error' THEN ' ERROR' WHEN 'signup' THEN ' WARNING' ELSE ' INFO' END
                  || ' app.' || event_type || ': user ' || CAST(user_id AS STRING) || ' sent: ' || props AS line
         FROM events""",

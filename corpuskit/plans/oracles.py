@@ -338,20 +338,22 @@ EXTRA: dict[str, str] = {
         FROM asked a JOIN books b ON a.book_id = b.id""",
     "planned": "SELECT book_id, id AS segment_id, seg_order, CASE status WHEN 'processing' THEN 'pending' ELSE status END AS status FROM segments WHERE status <> 'ready'",
     "classified": """
-        SELECT host, at, CASE WHEN mem_pct >= 92 OR swap_pct >= 80 OR per_cpu >= 3.0 THEN 'critical'
+        SELECT host, seen_at, CASE WHEN mem_pct >= 92 OR swap_pct >= 80 OR per_cpu >= 3.0 THEN 'critical'
                               WHEN mem_pct >= 80 OR swap_pct >= 50 OR per_cpu >= 1.5 THEN 'warn' ELSE 'ok' END AS severity,
                list_filter([CASE WHEN mem_pct >= 80 THEN 'memory at ' || CAST(mem_pct AS VARCHAR) || '%' END,
                             CASE WHEN swap_pct >= 50 THEN 'swap at ' || CAST(swap_pct AS VARCHAR) || '%' END,
                             CASE WHEN per_cpu >= 1.5 THEN 'load ' || CAST(per_cpu AS VARCHAR) || 'x per cpu' END],
                            lambda r: r IS NOT NULL) AS reasons
-        FROM (SELECT *, round_even(load1 / cpus, 2) AS per_cpu FROM host_metrics) loaded""",
-    "latest_hosts": "SELECT * FROM classified QUALIFY row_number() OVER (PARTITION BY host ORDER BY at DESC) = 1",
+        FROM (SELECT *, CAST(f + CASE WHEN d - f > 0.5 OR (d - f = 0.5 AND f % 2 = 1) THEN 1 ELSE 0 END AS DOUBLE) / 100 AS per_cpu
+              FROM (SELECT *, floor(d) AS f FROM (
+                SELECT *, CAST(CAST(load1 / cpus AS VARCHAR) AS DECIMAL(20, 17)) * 100 AS d FROM host_metrics) hundredths) floored) loaded""",
+    "latest_hosts": "SELECT * FROM classified QUALIFY row_number() OVER (PARTITION BY host ORDER BY seen_at DESC) = 1",
     "islands": """
-        SELECT host, at, sum(opens) OVER (PARTITION BY host ORDER BY at) AS session
-        FROM (SELECT host, at, CASE WHEN at - lag(at) OVER (PARTITION BY host ORDER BY at) <= INTERVAL 120 SECOND THEN 0 ELSE 1 END
+        SELECT host, seen_at, sum(opens) OVER (PARTITION BY host ORDER BY seen_at) AS session
+        FROM (SELECT host, seen_at, CASE WHEN seen_at - lag(seen_at) OVER (PARTITION BY host ORDER BY seen_at) <= INTERVAL 120 SECOND THEN 0 ELSE 1 END
                 AS opens FROM beats) marked""",
     "alive": """
-        SELECT host, min(at) AS alive_from, max(at) + INTERVAL 120 SECOND AS alive_until, count(*) AS beats
+        SELECT host, min(seen_at) AS alive_from, max(seen_at) + INTERVAL 120 SECOND AS alive_until, count(*) AS beats
         FROM islands GROUP BY host, session""",
     "good_votes": """
         SELECT v.* FROM ab_votes v JOIN ab_tests t ON v.ab_test_id = t.id AND t.published WHERE choice = 'no_diff'
@@ -593,9 +595,9 @@ ORACLES: dict[str, str] = {
               LEFT JOIN (SELECT book_id, nullif(count(*) FILTER (WHERE status = 'ready'), 0) AS n_ready FROM segments GROUP BY book_id) r
                 ON r.book_id = p.book_id) x""",
     "resume_position": """
-        SELECT user_id, p.book_id, CASE WHEN valid THEN at ELSE 0 END AS idx, CASE WHEN valid THEN coalesce(t, 0.0) ELSE 0.0 END AS t
-        FROM (SELECT *, coalesce(at >= 0 AND at < n_ready, false) AS valid
-              FROM (SELECT user_id, book_id, t, TRY_CAST(seg_idx AS INT) AS at FROM progress
+        SELECT user_id, p.book_id, CASE WHEN valid THEN saved ELSE 0 END AS idx, CASE WHEN valid THEN coalesce(t, 0.0) ELSE 0.0 END AS t
+        FROM (SELECT *, coalesce(saved >= 0 AND saved < n_ready, false) AS valid
+              FROM (SELECT user_id, book_id, t, TRY_CAST(seg_idx AS INT) AS saved FROM progress
                     QUALIFY row_number() OVER (PARTITION BY user_id, book_id ORDER BY updated DESC, id DESC) = 1) q
               LEFT JOIN (SELECT book_id AS b, count(*) FILTER (WHERE status = 'ready') AS n_ready FROM segments GROUP BY book_id) r
                 ON r.b = q.book_id) p""",
@@ -675,7 +677,7 @@ ORACLES: dict[str, str] = {
         FROM inventory JOIN decided ON split_part(key, '/', 2) = CAST(book_id AS VARCHAR) WHERE accepted AND split_part(key, '/', 1) = 'audio'""",
     # monitoring
     "record_events": """
-        SELECT id, book_id, level, length(m) AS message_chars, md5(m) AS message_md5, least(length(nullif(traceback, '')), 16000) AS traceback_chars
+        SELECT id, book_id, level, length(m) AS message_chars, md5(m) AS message_md5, length(substr(nullif(traceback, ''), 1, 16000)) AS traceback_chars
         FROM (SELECT *, substr(coalesce(message, ''), 1, 4000) AS m FROM pipeline_events) e""",
     "recent_events": """
         SELECT e.id, book_id, title AS book_title, task, level, e.created_at FROM pipeline_events e LEFT JOIN books b ON b.id = book_id
@@ -683,18 +685,18 @@ ORACLES: dict[str, str] = {
     "errors_only": """
         SELECT id, book_title, level FROM (SELECT e.id, title AS book_title, level FROM pipeline_events e LEFT JOIN books b ON b.id = book_id
           ORDER BY e.created_at DESC, e.id DESC LIMIT 100) r WHERE level = 'error'""",
-    "classify_host": "SELECT host, at, severity, array_to_string(reasons, '|') AS reasons FROM classified",
+    "classify_host": "SELECT host, seen_at, severity, array_to_string(reasons, '|') AS reasons FROM classified",
     "host_report": """
         SELECT *, CASE max(CASE severity WHEN 'critical' THEN 2 WHEN 'warn' THEN 1 ELSE 0 END) OVER () WHEN 2 THEN 'critical' WHEN 1 THEN 'warn'
                ELSE 'ok' END AS overall
         FROM (SELECT h.host, l.host IS NOT NULL AS online, CAST(round_even(age, 0) AS BIGINT) AS age_s, coalesce(severity, 'warn') AS severity,
                      coalesce(array_to_string(reasons, '|'), 'no heartbeat in the last 2 minutes') AS reasons
               FROM (SELECT DISTINCT host FROM host_metrics UNION ALL SELECT 'idle-' || CAST(r_regionkey AS VARCHAR) FROM region) h
-              LEFT JOIN (SELECT *, epoch((SELECT max(at) FROM host_metrics)) - epoch(at) AS age FROM latest_hosts) l
+              LEFT JOIN (SELECT *, epoch((SELECT max(seen_at) FROM host_metrics)) - epoch(seen_at) AS age FROM latest_hosts) l
                 ON l.host = h.host AND age < 120) r""",
     "critical_banner": """
-        SELECT host || '@' || strftime(at, '%Y-%m-%d %H:%M:%S.%f') AS host,
-               host || '@' || strftime(at, '%Y-%m-%d %H:%M:%S.%f') || ': ' || array_to_string(reasons, ', ') AS banner
+        SELECT host || '@' || CAST(epoch_us(seen_at) AS VARCHAR) AS host,
+               host || '@' || CAST(epoch_us(seen_at) AS VARCHAR) || ': ' || array_to_string(reasons, ', ') AS banner
         FROM classified WHERE severity = 'critical'""",
     "join_banner": """
         SELECT string_agg(host || ': ' || array_to_string(reasons, ', '), ' · ' ORDER BY host) AS banner FROM latest_hosts
@@ -706,8 +708,8 @@ ORACLES: dict[str, str] = {
     "parse_log": """
         SELECT event_id AS id, strftime(ts, '%Y-%m-%d %H:%M:%S,%g') AS ts, CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARNING' ELSE 'INFO' END AS level,
                'app.' || event_type AS logger, 'user ' || CAST(user_id AS VARCHAR) || ' sent: ' || props AS message FROM events""",
-    "tail_logs": "SELECT id, line FROM log_lines WHERE source = 'worker' ORDER BY at DESC, id DESC LIMIT 200",
-    "cap_log": "SELECT id, source FROM log_lines QUALIFY row_number() OVER (PARTITION BY source ORDER BY at DESC, id DESC) <= 1000",
+    "tail_logs": "SELECT id, line FROM log_lines WHERE source = 'worker' ORDER BY seen_at DESC, id DESC LIMIT 200",
+    "cap_log": "SELECT id, source FROM log_lines QUALIFY row_number() OVER (PARTITION BY source ORDER BY seen_at DESC, id DESC) <= 1000",
     "queue_depth": """
         SELECT coalesce(queue, 'total') AS queue, sum(n)::BIGINT AS n
         FROM (SELECT q.queue, count(i.id) AS n FROM (SELECT unnest(['synth', 'ingest', 'celery', 'synth_el', 'unused']) AS queue) q
@@ -730,7 +732,7 @@ ORACLES: dict[str, str] = {
         FROM (SELECT event_id, CAST(floor({_UP} + 0.5) AS BIGINT) AS n FROM events) e""",
     "failure_fallback": """
         SELECT id, CASE id % 5 WHEN 0 THEN NULL WHEN 1 THEN NULL ELSE book_id END AS book_id, coalesce(task, 'unknown') AS task, 'error' AS level,
-               coalesce(substr(message, 1, 20), 'Task failed') AS message, least(length(nullif(traceback, '')), 16000) AS traceback
+               coalesce(substr(message, 1, 20), 'Task failed') AS message, length(substr(nullif(traceback, ''), 1, 16000)) AS traceback
         FROM pipeline_events""",
     # votes
     "valid_votes": "SELECT * FROM good_votes",
@@ -767,8 +769,8 @@ ORACLES: dict[str, str] = {
     "stream_event_ingest": """
         SELECT event_id AS id, event_type AS task, least(4000, length(props) * (1 + event_id % 600)) AS message_chars, true AS no_trace FROM events""",
     "stream_heartbeats": """
-        SELECT 'host-' || CAST(user_id % 40 AS VARCHAR) AS host, max(ts) AS at, arg_max(value, ts) AS value FROM events GROUP BY 1""",
-    "stream_liveness": "SELECT * FROM alive WHERE alive_until <= (SELECT max(at) FROM beats) - INTERVAL 120 SECOND",
+        SELECT 'host-' || CAST(user_id % 40 AS VARCHAR) AS host, max(ts) AS seen_at, arg_max(value, ts) AS value FROM events GROUP BY 1""",
+    "stream_liveness": "SELECT * FROM alive WHERE alive_until <= (SELECT max(seen_at) FROM beats) - INTERVAL 120 SECOND",
     "stream_segment_ingest": "SELECT user_id AS book_id, event_id AS seg_order, event_type AS status FROM events",
     "stream_vote_upsert": """
         SELECT event_id % 117 AS ab_test_id, user_id % 20 AS user_id,
@@ -779,7 +781,7 @@ ORACLES: dict[str, str] = {
         FROM (SELECT *, event_id * 7 % 50 AS book_id FROM events) e
         QUALIFY row_number() OVER (PARTITION BY user_id, book_id ORDER BY ts DESC, event_id DESC) = 1 AND event_id % 41 <> 0""",
     "stream_capped_log": """
-        SELECT event_id AS id, event_type AS source, ts AS at FROM events
+        SELECT event_id AS id, event_type AS source, ts AS seen_at FROM events
         QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 1000""",
 }
 ORACLES["stream_status_poll"] = ORACLES["status_summary"]
@@ -787,7 +789,31 @@ ORACLES["stream_status_poll"] = ORACLES["status_summary"]
 _FROM_SPANS = {**EXTRA, "bt_banner": f"SELECT doc_id, page_count, {_banners('text')} AS text FROM doc_texts"}
 
 
+# Column types of the Spark results where DuckDB's own arithmetic yields a wider one.
+_REPORT = dict.fromkeys(("segments", "chapters", "min", "max", "flagged"), "INT") | dict.fromkeys(
+    ("total", "mean", "per_page"), "BIGINT"
+)
+_LINE, _POS = {"line_no": "INT"}, {"pos": "INT"}
+_TYPES: dict[str, dict[str, str]] = {
+    "copy_table": {"chars": "BIGINT"}, "write_segments": {"chars": "INT"}, "write_report": _REPORT,
+    "extract_report": _REPORT, "doc_text": {"page_count": "INT"}, "is_prose_line": _LINE, "smart_titlecase": _LINE,
+    "chapter_number": _LINE, "heading_candidates": _LINE, "body_gap": {"gap": "INT", **_LINE}, "filter_by_gap": _LINE,
+    "dedup_headings": _LINE, "longest_increasing_run": _LINE, "clean_title": _LINE,
+    "segment_chapters": {"region_no": "INT"}, "split_sentences": _POS, "split_oversized": _POS, "pack_chunks": _POS,
+    "review_summary": {"chars": "BIGINT"}, "parse_metadata": {"year": "INT"}, "render_grid": {"take": "INT"},
+    "stream_event_ingest": {"message_chars": "INT"}, "failure_fallback": {"traceback": "INT"},
+    "record_events": {"message_chars": "INT", "traceback_chars": "INT"},
+    **dict.fromkeys(("emit_chunks", "prepare_corpus", "prepare_from_spans", "polish_guard", "apply_polish"), {"seg_order": "INT"}),
+}
+
+
+def _typed(name: str, sql: str) -> str:
+    casts = ", ".join(f'CAST("{col}" AS {kind}) AS "{col}"' for col, kind in _TYPES.get(name, {}).items())
+    return f"SELECT * REPLACE ({casts}) FROM ({sql}) typed" if casts else sql
+
+
 def oracle_sql() -> dict[str, str]:
-    out = {name: duckdb_sql(sql, EXTRA) for name, sql in ORACLES.items()}
-    out["prepare_from_spans"] = duckdb_sql("SELECT doc_id, seg_order, chapter_title, text FROM chunk_rows", _FROM_SPANS)
+    out = {name: duckdb_sql(_typed(name, sql), EXTRA) for name, sql in ORACLES.items()}
+    name, sql = "prepare_from_spans", "SELECT doc_id, seg_order, chapter_title, text FROM chunk_rows"
+    out[name] = duckdb_sql(_typed(name, sql), _FROM_SPANS)
     return out

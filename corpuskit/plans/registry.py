@@ -733,7 +733,7 @@ def errors_only(v):
 
 @query
 def classify_host(v):
-    return flags_text(monitor.classify_host(v("host_metrics"))).select("host", "at", "severity", "reasons")
+    return flags_text(monitor.classify_host(v("host_metrics"))).select("host", "seen_at", "severity", "reasons")
 
 
 def _report(v) -> DataFrame:
@@ -741,7 +741,7 @@ def _report(v) -> DataFrame:
     hosts = metrics.select("host").distinct().unionByName(
         v("region").select(F.concat(F.lit("idle-"), F.col("r_regionkey").cast("string")).alias("host"))
     )
-    return monitor.host_report(metrics, hosts, metrics.agg(F.max("at")).scalar())
+    return monitor.host_report(metrics, hosts, metrics.agg(F.max("seen_at")).scalar())
 
 
 @query
@@ -751,7 +751,7 @@ def host_report(v):
 
 def _each_as_report(v) -> DataFrame:
     """Every snapshot as a host of its own, to have critical ones at any scale."""
-    metrics = v("host_metrics").withColumn("host", F.concat_ws("@", "host", F.col("at").cast("string")))
+    metrics = v("host_metrics").withColumn("host", F.concat_ws("@", "host", F.unix_micros(_instant("seen_at")).cast("string")))
     return monitor.classify_host(metrics)
 
 
@@ -978,14 +978,14 @@ def stream_event_ingest(events, sink, checkpoint, v):
 
 def _beats(events: DataFrame) -> DataFrame:
     return events.select(
-        F.concat(F.lit("host-"), (F.col("user_id") % 40).cast("string")).alias("host"), _instant("ts").alias("at"), "value"
+        F.concat(F.lit("host-"), (F.col("user_id") % 40).cast("string")).alias("host"), _instant("ts").alias("seen_at"), "value"
     )
 
 
 @stream_query
 def stream_heartbeats(events, sink, checkpoint, v):
     table = _drain(jobs.start_heartbeats(_beats(events), sink, checkpoint), sink)
-    return table.select("host", F.col("at").cast("timestamp_ntz").alias("at"), "value")
+    return table.select("host", F.col("seen_at").cast("timestamp_ntz").alias("seen_at"), "value")
 
 
 @stream_query
@@ -1037,9 +1037,9 @@ def stream_progress_upsert(events, sink, checkpoint, v):
 @stream_query
 def stream_capped_log(events, sink, checkpoint, v):
     rows = events.select(
-        F.col("event_id").alias("id"), F.col("ts").alias("at"), F.col("event_type").alias("source"), F.col("props").alias("line")
+        F.col("event_id").alias("id"), F.col("ts").alias("seen_at"), F.col("event_type").alias("source"), F.col("props").alias("line")
     )
-    return _drain(jobs.start_capped_log(rows, sink, checkpoint), sink).select("id", "source", "at")
+    return _drain(jobs.start_capped_log(rows, sink, checkpoint), sink).select("id", "source", "seen_at")
 
 
 @stream_query

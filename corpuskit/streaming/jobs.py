@@ -56,7 +56,7 @@ def start_event_ingest(stream: DataFrame, sink: str, checkpoint: str, every: str
 
 def latest_per_host(beats: DataFrame) -> DataFrame:
     values = [c for c in beats.columns if c != "host"]
-    return beats.groupBy("host").agg(F.max_by(F.struct(*values), "at").alias("m")).select("host", "m.*")
+    return beats.groupBy("host").agg(F.max_by(F.struct(*values), "seen_at").alias("m")).select("host", "m.*")
 
 
 def start_heartbeats(stream: DataFrame, sink: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
@@ -80,8 +80,8 @@ def start_liveness(
     """
     stream.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     sessions = (
-        stream.withWatermark("at", LATE_BEATS)
-        .groupBy("host", F.session_window("at", f"{ttl} seconds").alias("alive"))
+        stream.withWatermark("seen_at", LATE_BEATS)
+        .groupBy("host", F.session_window("seen_at", f"{ttl} seconds").alias("alive"))
         .agg(F.count(F.lit(1)).alias("beats"))
         .select("host", F.col("alive.start").alias("alive_from"), F.col("alive.end").alias("alive_until"), "beats")
     )
