@@ -10,17 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .base import WS, let, none_if_empty, strip
+from .base import SP, let, none_if_empty, strip
 from .text import chapter_number, clean_title
 
 # --- fixed values ---------------------------------------------------------------------------
 MIN_CHAPTER_CHARS = 600
 GAP_LINE_CHARS = 60
 HEADING = (
-    rf"(?iU)^(?:(chapter|book|part|section|letter|essay|canto)[{WS}]+([0-9]+|[ivxlcdm]+)\b"
-    rf"|(federalist)[{WS}]+no\.?[{WS}]*([0-9]+)\b)"
+    rf"(?iU)^(?:(chapter|book|part|section|letter|essay|canto){SP}+([0-9]+|[ivxlcdm]+)\b"
+    rf"|(federalist){SP}+no\.?{SP}*([0-9]+)\b)"
 )
-LONE_KEYWORD = rf"(?i)^(?:chapter|book|part|section|letter|essay|canto|federalist)[{WS}]*[.:]?\z"
+LONE_KEYWORD = rf"(?i)^(?:chapter|book|part|section|letter|essay|canto|federalist){SP}*[.:]?\z"
 # --------------------------------------------------------------------------------------------
 
 

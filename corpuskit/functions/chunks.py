@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .base import WS, let, strip, words
+from .base import SP, WS, let, strip, words
 
 # --- fixed values ---------------------------------------------------------------------------
 CHUNK_CHARS = 1800
@@ -15,18 +15,18 @@ STUBBY_CHARS = 120
 SYMBOL_RATIO = 0.12
 SHORT_TOKEN_RATIO = 0.30
 MAX_LENGTH_DRIFT = 0.35
-READABLE = rf"[\p{{L}}\p{{N}}{WS}.,;:'\"!?()—–-]"
+READABLE = rf"[\p{{L}}\p{{N}}{WS}.,;:'\"!?()—–-]+"
 RESIDUAL_CITATION = rf"\[\p{{Nd}}+(?:[{WS},–-]+\p{{Nd}}+)*\]"
-RESIDUAL_URL = r"(?iU)https?://|\bdoi:"
-SPACED_LETTERS = rf"(?U)(?:\b[A-Za-z][{WS}]){{4,}}"
-BANNER_RESIDUE = r"(?i)project gutenberg"
+RESIDUAL_DOI = r"(?iU)\bdoi:"
+SPACED_LETTERS = rf"(?U)(?:\b[A-Za-z]{SP}){{4,}}"
+LETTER_BLANKS = rf"(?:[A-Za-z]{SP}){{4}}"
 # --------------------------------------------------------------------------------------------
 
 
 def split_sentences(c: Column) -> Column:
     """Runs of blanks to one, three or more newlines to two, then cut after ``.``, ``!`` or ``?``."""
     flat = F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"\n{3,}", "\n\n")
-    return F.split(strip(flat), f"(?<=[.!?])[{WS}]+")
+    return F.split(strip(flat), f"(?<=[.!?]){SP}+")
 
 
 def _pack(pieces: Column, cap: int) -> Column:
@@ -59,8 +59,16 @@ def split_oversized(sentence: Column, cap: int = CHUNK_CHARS) -> Column:
 
 
 def pack_chunks(body: Column, cap: int = CHUNK_CHARS) -> Column:
-    """ARRAY<STRING>: the region's text in pieces of at most ``cap`` characters."""
-    return _pack(F.flatten(F.transform(split_sentences(body), lambda s: split_oversized(s, cap))), cap)
+    """ARRAY<STRING>: the region's text in pieces of at most ``cap`` characters.
+
+    A region that fits one piece needs no fold: nothing in it can pass the cap.
+    """
+
+    def pack(sentences: Column, joined: Column) -> Column:
+        folded = _pack(F.flatten(F.transform(sentences, lambda s: split_oversized(s, cap))), cap)
+        return F.when(F.length(joined) > cap, folded).otherwise(F.filter(F.array(joined), lambda t: t != ""))
+
+    return let(split_sentences(body), lambda ss: let(F.array_join(ss, " "), lambda joined: pack(ss, joined)))
 
 
 def emit_chunks(regions: Column, cap: int = CHUNK_CHARS) -> Column:
@@ -106,23 +114,26 @@ def short_token_ratio(c: Column) -> Column:
 def qa_flags(text: Column, is_last: Column) -> Column:
     """STRUCT<flags ARRAY<STRING>, noise_ratio, short_ratio>; the order of flags is fixed."""
 
-    def judge(t: Column, noise: Column, short: Column) -> Column:
+    def judge(t: Column, noise: Column, short: Column, low: Column) -> Column:
         checks = [
             (F.length(t) > CHUNK_CHARS, "OVER-CAP"),
             ((F.length(t) < STUBBY_CHARS) & ~is_last, "STUBBY"),
             (noise > SYMBOL_RATIO, "SYMBOL-HEAVY"),
             (short > SHORT_TOKEN_RATIO, "GIBBERISH"),
-            (t.rlike(RESIDUAL_CITATION), "RESIDUAL-CITATION"),
-            (t.rlike(RESIDUAL_URL), "RESIDUAL-URL"),
-            (t.rlike(BANNER_RESIDUE), "GUTENBERG-RESIDUE"),
-            (t.rlike(SPACED_LETTERS), "OCR-SPACING"),
+            (t.contains("[") & t.rlike(RESIDUAL_CITATION), "RESIDUAL-CITATION"),
+            (low.contains("http://") | low.contains("https://") | low.contains("doi:") & t.rlike(RESIDUAL_DOI), "RESIDUAL-URL"),
+            (low.contains("project gutenberg"), "GUTENBERG-RESIDUE"),
+            (t.rlike(LETTER_BLANKS) & t.rlike(SPACED_LETTERS), "OCR-SPACING"),
         ]
         flags = F.array_compact(F.array(*(F.when(test, F.lit(name)) for test, name in checks)))
         return F.struct(flags.alias("flags"), noise.alias("noise_ratio"), short.alias("short_ratio"))
 
     return let(
         text,
-        lambda t: let(noise_ratio(t), lambda n: let(short_token_ratio(t), lambda s: judge(t, n, s))),
+        lambda t: let(
+            noise_ratio(t),
+            lambda n: let(short_token_ratio(t), lambda s: let(F.lower(t), lambda low: judge(t, n, s, low))),
+        ),
     )
 
 

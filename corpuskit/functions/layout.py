@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .base import WS, let, strip
+from .base import SP, WS, let, strip
 from .text import smart_titlecase
 
 # --- fixed values ---------------------------------------------------------------------------
@@ -16,7 +16,7 @@ FOOTNOTE_RATIO = 0.85
 FOOTNOTE_ZONE = 0.65
 PAGE_NUMBER = rf"^[\p{{Nd}}{WS}\-–—|·•ivxlcdmIVXLCDM]+\z"
 PAGE_NUMBER_CHARS = 25
-PAGE_COUNTER = rf"(?i)^(?:page[{WS}]+)?\p{{Nd}}+[{WS}]+of[{WS}]+\p{{Nd}}+\.?\z"
+PAGE_COUNTER = rf"(?i)^(?:page{SP}+)?\p{{Nd}}+{SP}+of{SP}+\p{{Nd}}+\.?\z"
 # --------------------------------------------------------------------------------------------
 
 

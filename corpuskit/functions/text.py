@@ -3,33 +3,36 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import WS, collapse_spaces, let, none_if_empty, strip, words
+from .base import SP, WS, collapse_spaces, let, none_if_empty, strip, words
 
 # --- fixed values ---------------------------------------------------------------------------
 PROSE_MIN_CHARS = 60
 REFERENCES_TAIL = 0.7
 TITLE_MAX_CHARS = 96
-BANNER_START = rf"\*\*\*[{WS}]*START[{WS}]+OF[{WS}]+TH(?:E|IS)[{WS}]+PROJECT[{WS}]+GUTENBERG.*?\*\*\*"
-BANNER_END = rf"\*\*\*[{WS}]*END[{WS}]+OF[{WS}]+TH(?:E|IS)[{WS}]+PROJECT[{WS}]+GUTENBERG.*?\*\*\*"
-CONTENTS_LINE = rf"(?i)^(?:table[{WS}]+of[{WS}]+)?contents[{WS}]*[.,:;]*\z"
+BANNER_START = rf"\*\*\*{SP}*START{SP}+OF{SP}+TH(?:E|IS){SP}+PROJECT{SP}+GUTENBERG.*?\*\*\*"
+BANNER_END = rf"\*\*\*{SP}*END{SP}+OF{SP}+TH(?:E|IS){SP}+PROJECT{SP}+GUTENBERG.*?\*\*\*"
+CONTENTS_LINE = rf"(?i)^(?:table{SP}+of{SP}+)?contents{SP}*[.,:;]*\z"
 REFERENCES_LINE = r"(?i)^(?:references|bibliography|works cited)\.?\z"
-CITATION = rf"\[\p{{Nd}}+(?:[{WS}]*[,–-][{WS}]*\p{{Nd}}+)*\]"
-URL = rf"(?iU)https?://[^{WS}]+|\bdoi:[{WS}]*[^{WS}]+|\b10\.\p{{Nd}}{{4,}}/[^{WS}]+"
+CITATION = rf"\[\p{{Nd}}+(?:{SP}*[,–-]{SP}*\p{{Nd}}+)*\]"
+URL = rf"(?iU)https?://[^{WS}]+|\bdoi:{SP}*[^{WS}]+|\b10\.\p{{Nd}}{{4,}}/[^{WS}]+"
+# pattern, spoken form, lower-case text that must occur for the pattern to match
 ABBREVIATIONS = (
-    (r"(?iU)\be\.g\.", "for example"),
-    (r"(?iU)\bi\.e\.", "that is"),
-    (r"(?iU)\bet al\.", "and colleagues"),
-    (r"(?iU)\bcf\.", "compare"),
-    (r"(?iU)\bFig\.", "Figure"),
-    (r"(?iU)\bvs\.", "versus"),
+    (r"(?iU)\be\.g\.", "for example", "e.g."),
+    (r"(?iU)\bi\.e\.", "that is", "i.e."),
+    (r"(?iU)\bet al\.", "and colleagues", "et al."),
+    (r"(?iU)\bcf\.", "compare", "cf."),
+    (r"(?iU)\bFig\.", "Figure", "fig."),
+    (r"(?iU)\bvs\.", "versus", "vs."),
 )
+# what lower() leaves of letters that a case-blind pattern takes for i or s
+ODD_CASE = ("ı", "\u0307", "ſ")
 ROMAN_HUNDREDS = ("c", "cc", "ccc", "cd", "d", "dc", "dcc", "dccc", "cm")
 ROMAN_TENS = ("x", "xx", "xxx", "xl", "l", "lx", "lxx", "lxxx", "xc")
 ROMAN_UNITS = ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix")
@@ -54,10 +57,23 @@ def nfkc(c: Column) -> Column:
     return F.coalesce(_nfkc_udf()(F.when(c.rlike(r"[^\x00-\x7f]"), c)), c)
 
 
+def _where(test: Callable[[Column], Column], c: Column, change: Callable[[Column], Column]) -> Column:
+    """Run a costly pattern only on texts that pass a plain substring test."""
+    return let(c, lambda t: F.when(test(t), change(t)).otherwise(t))
+
+
+def _has_odd_case(t: Column) -> Column:
+    return t.contains(ODD_CASE[0]) | t.contains(ODD_CASE[1]) | t.contains(ODD_CASE[2])
+
+
 def strip_banners(c: Column) -> Column:
     """Keep what follows the first START banner and precedes the first END banner."""
-    return F.regexp_replace(
-        F.regexp_replace(c, rf"(?is)\A.*?{BANNER_START}", ""), rf"(?is){BANNER_END}.*\z", ""
+    return _where(
+        lambda t: t.contains("***"),
+        c,
+        lambda t: F.regexp_replace(
+            F.regexp_replace(t, rf"(?is)\A.*?{BANNER_START}", ""), rf"(?is){BANNER_END}.*\z", ""
+        ),
     )
 
 
@@ -142,17 +158,27 @@ def strip_references(c: Column) -> Column:
 
 
 def strip_citations(c: Column) -> Column:
-    return F.regexp_replace(c, CITATION, "")
+    return _where(lambda t: t.contains("["), c, lambda t: F.regexp_replace(t, CITATION, ""))
 
 
 def strip_urls(c: Column) -> Column:
-    return F.regexp_replace(c, URL, "")
+    def suspect(t: Column) -> Column:
+        low = F.lower(t)
+        return t.contains("://") | t.contains("10.") | low.contains("doi:") | _has_odd_case(low)
+
+    return _where(suspect, c, lambda t: F.regexp_replace(t, URL, ""))
 
 
 def expand_abbreviations(c: Column) -> Column:
-    for pattern, spoken in ABBREVIATIONS:
-        c = F.regexp_replace(c, pattern, spoken)
-    return c
+    """Spoken forms, in the fixed order. No replacement spells a later abbreviation."""
+
+    def expand(t: Column, low: Column) -> Column:
+        odd = _has_odd_case(low)
+        for pattern, spoken, seed in ABBREVIATIONS:
+            t = _where(lambda _: low.contains(seed) | odd, t, lambda x: F.regexp_replace(x, pattern, spoken))
+        return t
+
+    return let(c, lambda t: let(F.lower(t), lambda low: expand(t, low)))
 
 
 def normalize_text(c: Column, unicode_form: bool = True) -> Column:

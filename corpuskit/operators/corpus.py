@@ -10,15 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import chapters, chunks, layout, text
 from ..functions.base import let
 
-EXPLODED = ("doc_id", "seg_order", "chapter_title", "text", "is_last")
-
 
 def spread(df: DataFrame) -> DataFrame:
     """Repartition only when the scan has fewer splits than the cluster has cores.
@@ -99,9 +97,18 @@ def prepare_corpus(docs: DataFrame, unicode_form: bool = True) -> DataFrame:
     return staged.select("doc_id", "page_count", let(F.col("chunks"), number).alias("chunks"))
 
 
+def unroll(df: DataFrame, *keep: str, array: Column, pos: str = "pos", item: str = "item") -> DataFrame:
+    """One row per element of a computed array.
+
+    A plain explode makes Catalyst put ``size(array) > 0`` below it, which computes the array again
+    for the test. The outer form does not, and its row for an empty array is dropped afterwards.
+    """
+    return df.select(*keep, F.posexplode_outer(array).alias(pos, item)).filter(F.col(pos).isNotNull())
+
+
 def chunk_rows(prepared: DataFrame) -> DataFrame:
     """One row per chunk."""
-    return prepared.select("doc_id", F.inline("chunks"))
+    return unroll(prepared, "doc_id", array=F.col("chunks")).select("doc_id", "item.*")
 
 
 def apply_polish(rows: DataFrame, polish: Callable[[pd.Series], pd.Series]) -> DataFrame:

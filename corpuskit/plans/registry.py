@@ -127,8 +127,9 @@ def _pages(v) -> DataFrame:
 def _blocks(v) -> DataFrame:
     """Blocks with text, and what the layout rules need beside them."""
     pages = _pages(v).select("doc_id", "page_no", "page_h", layout.body_size(F.col("blocks")).alias("body"), "blocks")
-    blocks = pages.withColumn("b", F.explode(layout.read_blocks(F.col("blocks"))))
-    return blocks.select("doc_id", "page_no", "page_h", "body", F.col("b.block_no"), "b")
+    keep = ("doc_id", "page_no", "page_h", "body")
+    blocks = corpus.unroll(pages, *keep, array=layout.read_blocks(F.col("blocks")), item="b")
+    return blocks.select(*keep, F.col("b.block_no"), "b")
 
 
 @query
@@ -196,7 +197,7 @@ def _mapped(fn) -> Callable:
 
 
 def _lines(v, column: str = "text") -> DataFrame:
-    return _books_text(v).select("doc_id", F.posexplode(F.split(column, "\n")).alias("line_no", "line"))
+    return corpus.unroll(_books_text(v), "doc_id", array=F.split(column, "\n"), pos="line_no", item="line")
 
 
 @query
@@ -235,7 +236,8 @@ def smart_titlecase(v):
 
 @query
 def chapter_number(v):
-    words = _lines(v).select("doc_id", "line_no", F.explode(F.array_distinct(F.split("line", r"[\s.]+"))).alias("word"))
+    tokens = F.array_distinct(F.split("line", r"[\s.]+"))
+    words = corpus.unroll(_lines(v), "doc_id", "line_no", array=tokens, item="word")
     return words.select("doc_id", "line_no", "word", text.chapter_number(F.col("word")).alias("num")).filter(
         F.col("num").isNotNull()
     )
@@ -252,7 +254,9 @@ def _candidates(v) -> DataFrame:
 
 
 def _rows(df: DataFrame, column: str = "cands") -> DataFrame:
-    return df.select("doc_id", F.inline(column)).select("doc_id", "line_no", "type", "num", "raw", "gap")
+    return corpus.unroll(df, "doc_id", array=F.col(column)).select("doc_id", "item.*").select(
+        "doc_id", "line_no", "type", "num", "raw", "gap"
+    )
 
 
 @query
@@ -291,10 +295,9 @@ def clean_title(v):
 
 @query
 def segment_chapters(v):
-    regions = chapters.segment_chapters(text.normalize_text(F.col("text"), unicode_form=False))
-    return _books_text(v).select("doc_id", F.posexplode(regions).alias("region_no", "r")).select(
-        "doc_id", "region_no", "r.*"
-    )
+    normal = _books_text(v).select("doc_id", text.normalize_text(F.col("text"), unicode_form=False).alias("text"))
+    regions = chapters.segment_chapters(F.col("text"))
+    return corpus.unroll(normal, "doc_id", array=regions, pos="region_no", item="r").select("doc_id", "region_no", "r.*")
 
 
 # ---- chunks ------------------------------------------------------------------------------------
@@ -310,24 +313,18 @@ def _chunks(v) -> DataFrame:
 
 @query
 def split_sentences(v):
-    return corpus.spread(v("documents")).select(
-        "doc_id", F.posexplode(chunks.split_sentences(F.col("text"))).alias("pos", "sentence")
-    )
+    return corpus.unroll(corpus.spread(v("documents")), "doc_id", array=chunks.split_sentences(F.col("text")), item="sentence")
 
 
 @query
 def split_oversized(v):
     # whole texts as single sentences: most of them are over the cap
-    return corpus.spread(v("documents")).select(
-        "doc_id", F.posexplode(chunks.split_oversized(F.col("text"))).alias("pos", "piece")
-    )
+    return corpus.unroll(corpus.spread(v("documents")), "doc_id", array=chunks.split_oversized(F.col("text")), item="piece")
 
 
 @query
 def pack_chunks(v):
-    return corpus.spread(v("documents")).select(
-        "doc_id", F.posexplode(chunks.pack_chunks(F.col("text"))).alias("pos", "piece")
-    )
+    return corpus.unroll(corpus.spread(v("documents")), "doc_id", array=chunks.pack_chunks(F.col("text")), item="piece")
 
 
 @query
