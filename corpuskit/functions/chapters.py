@@ -169,30 +169,32 @@ def longest_increasing_run(candidates: Column) -> Column:
     return let(candidates, keep)
 
 
-def headings(lines: Column) -> Column:
-    """ARRAY<STRUCT<line_no, title, is_boundary>> of all candidates, in line order."""
+def judge_headings(candidates: Column) -> Column:
+    """ARRAY<STRUCT<line_no, title, is_boundary>> of all candidates (with gap), in line order."""
 
     def judge(cands: Column) -> Column:
         kept = longest_increasing_run(dedup_headings(filter_by_gap(cands)))
+
+        def mark(x: Column, real: Column) -> Column:
+            title = F.when(real, clean_title(x["raw"]))
+            return F.struct(x["line_no"].alias("line_no"), title.alias("title"), real.alias("is_boundary"))
+
         return let(
             F.transform(kept, lambda x: x["line_no"]),
             lambda ks: F.transform(
-                cands,
-                lambda x: let(
-                    F.array_contains(ks, x["line_no"]),
-                    lambda real: F.struct(
-                        x["line_no"].alias("line_no"),
-                        F.when(real, clean_title(x["raw"])).alias("title"),
-                        real.alias("is_boundary"),
-                    ),
-                ),
+                cands, lambda x: let(F.array_contains(ks, x["line_no"]), lambda real: mark(x, real))
             ),
         )
 
-    return let(lines, lambda rows: let(body_gap(rows, heading_candidates(rows)), judge))
+    return let(candidates, judge)
 
 
-def segment_chapters(text: Column) -> Column:
+def headings(lines: Column) -> Column:
+    """All heading candidates of the lines, judged."""
+    return let(lines, lambda rows: judge_headings(body_gap(rows, heading_candidates(rows))))
+
+
+def cut_regions(lines: Column, heads: Column) -> Column:
     """ARRAY<STRUCT<chapter_title, body>>: a region per chapter start, noise headings removed.
 
     Text before the first start is an untitled region; without any start the text stays as it is.
@@ -202,21 +204,14 @@ def segment_chapters(text: Column) -> Column:
         body = strip(F.array_join(F.flatten(parts), "\n"))
         return F.struct(title.cast("string").alias("chapter_title"), body.alias("body"))
 
-    def build(rows: Column, heads: Column) -> Column:
+    def build(rows: Column, found: Column) -> Column:
         def stretch(head: Column, at: Column) -> Column:
-            end = F.coalesce(F.get(heads, at + 1)["line_no"], F.size(rows))
-            skip = F.when(head["is_boundary"], 0).otherwise(1)
-            first = head["line_no"] + skip
-            return F.struct(
-                head["title"].alias("title"), F.slice(rows, first + 1, end - first).alias("part")
-            )
-
-        starts = F.filter(
-            F.transform(heads, lambda h, i: F.when(h["is_boundary"], i)), lambda i: i.isNotNull()
-        )
+            end = F.coalesce(F.get(found, at + 1)["line_no"], F.size(rows))
+            first = head["line_no"] + F.when(head["is_boundary"], 0).otherwise(1)
+            return F.struct(head["title"].alias("title"), F.slice(rows, first + 1, end - first).alias("part"))
 
         def cut(stretches: Column, at: Column) -> Column:
-            lead = F.slice(rows, F.lit(1), F.get(heads, F.lit(0))["line_no"])
+            lead = F.slice(rows, F.lit(1), F.get(found, F.lit(0))["line_no"])
             before = F.concat(F.array(lead), F.slice(stretches, F.lit(1), F.get(at, F.lit(0)))["part"])
 
             def chapter(pos: Column, k: Column) -> Column:
@@ -226,14 +221,22 @@ def segment_chapters(text: Column) -> Column:
             opened = F.concat(F.array(region(F.lit(None), before)), F.transform(at, chapter))
             return F.filter(opened, lambda r: r["body"] != "")
 
+        starts = F.filter(
+            F.transform(found, lambda h, i: F.when(h["is_boundary"], i)), lambda i: i.isNotNull()
+        )
         whole = F.array(
             F.struct(F.lit(None).cast("string").alias("chapter_title"), F.array_join(rows, "\n").alias("body"))
         )
         return let(
             starts,
             lambda at: F.when(F.size(at) == 0, whole).otherwise(
-                let(F.transform(heads, stretch), lambda stretches: cut(stretches, at))
+                let(F.transform(found, stretch), lambda stretches: cut(stretches, at))
             ),
         )
 
-    return let(F.split(text, "\n"), lambda rows: let(headings(rows), lambda heads: build(rows, heads)))
+    return let(lines, lambda rows: let(heads, lambda found: build(rows, found)))
+
+
+def segment_chapters(text: Column) -> Column:
+    """The regions of a text in one expression."""
+    return let(F.split(text, "\n"), lambda rows: cut_regions(rows, headings(rows)))

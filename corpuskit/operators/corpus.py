@@ -74,14 +74,28 @@ def doc_text(page_texts: DataFrame) -> DataFrame:
     return joined.select("doc_id", "page_count", F.translate(full, "\0", "").alias("text"))
 
 
+def segment_regions(texts: DataFrame, *keep: str) -> DataFrame:
+    """Kept columns and ``regions`` ARRAY<STRUCT<chapter_title, body>> of normalized texts."""
+    lines, cands, heads = F.col("lines"), F.col("cands"), F.col("heads")
+    return (
+        texts.select(*keep, F.split("text", "\n").alias("lines"))
+        .select(*keep, "lines", let(lines, lambda rows: chapters.body_gap(rows, chapters.heading_candidates(rows))).alias("cands"))
+        .select(*keep, "lines", chapters.judge_headings(cands).alias("heads"))
+        .select(*keep, chapters.cut_regions(lines, heads).alias("regions"))
+    )
+
+
 def prepare_corpus(docs: DataFrame, unicode_form: bool = True) -> DataFrame:
     """docs (doc_id, page_count, text) → (doc_id, page_count, chunks).
 
     ``chunks`` is ARRAY<STRUCT<seg_order, chapter_title, text, is_last>>.
     """
-    staged = docs.select("doc_id", "page_count", text.normalize_text(F.col("text"), unicode_form).alias("text"))
-    staged = staged.select("doc_id", "page_count", chapters.segment_chapters(F.col("text")).alias("regions"))
-    staged = staged.select("doc_id", "page_count", chunks.emit_chunks(F.col("regions")).alias("chunks"))
+    keep = ("doc_id", "page_count")
+    # Small steps keep the analysis of nested lambdas short; Catalyst joins them into one projection
+    # wherever a step is used once.
+    staged = docs.select(*keep, text.normalize_text(F.col("text"), unicode_form).alias("text"))
+    staged = segment_regions(staged, *keep)
+    staged = staged.select(*keep, chunks.emit_chunks(F.col("regions")).alias("chunks"))
 
     def number(all_chunks):
         return F.transform(
@@ -94,7 +108,7 @@ def prepare_corpus(docs: DataFrame, unicode_form: bool = True) -> DataFrame:
             ),
         )
 
-    return staged.select("doc_id", "page_count", let(F.col("chunks"), number).alias("chunks"))
+    return staged.select(*keep, let(F.col("chunks"), number).alias("chunks"))
 
 
 def unroll(df: DataFrame, *keep: str, array: Column, pos: str = "pos", item: str = "item") -> DataFrame:
@@ -112,7 +126,7 @@ def chunk_rows(prepared: DataFrame) -> DataFrame:
 
 
 def apply_polish(rows: DataFrame, polish: Callable[[pd.Series], pd.Series]) -> DataFrame:
-    """Candidates from a user function over batches of texts: (doc_id, seg_order, cleaned).
+    """Add ``cleaned``: the candidates of a user function over batches of texts.
 
     A batch that raises yields nulls, which the guard turns into fallbacks.
     """
@@ -123,19 +137,24 @@ def apply_polish(rows: DataFrame, polish: Callable[[pd.Series], pd.Series]) -> D
                 cleaned = polish(batch["text"])
             except Exception:
                 cleaned = pd.Series([None] * len(batch), index=batch.index, dtype=object)
-            yield batch[["doc_id", "seg_order"]].assign(cleaned=cleaned)
+            yield batch.assign(cleaned=cleaned)
 
-    kept = rows.select("doc_id", "seg_order", "text")
-    schema = T.StructType([*kept.schema.fields[:2], T.StructField("cleaned", T.StringType())])
-    return kept.mapInPandas(run, schema)
+    return rows.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField("cleaned", T.StringType())]))
 
 
-def polish_guard(rows: DataFrame, cleaned: DataFrame) -> DataFrame:
-    """Take the polished text where it is sound, else keep the chunk; ``used`` tells which."""
-    joined = rows.join(cleaned.select("doc_id", "seg_order", "cleaned"), ["doc_id", "seg_order"], "left")
+def polish_guard(rows: DataFrame, cleaned: DataFrame | None = None) -> DataFrame:
+    """Take the polished text where it is sound, else keep the chunk; ``used`` tells which.
+
+    The candidates are the column ``cleaned`` of the rows, as ``apply_polish`` leaves it, or come
+    from a table (doc_id, seg_order, cleaned). Only the latter needs a join.
+    """
+    if cleaned is not None:
+        keys = ["doc_id", "seg_order"]
+        rows = rows.join(cleaned.select(*keys, "cleaned"), keys, "left")
     verdict = chunks.accept_polish(F.col("text"), F.col("cleaned"))
-    return joined.withColumn("verdict", verdict).select(
-        *(F.col("verdict.text").alias("text") if c == "text" else F.col(c) for c in rows.columns),
+    kept = [c for c in rows.columns if c != "cleaned"]
+    return rows.withColumn("verdict", verdict).select(
+        *(F.col("verdict.text").alias("text") if c == "text" else F.col(c) for c in kept),
         F.col("verdict.used").alias("used"),
     )
 

@@ -34,27 +34,25 @@ DIALECTS = {
         "lines": "array_join(transform(split({text}, chr(10)), (x, i) -> {body}), chr(10))",
         "x": "x",
         "i": "i",
-        "n_lines": "size(split({text}, chr(10)))",
-        "json_k": "get_json_object({c}, '$.k')",
         "iso": "date_format({c}, 'yyyy-MM-dd HH:mm:ss,SSS')",
         "explode": (
             "SELECT doc_id, pos AS line_no, line FROM documents LATERAL VIEW posexplode(split(text, chr(10))) t"
             " AS pos, line"
         ),
-        "array3": "array({a}, {b}, {c})",
+        "each": "explode(array(",
+        "end": "))",
     },
     "duckdb": {
         "lines": "array_to_string(list_transform(string_split({text}, chr(10)), lambda x, j: {body}), chr(10))",
         "x": "x",
         "i": "(j - 1)",
-        "n_lines": "len(string_split({text}, chr(10)))",
-        "json_k": "json_extract_string({c}, '$.k')",
         "iso": "strftime({c}, '%Y-%m-%d %H:%M:%S,%g')",
         "explode": (
             "SELECT doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS line"
             " FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"
         ),
-        "array3": "[{a}, {b}, {c}]",
+        "each": "unnest([",
+        "end": "])",
     },
 }
 
@@ -129,9 +127,8 @@ VIEWS: dict[str, str] = {
                     ELSE 'audio/' || CAST(book_id AS STRING) || '/' || split_part('{keys}', ',', k + 1) || '/'
                       || lpad(CAST(seg_order AS STRING), 4, '0') || '.mp3' END AS audio_path,
                duration
-        FROM (SELECT *, CAST(book_id % 7 AS INT) AS k FROM segments
-              UNION ALL
-              SELECT *, CAST((book_id + 1 + seg_order % 6) % 7 AS INT) AS k FROM segments) both_takes
+        FROM (SELECT *, {each}CAST(book_id % 7 AS INT), CAST((book_id + 1 + seg_order % 6) % 7 AS INT){end} AS k
+              FROM segments) both_takes
         """.replace("{keys}", _KEYS),
     "narrators": "SELECT * FROM (VALUES "
     + ", ".join(f"({i}, '{k}', '{p}', '{la}', '{v}')" for i, (k, p, la, v) in enumerate(NARRATORS))
@@ -184,14 +181,14 @@ VIEWS: dict[str, str] = {
         SELECT user_id, book_id, max(split_part('{keys}', ',', CAST(id % 7 AS INT) + 1)) AS narrator
         FROM progress GROUP BY user_id, book_id""".replace("{keys}", _KEYS),
     "inventory": """
-        SELECT audio_path AS key FROM segments WHERE audio_path IS NOT NULL
+        SELECT CASE WHEN id % 6 = 0 THEN 'lost/' ELSE '' END || pdf_path AS key FROM books
         UNION ALL
-        SELECT CASE WHEN id % 6 = 0 THEN 'lost/' ELSE '' END || pdf_path FROM books
-        UNION ALL
-        SELECT audio_path FROM segment_audio WHERE audio_path <> ''
-        UNION ALL
-        SELECT 'audio-archive/' || CAST(book_id AS STRING) || '/T0/' || lpad(CAST(seg_order AS STRING), 4, '0') || '.mp3'
-        FROM segments""",
+        SELECT key FROM (
+          SELECT {each}audio_path, 'audio/' || book || '/' || split_part('{keys}', ',', k + 1) || '/' || file,
+                 'audio/' || book || '/elegiac/' || file || '.bak', 'audio-archive/' || book || '/T0/' || file{end} AS key
+          FROM (SELECT audio_path, CAST(book_id AS STRING) AS book, CAST(book_id % 7 AS INT) AS k,
+                       lpad(CAST(seg_order AS STRING), 4, '0') || '.mp3' AS file FROM segments) named) files
+        WHERE key IS NOT NULL""".replace("{keys}", _KEYS),
     "log_lines": """
         SELECT event_id AS id, ts AS seen_at, CASE WHEN user_id % 2 = 0 THEN 'web' ELSE 'worker' END AS source,
                {iso_ts} || CASE event_type WHEN 'error' THEN ' ERROR' WHEN 'signup' THEN ' WARNING' ELSE ' INFO' END
@@ -230,10 +227,9 @@ VIEWS: dict[str, str] = {
                CASE WHEN line_no % 12 = 0 THEN 18.4e0 WHEN line_no % 5 = 4 THEN 8.0e0 WHEN line_no % 3 = 0 THEN 10.5e0
                     ELSE 11.2e0 END AS size,
                (line_no % 12) * 70e0 + 4e0 * part AS y0, (line_no % 12) * 70e0 + 12e0 AS y1, 800e0 AS page_h
-        FROM (SELECT doc_id, line_no, line, 0 AS part FROM doc_lines
-              UNION ALL
-              SELECT doc_id, line_no, CASE WHEN line_no % 12 = 3 THEN 'phen end-' ELSE '' END AS line, 1 AS part FROM doc_lines)
-             parts""",
+        FROM (SELECT doc_id, line_no, part,
+                     CASE WHEN part = 0 THEN line WHEN line_no % 12 = 3 THEN 'phen end-' ELSE '' END AS line
+              FROM (SELECT doc_id, line_no, line, {each}0, 1{end} AS part FROM doc_lines) twice) parts""",
     "metadata_json": """
         SELECT event_id AS id,
                CASE event_id % 7
@@ -269,7 +265,7 @@ def _render(name: str, dialect: str) -> str:
         return words["explode"]
     if name == "metadata_json":
         return sql.replace("{{", "{").replace("}}", "}")
-    return sql
+    return sql.replace("{each}", words["each"]).replace("{end}", words["end"])
 
 
 def with_clause(sql: str, dialect: str, extra: dict[str, str] | None = None) -> str:

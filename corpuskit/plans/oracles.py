@@ -518,6 +518,7 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, length(text) < 1500 OR (doc_id % 9 > 0 AND length(text)::DOUBLE / (page_count * (doc_id % 9)) < 200) AS scanned
         FROM book_text""",
     "polish_guard": "SELECT doc_id, seg_order, text, used FROM polished",
+    "polish_guard_table": "SELECT doc_id, seg_order, text, used FROM polished",
     "fallback_report": "SELECT doc_id, count(*) FILTER (WHERE NOT used) AS fallbacks, count(*) AS total FROM polished GROUP BY doc_id",
     "fallback_events": """
         SELECT doc_id AS book_id, 'ingest_book' AS task, 'warning' AS level, CAST(count(*) FILTER (WHERE NOT used) AS VARCHAR) || '/'
@@ -803,7 +804,7 @@ _TYPES: dict[str, dict[str, str]] = {
     "review_summary": {"chars": "BIGINT"}, "parse_metadata": {"year": "INT"}, "render_grid": {"take": "INT"},
     "stream_event_ingest": {"message_chars": "INT"}, "failure_fallback": {"traceback": "INT"},
     "record_events": {"message_chars": "INT", "traceback_chars": "INT"},
-    **dict.fromkeys(("emit_chunks", "prepare_corpus", "prepare_from_spans", "polish_guard", "apply_polish"), {"seg_order": "INT"}),
+    **dict.fromkeys(("emit_chunks", "prepare_corpus", "prepare_from_spans", "polish_guard", "polish_guard_table", "apply_polish"), {"seg_order": "INT"}),
 }
 
 

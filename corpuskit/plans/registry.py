@@ -248,9 +248,11 @@ def chapter_number(v):
 
 def _candidates(v) -> DataFrame:
     """Heading candidates of the normalized books with their gap, in one array per book."""
-    lines = F.split(text.normalize_text(F.col("text"), unicode_form=False), "\n")
-    found = let(lines, lambda rows: chapters.body_gap(rows, chapters.heading_candidates(rows)))
-    return _books_text(v).select("doc_id", found.alias("cands"))
+    lines = _books_text(v).select(
+        "doc_id", F.split(text.normalize_text(F.col("text"), unicode_form=False), "\n").alias("lines")
+    )
+    found = let(F.col("lines"), lambda rows: chapters.body_gap(rows, chapters.heading_candidates(rows)))
+    return lines.select("doc_id", found.alias("cands"))
 
 
 def _rows(df: DataFrame, column: str = "cands") -> DataFrame:
@@ -296,8 +298,10 @@ def clean_title(v):
 @query
 def segment_chapters(v):
     normal = _books_text(v).select("doc_id", text.normalize_text(F.col("text"), unicode_form=False).alias("text"))
-    regions = chapters.segment_chapters(F.col("text"))
-    return corpus.unroll(normal, "doc_id", array=regions, pos="region_no", item="r").select("doc_id", "region_no", "r.*")
+    regions = corpus.segment_regions(normal, "doc_id")
+    return corpus.unroll(regions, "doc_id", array=F.col("regions"), pos="region_no", item="r").select(
+        "doc_id", "region_no", "r.*"
+    )
 
 
 # ---- chunks ------------------------------------------------------------------------------------
@@ -353,15 +357,16 @@ def looks_scanned(v):
     return sizes.select("doc_id", chunks.looks_scanned(pages, F.col("chars")).alias("scanned"))
 
 
-def _guarded(v) -> DataFrame:
-    rows = _chunks(v).drop("is_last")
-    longer = F.concat("text", F.lit(" "), "text")
+def _candidates_for_polish(v) -> DataFrame:
     n = F.col("seg_order") + F.col("doc_id")
-    candidate = F.when(n % 5 == 0, longer).when(n % 5 == 1, F.lit(None)).when(n % 5 == 2, "  ").otherwise(
-        F.concat(F.lit(" "), F.replace("text", F.lit("[7–9]"), F.lit("")), F.lit(". "))
-    )
-    cleaned = rows.select("doc_id", "seg_order", candidate.alias("cleaned"))
-    return corpus.polish_guard(rows, cleaned)
+    candidate = F.when(n % 5 == 0, F.concat("text", F.lit(" "), "text")).when(n % 5 == 1, F.lit(None)).when(
+        n % 5 == 2, "  "
+    ).otherwise(F.concat(F.lit(" "), F.replace("text", F.lit("[7–9]"), F.lit("")), F.lit(". ")))
+    return _chunks(v).drop("is_last").withColumn("cleaned", candidate)
+
+
+def _guarded(v) -> DataFrame:
+    return corpus.polish_guard(_candidates_for_polish(v))
 
 
 @query
@@ -369,6 +374,16 @@ def polish_guard(v):
     return _guarded(v).select("doc_id", "seg_order", "text", "used")
 
 
+@query
+def polish_guard_table(v):
+    """The candidates as a table of their own."""
+    candidates = _candidates_for_polish(v)
+    path = scratch_dir(candidates.sparkSession, "candidates")
+    tables.write_report(candidates, path)
+    stored = candidates.sparkSession.read.parquet(path)
+    return corpus.polish_guard(stored.drop("cleaned"), stored).select("doc_id", "seg_order", "text", "used")
+
+
 @query
 def fallback_report(v):
     return corpus.fallback_report(_guarded(v))
@@ -382,7 +397,8 @@ def fallback_events(v):
 @query
 def apply_polish(v):
     rows = _chunks(v)
-    return corpus.apply_polish(rows, lambda texts: texts.str.replace("things", "matters"))
+    polished = corpus.apply_polish(rows, lambda texts: texts.str.replace("things", "matters"))
+    return polished.select("doc_id", "seg_order", "cleaned")
 
 
 @query

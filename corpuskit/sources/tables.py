@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import CATALOG
+from ..session import scratch_dir
 
 BUCKETS = 16
 
@@ -65,19 +66,27 @@ def merge_buckets(
 ) -> None:
     """Merge ``updates`` into a table kept in hash buckets of ``key``; only touched buckets are rewritten.
 
-    ``combine(current, updates)`` must give the same rows when the same updates come again, so that a
-    repeated batch is harmless. Files are written next to the old ones and swapped in at commit.
+    The updates are computed once, into a staging table; which buckets they touch is read from its
+    folders. ``combine(current, updates)`` must give the same rows when the same updates come again,
+    so that a repeated batch is harmless. New files are written beside the old ones and swapped in
+    at commit.
     """
     spark = updates.sparkSession
+    staging = scratch_dir(spark, "staging")
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-    touched = [row.b for row in updates.select(bucket.alias("b")).distinct().collect()]  # at most ``buckets``
-    current = _exists(spark, path)
+    updates.withColumn("bucket", bucket).write.partitionBy("bucket").parquet(staging)
+    layout = T.StructType([*updates.schema.fields, T.StructField("bucket", T.IntegerType())])
+    staged = spark.read.schema(layout).parquet(staging)
+    touched = [row.bucket for row in staged.select("bucket").distinct().collect()]  # at most ``buckets``
+    if not touched:
+        return
+    new, current = staged.drop("bucket"), _exists(spark, path)
     if current is None:
-        current = updates.limit(0)
+        current = new.limit(0)
     else:
         current = current.filter(F.col("bucket").isin(touched)).select(*updates.columns)
     (
-        combine(current, updates)
+        combine(current, new)
         .withColumn("bucket", bucket)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
