@@ -288,6 +288,13 @@ def with_clause(sql: str, dialect: str, extra: dict[str, str] | None = None) ->
     return "WITH " + ",\n".join(f"{name} AS ({body})" for name, body in done.items()) + "\n"
 
 
+def _spread_hint(spark: SparkSession, path: str) -> str:
+    """Texts are costly per row: spread a scan with fewer splits than cores, leave any other alone."""
+    cores = spark.sparkContext.defaultParallelism
+    few = spark.read.parquet(path).rdd.getNumPartitions() < cores
+    return f"/*+ REPARTITION({cores}) */" if few else ""
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view, or a given table, as a DataFrame."""
     if name in BASE:
@@ -295,7 +302,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     main = f"SELECT * FROM {name}"
     ctes = with_clause(main, "spark")
     bases = [b for b in BASE if re.search(rf"\b(?:FROM|JOIN)\s+{b}\b", ctes)]
-    heads = [f"{b} AS (SELECT * FROM parquet.`{sf_dir}/{b}.parquet`)" for b in bases]
+    heads = [f"{b} AS (SELECT {_spread_hint(spark, f'{sf_dir}/{b}.parquet') if b == 'documents' else ''} * FROM"
+             f" parquet.`{sf_dir}/{b}.parquet`)" for b in bases]
     return spark.sql("WITH " + ",\n".join([*heads, ctes.removeprefix("WITH ")]) + main)
 
 

@@ -189,7 +189,7 @@ def doc_text(v):
 
 
 def _books_text(v) -> DataFrame:
-    return corpus.spread(v("book_text"))
+    return v("book_text")
 
 
 def _mapped(fn) -> Callable:

@@ -66,15 +66,16 @@ def merge_buckets(
 ) -> None:
     """Merge ``updates`` into a table kept in hash buckets of ``key``; only touched buckets are rewritten.
 
-    The updates are computed once, into a staging table; which buckets they touch is read from its
-    folders. ``combine(current, updates)`` must give the same rows when the same updates come again,
-    so that a repeated batch is harmless. New files are written beside the old ones and swapped in
-    at commit.
+    The updates are computed once, into a staging table, whose bucket column tells what they touch.
+    ``combine(current, updates)`` must give the same rows when the same updates come again, so that a
+    repeated batch is harmless. The rebalance before the last write gives few files per bucket and
+    lets AQE split a bucket that holds most of the rows. New files are written beside the old ones
+    and swapped in at commit.
     """
     spark = updates.sparkSession
     staging = scratch_dir(spark, "staging")
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-    updates.withColumn("bucket", bucket).write.partitionBy("bucket").parquet(staging)
+    updates.withColumn("bucket", bucket).write.parquet(staging)
     layout = T.StructType([*updates.schema.fields, T.StructField("bucket", T.IntegerType())])
     staged = spark.read.schema(layout).parquet(staging)
     touched = [row.bucket for row in staged.select("bucket").distinct().collect()]  # at most ``buckets``
@@ -88,6 +89,7 @@ def merge_buckets(
     (
         combine(current, new)
         .withColumn("bucket", bucket)
+        .hint("rebalance", "bucket")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("bucket")
