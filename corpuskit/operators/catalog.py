@@ -49,14 +49,20 @@ def _with_progress(books: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def admin_books(books: DataFrame, users: DataFrame, segments: DataFrame) -> DataFrame:
-    """Every book with owner and segment counts, without any text, newest first (then id)."""
-    owners = users.select(F.col("id").alias("uploaded_by"), F.col("email").alias("owner_email"))
+    """Every book with owner and segment counts, without any text, newest first (then id).
+
+    Books without an owner get a join key of their own that no user has, so that they do not all
+    meet in one partition.
+    """
+    owners = users.select(F.col("id").alias("_owner"), F.col("email").alias("owner_email"))
+    owner_key = F.coalesce("uploaded_by", -F.col("id") - 1)
     table = books.select(
         "id", "title", "author", "status", "genre", "year", "hidden", "page_count", "created_at", "uploaded_by"
     )
     return (
         _with_progress(table, segments)
-        .join(owners, "uploaded_by", "left")
+        .withColumn("_owner", owner_key)
+        .join(owners, "_owner", "left")
         .select(
             "id", "title", "author", "status", "genre", "year", "hidden", "page_count", "created_at",
             "owner_email",
@@ -336,21 +342,26 @@ def addable_narrators(books: DataFrame, voices: DataFrame, registry_keys: Sequen
     return complete.join(taken, "book_id", "left").select("book_id", F.explode(left).alias("narrator"))
 
 
-def ab_eligible_users(
-    users: DataFrame, allow: DataFrame | None = None, admin_email: str | None = None
-) -> DataFrame:
-    """Admins and granted users; with an allow-list (column email) only those on it may sign in.
+def allowed_sign_ins(people: DataFrame, allow: DataFrame | None = None, admin_email: str | None = None) -> DataFrame:
+    """Rows whose e-mail is on the allow-list (column email); without a list everyone is.
 
-    The administrator is always on the list, case does not matter, an empty list (None) is open.
+    The administrator is always on it, case does not matter.
     """
-    entitled = users.filter((F.col("role") == "admin") | F.col("ab_test_access"))
     if allow is None:
-        return entitled
-    listed = allow.select(F.lower(strip(F.col("email"))).alias("_email"))
+        return people
+    listed = allow.select(F.lower(strip(F.col("email"))).alias("_email")).filter(F.col("_email") != "")
     if admin_email:
         admin = allow.sparkSession.range(1).select(F.lit(admin_email.strip().lower()).alias("_email"))
         listed = listed.unionByName(admin)
-    return entitled.join(listed, F.lower(entitled["email"]) == F.col("_email"), "left_semi")
+    return people.join(listed, F.lower(F.coalesce(people["email"], F.lit(""))) == F.col("_email"), "left_semi")
+
+
+def ab_eligible_users(
+    users: DataFrame, allow: DataFrame | None = None, admin_email: str | None = None
+) -> DataFrame:
+    """Admins and users with the grant, among those who may sign in."""
+    entitled = users.filter((F.col("role") == "admin") | F.col("ab_test_access"))
+    return allowed_sign_ins(entitled, allow, admin_email)
 
 
 def apply_access(users: DataFrame, grants: DataFrame) -> DataFrame:
@@ -413,8 +424,8 @@ def delete_books(
 def upsert_users(users: DataFrame, logins: DataFrame, admin_email: str | None = None) -> DataFrame:
     """Add unseen google_ids (first login wins), keep known rows, promote the administrator.
 
-    ``logins``: login_id, google_id, email?, display_name?. New rows have no id yet: the table's
-    own sequence gives it.
+    ``logins``: login_id, google_id, email?, display_name?, already cut to ``allowed_sign_ins``. New
+    rows have no id yet: the table's own sequence gives it.
     """
     first = (
         logins.filter(F.col("google_id").isNotNull() & (F.col("google_id") != ""))

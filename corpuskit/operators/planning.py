@@ -13,6 +13,7 @@ from ..functions.base import none_if_empty
 PROVIDER_QUEUE = {"openai": "synth", "elevenlabs": "synth_el"}
 SHARED_QUEUE = "synth"
 LOCAL_PREFIX = "storage/"
+PURGE_KINDS = ("audio", "audio-archive", "pdfs")
 
 
 def plan_primary(segments: DataFrame) -> DataFrame:
@@ -122,6 +123,25 @@ def classify_path(path: Column, remote_on: bool = True) -> Column:
     return F.when(F.lit(remote_on) & ~F.startswith(path, F.lit(LOCAL_PREFIX)), "remote").otherwise("local")
 
 
+def purge_prefixes(
+    inventory: DataFrame, ids: DataFrame, kinds: tuple[str, ...] = PURGE_KINDS, narrator: str | None = None
+) -> DataFrame:
+    """Keys to delete for the books in ``ids`` (column book_id): everything under ``kind/{id}/``.
+
+    With ``narrator`` only ``audio/{id}/{narrator}/``. Joined on the id part of the key, not by LIKE.
+    """
+    parts = F.split("key", "/")
+    keyed = inventory.withColumn("_id", F.get(parts, F.lit(1)))
+    if narrator is None:
+        under = F.get(parts, F.lit(0)).isin(*kinds) & (F.size(parts) >= 3)
+    else:
+        under = (
+            (F.get(parts, F.lit(0)) == "audio") & (F.get(parts, F.lit(2)) == narrator) & (F.size(parts) >= 4)
+        )
+    wanted = ids.select("book_id", F.col("book_id").cast("string").alias("_id"))
+    return keyed.filter(under).join(wanted, "_id").select("key", "book_id")
+
+
 def plan_reprocess(
     books: DataFrame, segments: DataFrame, inventory: DataFrame, requests: DataFrame, stamp: str
 ) -> dict[str, DataFrame]:
@@ -129,7 +149,8 @@ def plan_reprocess(
 
     ``requests``: book_id (unique), new_file (STRING or null). A request is refused if its source is
     missing and no PDF comes with it, or if the new file is not a PDF. For the others the segments go,
-    audio keys move to the archive under ``stamp``, and the book is pending without a page count.
+    audio keys move to the archive under ``stamp``, the old source of a replaced file is purged, and
+    the book is pending without a page count.
     """
     asked = requests.join(books.withColumnRenamed("id", "book_id"), "book_id").select(
         F.col("book_id").alias("id"), "pdf_path", "new_file"
@@ -147,13 +168,17 @@ def plan_reprocess(
     moves = moves.select(
         "book_id", "key", F.concat(F.lit("audio-archive/"), F.col("_book"), F.lit(f"/{stamp}/"), tail).alias("new_key")
     )
+    attached = F.concat_ws("/", F.lit("pdfs"), F.col("id").cast("string"), F.col("new_file"))
     after = books.join(accepted.withColumnRenamed("book_id", "id"), "id").select(
-        "id", F.coalesce("new_file", "filename").alias("filename"), F.lit("pending").alias("status"),
-        F.lit(None).cast("int").alias("page_count"),
+        "id", F.coalesce("new_file", "filename").alias("filename"),
+        F.when(F.col("new_file").isNotNull(), attached).otherwise(F.col("pdf_path")).alias("pdf_path"),
+        F.lit("pending").alias("status"), F.lit(None).cast("int").alias("page_count"),
     )
+    replaced = accepted.filter(F.col("new_file").isNotNull()).select("book_id")
     return {
         "decisions": decided.select("book_id", "accepted"),
         "books": after,
         "segments": segments.join(accepted.select("book_id"), "book_id", "left_anti"),
         "moves": moves,
+        "purge": purge_prefixes(inventory, replaced, ("pdfs",)),
     }

@@ -614,6 +614,9 @@ ORACLES: dict[str, str] = {
     "ab_eligible_users": """
         SELECT id, email, role FROM users WHERE (role = 'admin' OR ab_test_access) AND (lower(email) = 'customer#000000100@example.org'
           OR lower(email) IN (SELECT 'customer#' || lpad(CAST(s_suppkey * 3 AS VARCHAR), 9, '0') || '@example.org' FROM supplier))""",
+    "allowed_sign_ins": """
+        SELECT id, replace(email, 'customer', 'SUPPLIER') AS email FROM users
+        WHERE id = 149 OR replace(lower(email), 'customer', 'supplier') IN (SELECT lower(s_name) || '@example.org' FROM supplier)""",
     "apply_access": """
         SELECT id, CASE WHEN s_suppkey IS NULL THEN ab_test_access ELSE s_suppkey % 2 = 0 END AS ab_test_access
         FROM users LEFT JOIN supplier ON id = s_suppkey""",
@@ -670,12 +673,17 @@ ORACLES: dict[str, str] = {
     "classify_path": "SELECT key, CASE WHEN starts_with(key, 'storage/') THEN 'local' ELSE 'remote' END AS place FROM inventory",
     "plan_reprocess": "SELECT book_id, accepted FROM decided",
     "plan_reprocess_books": """
-        SELECT b.id, coalesce(new_file, filename) AS filename, 'pending' AS status, CAST(NULL AS INT) AS page_count
+        SELECT b.id, coalesce(new_file, filename) AS filename,
+               CASE WHEN new_file IS NULL THEN pdf_path ELSE 'pdfs/' || CAST(b.id AS VARCHAR) || '/' || new_file END AS pdf_path,
+               'pending' AS status, CAST(NULL AS INT) AS page_count
         FROM books b JOIN decided d ON d.book_id = b.id WHERE accepted""",
     "plan_reprocess_segments": "SELECT id, book_id FROM segments WHERE book_id NOT IN (SELECT book_id FROM decided WHERE accepted)",
     "plan_reprocess_moves": f"""
         SELECT book_id, key, 'audio-archive/' || CAST(book_id AS VARCHAR) || '/{STAMP}/' || array_to_string(string_split(key, '/')[3:], '/') AS new_key
         FROM inventory JOIN decided ON split_part(key, '/', 2) = CAST(book_id AS VARCHAR) WHERE accepted AND split_part(key, '/', 1) = 'audio'""",
+    "plan_reprocess_purge": """
+        SELECT key, book_id FROM inventory JOIN decided ON starts_with(key, 'pdfs/' || CAST(book_id AS VARCHAR) || '/')
+        WHERE accepted AND new_file IS NOT NULL""",
     # monitoring
     "record_events": """
         SELECT id, book_id, level, length(m) AS message_chars, md5(m) AS message_md5, length(substr(nullif(traceback, ''), 1, 16000)) AS traceback_chars

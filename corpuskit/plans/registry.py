@@ -84,12 +84,12 @@ def _some_books(v) -> DataFrame:
 
 @query
 def purge_prefixes(v):
-    return migrate.purge_prefixes(v("inventory"), _some_books(v))
+    return planning.purge_prefixes(v("inventory"), _some_books(v))
 
 
 @query
 def purge_narrator(v):
-    return migrate.purge_prefixes(v("inventory"), _some_books(v), narrator="elegiac")
+    return planning.purge_prefixes(v("inventory"), _some_books(v), narrator="elegiac")
 
 
 @query
@@ -571,6 +571,13 @@ def ab_eligible_users(v):
     return catalog.ab_eligible_users(v("users"), allow, "customer#000000100@example.org").select("id", "email", "role")
 
 
+@query
+def allowed_sign_ins(v):
+    allow = v("supplier").select(F.concat(F.lower("s_name"), F.lit("@example.org")).alias("email"))
+    people = v("users").select("id", F.replace("email", F.lit("customer"), F.lit("SUPPLIER")).alias("email"))
+    return catalog.allowed_sign_ins(people, allow, " Supplier#000000149@Example.org")
+
+
 @query
 def apply_access(v):
     grants = v("supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 2 == 0).alias("ab_test_access"))
@@ -723,6 +730,11 @@ def plan_reprocess_moves(v):
     return _reprocess(v)["moves"]
 
 
+@query
+def plan_reprocess_purge(v):
+    return _reprocess(v)["purge"]
+
+
 # ---- monitoring --------------------------------------------------------------------------------
 
 

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..operators.planning import clip_key
 
-PURGE_KINDS = ("audio", "audio-archive", "pdfs")
-
 
 def remap_ids(
     books: DataFrame, segments: DataFrame, local_files: DataFrame, remote: DataFrame, offset: int
@@ -56,22 +54,3 @@ def rekey_prefix(inventory: DataFrame, src: str, dst: str) -> DataFrame:
     return inventory.select(
         "key", F.when(moved, F.concat(F.lit(dst), tail)).otherwise(F.col("key")).alias("new_key"), moved.alias("moved")
     )
-
-
-def purge_prefixes(
-    inventory: DataFrame, ids: DataFrame, kinds: tuple[str, ...] = PURGE_KINDS, narrator: str | None = None
-) -> DataFrame:
-    """Keys to delete for the books in ``ids`` (column book_id): everything under ``kind/{id}/``.
-
-    With ``narrator`` only ``audio/{id}/{narrator}/``. Joined on the id part of the key, not by LIKE.
-    """
-    parts = F.split("key", "/")
-    keyed = inventory.withColumn("_id", F.get(parts, F.lit(1)))
-    if narrator is None:
-        under = F.get(parts, F.lit(0)).isin(*kinds) & (F.size(parts) >= 3)
-    else:
-        under = (
-            (F.get(parts, F.lit(0)) == "audio") & (F.get(parts, F.lit(2)) == narrator) & (F.size(parts) >= 4)
-        )
-    wanted = ids.select("book_id", F.col("book_id").cast("string").alias("_id"))
-    return keyed.filter(under).join(wanted, "_id").select("key", "book_id")

@@ -110,7 +110,7 @@ def test_rekey(spark):
 def test_purge_keeps_longer_ids(spark):
     inv = spark.createDataFrame([("audio/1/x",), ("audio/12/x",), ("audio/1",), ("other/1/x",), ("pdfs/1/x",)], "key string")
     ids = spark.createDataFrame([(1,)], "book_id long")
-    assert rows(migrate.purge_prefixes(inv, ids)) == [("audio/1/x", 1), ("pdfs/1/x", 1)]
+    assert rows(planning.purge_prefixes(inv, ids)) == [("audio/1/x", 1), ("pdfs/1/x", 1)]
 
 
 def test_copy_refuses_a_filled_target(spark):
