@@ -32,25 +32,33 @@ def split_sentences(c: Column) -> Column:
 def _pack(pieces: Column, cap: int) -> Column:
     """Greedy join with single blanks; a new piece starts when the cap would be passed.
 
-    The state holds only finished pieces and the open one, so the finished array is copied per
-    finished piece, not per input element.
+    The fold runs over lengths and keeps positions only. Spark copies the state of a fold at every
+    step, so texts in it would make a long region quadratic in its size.
     """
-    zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    zero = F.struct(
+        F.array().cast("array<int>").alias("starts"), F.lit(0).alias("open"), F.lit(0).alias("at")
+    )
 
-    def step(state: Column, piece: Column) -> Column:
-        is_open = state["open"] != ""
-        full = is_open & (F.length(state["open"]) + F.length(piece) + 1 > cap)
+    def step(state: Column, n: Column) -> Column:
+        fits = (state["at"] > 0) & (state["open"] + n + 1 <= cap)
         return F.struct(
-            F.when(full, F.array_append(state["done"], state["open"])).otherwise(state["done"]).alias("done"),
-            F.when(full | ~is_open, piece).otherwise(F.concat(state["open"], F.lit(" "), piece)).alias("open"),
+            F.when(fits, state["starts"]).otherwise(F.array_append(state["starts"], state["at"])).alias("starts"),
+            F.when(fits, state["open"] + n + 1).otherwise(n).alias("open"),
+            (state["at"] + 1).alias("at"),
         )
 
-    def finish(state: Column) -> Column:
-        return F.when(state["open"] == "", state["done"]).otherwise(
-            F.array_append(state["done"], state["open"])
-        )
+    def cut(parts: Column, starts: Column) -> Column:
+        def piece(start: Column, i: Column) -> Column:
+            end = F.coalesce(F.get(starts, i + 1), F.size(parts))
+            return F.array_join(F.slice(parts, start + 1, end - start), " ")
+
+        return F.transform(starts, piece)
+
+    def run(parts: Column) -> Column:
+        starts = F.aggregate(F.transform(parts, F.length), zero, step, lambda state: state["starts"])
+        return let(starts, lambda at: cut(parts, at))
 
-    return F.aggregate(pieces, zero, step, finish)
+    return let(pieces, run)
 
 
 def split_oversized(sentence: Column, cap: int = CHUNK_CHARS) -> Column:
