@@ -8,7 +8,9 @@ import pytest
 import __spark_entry__ as entry
 from corpuskit.plans.fixtures import BASE
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+from corpuskit.plans import oracles, registry
+
+QUERIES, ORACLES = registry.QUERIES, oracles.oracle_sql()
 
 
 @pytest.fixture(scope="module")
