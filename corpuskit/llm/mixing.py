@@ -85,7 +85,7 @@ def _overlap(start: Column, end: Column) -> Column:
 
 def mix_sources(
     docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeat_cap: int = 3, block: int = 16,
-    shard_rows: int = 20_000, seed: str = "mix-1",
+    shard_rows: int = 2_000, seed: str = "mix-1",
 ) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken (words, repeats counted).
 
@@ -187,7 +187,7 @@ seats AS (SELECT *, round(sum(rest) OVER () / 16)::BIGINT AS blocks FROM shares)
 quotas AS {_apportioned("seats", "mix", "source", "rest", "blocks")},
 placed AS MATERIALIZED (
   SELECT s.*, source_size, target, passes, quota AS source_quota,
-    ('0x' || substr(draw, 1, 8))::BIGINT % ceil(n_rows / 20000.0)::BIGINT AS shard
+    ('0x' || substr(draw, 1, 8))::BIGINT % ceil(n_rows / 2000.0)::BIGINT AS shard
   FROM sizes s JOIN quotas q ON s.source IS NOT DISTINCT FROM q.source),
 at_places AS (SELECT *, (sum(size) OVER (PARTITION BY source, shard ORDER BY draw, doc_id NULLS FIRST, size
   ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS at_word FROM placed),

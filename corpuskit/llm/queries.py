@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from corpuskit.llm import mixing
+from corpuskit.llm import mixing, simhash, toxicity
 
 QUERIES = {
+    "op3_toxicity": toxicity.op3_toxicity,
     "op8_source_mix": mixing.op8_source_mix,
+    "op9_simhash_groups": simhash.op9_simhash_groups,
 }
 
 ORACLES = {

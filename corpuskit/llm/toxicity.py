@@ -23,9 +23,10 @@ from corpuskit.llm.common import held_out, stage, table
 WORD = re.compile(r"[^\W\d_]+")
 #: Beginnings of a word that are counted beside the word, so that unseen forms of a stem are recognised.
 STEMS = (4, 5)
-PRIOR = 20.0
-#: Log-odds that many standard deviations above zero are evidence; any other token costs DRIFT.
-MIN_Z = 3.0
+PRIOR = 5.0
+#: A feature is evidence if its log-odds are this high and its likelihood ratio would not be expected by chance among
+#: all features; any other token costs DRIFT.
+MIN_SCORE = 2.0
 DRIFT = 0.5
 #: Size bound of the broadcast model: the features with the highest z.
 MAX_FEATURES = 50_000
@@ -33,6 +34,9 @@ MAX_FEATURES = 50_000
 BROADCAST_LABELS = 2_000_000
 FLUSH = 400_000
 THRESHOLD = 0.7
+#: Without a significant passage, the best segment's log-odds against chance, down to minus this, are told apart by
+#: an evidence from -1 to 0.
+CHANCE = 8.0
 
 
 def _features(words: set[str]) -> set[str]:
@@ -87,8 +91,8 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
     return own.join(known, F.col("doc_id") == F.col("l_id"), "left").drop("l_id")
 
 
-def fit_log_odds(rows: DataFrame) -> tuple[dict[str, float], float]:
-    """The significant features' log-odds, and the chance rate of them in clean documents.
+def fit_log_odds(rows: DataFrame) -> tuple[dict[str, float], tuple[float, float]]:
+    """The significant features' log-odds, and the extreme-value law of their segments in clean documents.
 
     `rows` has text and label. Without labels of both kinds the model is empty.
     """
@@ -99,34 +103,42 @@ def fit_log_odds(rows: DataFrame) -> tuple[dict[str, float], float]:
     ).head()
     n, n_clean, n_toxic = (float(x or 0) for x in sizes)
     if not n_clean or not n_toxic:
-        return {}, 0.0
+        return {}, (1.0, 0.5)
     share = PRIOR * F.col("whole") / n + 0.01
     clean, toxic = F.col("clean") + share, F.col("toxic") + share
     log_odds = F.log(toxic / (n_toxic + PRIOR - F.col("toxic"))) - F.log(clean / (n_clean + PRIOR - F.col("clean")))
+    rate = n_toxic / (n_toxic + n_clean)
+    seen = F.col("clean") + F.col("toxic")
+    ratio = F.col("toxic") * F.log(F.col("toxic") / seen / rate) + F.when(
+        F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / seen / (1 - rate))
+    ).otherwise(0.0)
+    counts = stage(counts.where("clean + toxic > 0"), "word-counts")
+    n_features, tokens = counts.agg(
+        F.count(F.lit(1)), F.sum(F.when(F.col("feature").endswith("*"), F.lit(0)).otherwise(F.col("clean")))
+    ).head()
     strong = (
-        counts.where("toxic > 0")
-        .select("feature", log_odds.alias("score"), (log_odds / F.sqrt(1 / toxic + 1 / clean)).alias("z"), "clean")
-        .where(F.col("z") >= MIN_Z)
-        .orderBy(F.desc("z"), "feature")
+        counts.select("feature", "clean", log_odds.alias("score"), (2 * ratio).alias("ratio"))
+        .where((F.col("score") >= MIN_SCORE) & (F.col("ratio") >= 2 * math.log(max(n_features, 2))))
+        .orderBy(F.desc("ratio"), "feature")
         .limit(MAX_FEATURES)
         .toPandas()
     )
-    hits = float(strong["clean"].sum())
-    return dict(zip(strong["feature"], strong["score"].astype(float), strict=True)), hits / n_clean
+    chance = (strong["clean"].to_numpy(float) + 0.1) / max(float(tokens or 0), 1.0)
+    scores = strong["score"].to_numpy(float)
+    return dict(zip(strong["feature"], scores.tolist(), strict=True)), extreme_value(scores, chance)
 
 
-def extreme_value(scores: list[float], rate: float) -> tuple[float, float]:
-    """Karlin-Altschul's lambda and K for tokens that are worth `scores` at `rate` and else -DRIFT.
+def extreme_value(scores: np.ndarray, chance: np.ndarray) -> tuple[float, float]:
+    """Karlin-Altschul's lambda and K for clean tokens that are worth each of `scores` by `chance`, else -DRIFT.
 
-    lambda is the positive root of the mean of exp(lambda * score) = 1; K is the geometric-like-walk bound 1 -
-    exp(-lambda * DRIFT).
+    lambda is the positive root of mean(exp(lambda * score)) = 1, searched up to 2; K is 1 - exp(-lambda * DRIFT).
     """
-    mean = float(np.mean(scores)) if scores else 1.0
-    rate = min(max(rate, 1e-7), 0.2)
-    low, high = 1e-3, 5.0
+    chance = chance * min(1.0, 0.2 / max(chance.sum(), 1e-12))
+    low, high = 1e-3, 2.0
     for _ in range(60):
         mid = (low + high) / 2
-        low, high = (mid, high) if rate * math.exp(mid * mean) + (1 - rate) * math.exp(-mid * DRIFT) < 1 else (low, mid)
+        mean = (chance * np.exp(mid * scores)).sum() + (1 - chance.sum()) * math.exp(-mid * DRIFT)
+        low, high = (mid, high) if mean < 1 else (low, mid)
     return low, 1 - math.exp(-low * DRIFT)
 
 
@@ -151,11 +163,11 @@ def maximal_segments(hits: list[tuple[int, float]]) -> list[tuple[int, int, floa
     return [(first, last, right - left) for left, right, first, last in stack]
 
 
-def evidence(rows: DataFrame, model: dict[str, float], rate: float) -> DataFrame:
+def evidence(rows: DataFrame, model: dict[str, float], law: tuple[float, float]) -> DataFrame:
     """`rows` (doc_id, held_out, label, text) with evidence, passages and first and last token of the best passage."""
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    lam, k = extreme_value(list(model.values()), rate)
+    lam, k = law
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = shared.value
@@ -174,10 +186,12 @@ def evidence(rows: DataFrame, model: dict[str, float], rate: float) -> DataFrame
                 words = WORD.findall((text or "").lower())
                 values = [seen[w] if w in seen else score(w) for w in words]
                 segments = maximal_segments([(i, v) for i, v in enumerate(values) if v > 0])
-                scored = [(max(0.0, lam * s - math.log(k * len(words))), a, b) for a, b, s in segments]
+                scored = [(lam * s - math.log(k * len(words)), a, b) for a, b, s in segments]
+                best = max(scored, default=(-CHANCE, None, None))
                 scored = [x for x in scored if x[0] > 0]
-                best = max(scored, default=(0.0, None, None))
-                found.append((sum(x[0] for x in scored), len(scored), best[1], best[2]))
+                value = sum(x[0] for x in scored) if scored else max(best[0] / CHANCE, -1.0)
+                first, last = best[1:] if scored else (None, None)
+                found.append((value, len(scored), first, last))
             out = batch[["doc_id", "held_out", "label"]].copy()
             out["doc_id"], out["label"] = out["doc_id"].astype("Int64"), out["label"].astype("Int32")
             for i, name in enumerate(("evidence", "passages", "first_token", "last_token")):
@@ -218,8 +232,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     table none; other columns are ignored.
     """
     rows = labelled(docs, labels, "toxic")
-    model, rate = fit_log_odds(rows)
-    scored = stage(evidence(rows, model, rate), "evidence")
+    model, law = fit_log_odds(rows)
+    scored = stage(evidence(rows, model, law), "evidence")
     slope, offset = calibrate(scored)
     score = 1 / (1 + F.exp(-(F.lit(offset) + slope * F.least("evidence", F.lit(10.0)))))
     score = score + (1 - score) * (1 - F.exp(-F.greatest(F.col("evidence") - 10, F.lit(0.0)) / 1000)) / 2
