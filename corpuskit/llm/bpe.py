@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from corpuskit.llm.common import table
 
 #: Unicode white space; Python's own class also has the four separators U+001C to U+001F.
-SPACES = r"\t-\r \x85\xa0  -     　"
+SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LONG_WORD = 256
 #: Words for one DuckDB query, and words that a worker remembers (about 300 bytes each).
 WORDS_AT_ONCE = 50_000
@@ -59,24 +59,22 @@ def split_pattern(pattern: str):
 
     Texts of ASCII characters alone take the same pattern with the ASCII members of its classes, which is faster.
     """
-    out, inside, at = "", False, 0
+    full, plain, inside, at = "", "", False, 0
     while at < len(pattern):
-        two = pattern[at : at + 2]
-        if two == r"\s":
-            out += SPACES if inside else f"[{SPACES}]"
-        elif two == r"\S" and not inside:
-            out += f"[^{SPACES}]"
-        elif two[0] == "\\":
-            out += two
+        token = pattern[at : at + 5] if pattern[at : at + 5] in (r"\p{L}", r"\p{N}") else pattern[at : at + 2]
+        token = token if token[0] == "\\" else token[0]
+        known = {
+            r"\s": (SPACES, r"\t-\r "), r"\p{L}": (token, "A-Za-z"), r"\p{N}": (token, "0-9"),
+            r"\S": (f"^{SPACES}", r"^\t-\r "),
+        }.get(token if not (inside and token == r"\S") else "")
+        if known:
+            full += known[0] if inside or known[0] == token else f"[{known[0]}]"
+            plain += known[1] if inside else f"[{known[1]}]"
         else:
-            inside = two[0] == "[" or inside and two[0] != "]"
-            out += two[0]
-        at += 2 if two[0] == "\\" else 1
-    plain = out.replace(SPACES, r"\t-\r ")
-    for name, letters in ((r"\p{L}", "A-Za-z"), (r"\p{N}", "0-9")):
-        plain = re.sub(rf"(\[[^\]]*){re.escape(name)}", rf"\1{letters}", plain)  # inside of classes
-        plain = re.sub(rf"(\[[^\]]*){re.escape(name)}", rf"\1{letters}", plain).replace(name, f"[{letters}]")
-    exact = regex.compile(out).findall
+            inside = token == "[" or inside and token != "]"
+            full, plain = full + token, plain + token
+        at += len(token)
+    exact = regex.compile(full).findall
     if r"\p" in plain:
         return exact
     ascii_only = re.compile(plain).findall
