@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corpuskit.llm import bpe, mixing, simhash, toxicity
+from corpuskit.llm import bpe, mixing, simhash, suffix_dedup, toxicity
 
 QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
+    "op5_repeated_strings": suffix_dedup.op5_repeated_strings,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_source_mix": mixing.op8_source_mix,
     "op9_simhash_groups": simhash.op9_simhash_groups,
