@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from corpuskit.llm import bpe, mixing, simhash, suffix_dedup, toxicity
+from corpuskit.llm import bpe, edit_embedding, mixing, mtree, sharding, simhash, suffix_dedup, toxicity
 
 QUERIES = {
+    "op1_shards": sharding.op1_shards,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_top_vectors": mtree.op4_top_vectors,
     "op5_repeated_strings": suffix_dedup.op5_repeated_strings,
+    "op6_edit_fingerprints": edit_embedding.op6_edit_fingerprints,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_source_mix": mixing.op8_source_mix,
     "op9_simhash_groups": simhash.op9_simhash_groups,
 }
 
 ORACLES = {
+    "op4_top_vectors": mtree.OP4_SQL,
     "op8_source_mix": mixing.OP8_SQL,
 }
