@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corpuskit.llm import bpe, edit_embedding, html_text, mixing, mtree, sharding, simhash, suffix_dedup, toxicity
+from corpuskit.llm import bpe, edit_embedding, html_text, mixing, mtree, quality, sharding, simhash, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_shards": sharding.op1_shards,
+    "op10_quality": quality.op10_quality,
     "op2_main_text": html_text.op2_main_text,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_top_vectors": mtree.op4_top_vectors,

@@ -74,8 +74,9 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield flush()
 
 
-def labelled(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
-    """`docs` with held_out and label: the 0/1 of `column`, null in the held-out fold and without a label.
+def labelled(docs: DataFrame, labels: DataFrame, column: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text and the columns `keep`, with held_out and label: the 0/1 of `column`, null in the held-out fold
+    and without a label.
 
     Of several labels of an id the largest counts; other values than 0 and 1 are no labels.
     """
@@ -87,7 +88,7 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
     known = stage(known.where(~held_out("l_id")), "labels")
     if known.count() <= BROADCAST_LABELS:
         known = F.broadcast(known)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out())
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep).withColumn("held_out", held_out())
     return own.join(known, F.col("doc_id") == F.col("l_id"), "left").drop("l_id")
 
 
