@@ -11,6 +11,11 @@ from corpuskit.session import scratch_dir
 NO_ID = -(1 << 63)
 
 
+def text_tag():
+    """A hash of the text, which with the id tells rows apart."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, read by Spark from wherever it is stored."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuskit.llm.common import stage
+from corpuskit.llm.common import stage, table, text_tag
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -87,7 +87,8 @@ def mix_sources(
     docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeat_cap: int = 3, block: int = 16,
     shard_rows: int = 2_000, seed: str = "mix-1",
 ) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken (words, repeats counted).
+    """One row per document: doc_id, tag (the text's hash), source, size, source_size, target, taken (words, repeats
+    counted).
 
     A document's size is its number of words; null text has none. Sources are ordered by code point, null last,
     and weighed by `weights` in turn; a null source is a source. A source of target t and size s gives floor(t / s)
@@ -100,7 +101,7 @@ def mix_sources(
         docs.select(
             "doc_id", "source",
             F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
-            key.alias("draw"),
+            key.alias("draw"), text_tag().alias("tag"),
         ),
         "mix-sizes",
     )
@@ -141,14 +142,26 @@ def mix_sources(
         + _overlap(F.col("first") * block, F.least(end * block, F.col("shard_size")))
         + _overlap(F.lit(0), F.greatest(end - F.col("n_blocks"), F.lit(0)) * block)
     )
-    return mixed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return mixed.select("doc_id", "tag", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def op8_source_mix(spark, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken for every document."""
-    from corpuskit.llm.common import table
-
-    return mix_sources(table(spark, sf_dir, "documents")).drop("source")
+    return mix_sources(table(spark, sf_dir, "documents")).drop("source", "tag")
+
+
+def mixed_documents(docs: DataFrame, seed: str = "mix-1") -> DataFrame:
+    """The rows of `docs`, each as often as the mix takes it: taken / size times, rounded up or down by a seeded draw,
+    so that the words taken from a source keep near its target. Documents that the mix leaves out go, among them all
+    without words; repeats are equal rows."""
+    part = F.md5(F.concat(F.lit(seed + ":copies:"), F.coalesce(F.col("m_id").cast("string"), F.lit(""))).cast("binary"))
+    draw = F.conv(F.substring(part, 1, 8), 16, 10).cast("double") / float(1 << 32)
+    taken = mix_sources(docs, seed=seed).select(F.col("doc_id").alias("m_id"), F.col("tag").alias("m_tag"), "size", "taken")
+    taken = taken.where("taken > 0").withColumn("copies", F.floor(F.col("taken") / F.col("size") + draw).cast("int"))
+    taken = taken.where("copies > 0").groupBy("m_id", "m_tag").agg(F.max("copies").alias("copies"))
+    same = F.col("doc_id").eqNullSafe(F.col("m_id")) & (text_tag() == F.col("m_tag"))
+    rows = docs.join(taken, same).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    return rows.select(*docs.columns)
 
 
 def _apportioned(shares: str, group: str, unit: str, weight: str, seats: str) -> str:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.llm.common import shuffle_parts, stage, table
+from corpuskit.llm.common import shuffle_parts, stage, table, text_tag
 from corpuskit.llm.components import connected_components
 
 MAX_BITS = 3
@@ -62,14 +62,15 @@ def simhash(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a long) for every row; null text has no words."""
+    """doc_id, tag, fp (the fingerprint's bits as a long) for every row; null text has no words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fps = np.array([simhash(t) for t in batch["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": fps.view(np.int64)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "tag": batch["tag"], "fp": fps.view(np.int64)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_tag().alias("tag"))
+    return rows.mapInPandas(run, "doc_id long, tag long, fp long")
 
 
 def _shared_bytes(x: np.ndarray) -> np.ndarray:
@@ -164,27 +165,45 @@ def near_links(prints: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
     return lists.repartition(parts, "key").sortWithinPartitions("key", "fp").mapInPandas(_links, "u long, v long")
 
 
+def components(prints: DataFrame) -> DataFrame:
+    """fp, root: the component of every distinct fingerprint, named by its least fingerprint. Equal fingerprints are
+    one node, so copies make no links."""
+    nodes = stage(prints.select("fp").distinct(), "nodes")
+    roots = connected_components(near_links(nodes))
+    return nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of `docs`: doc_id, fingerprint (hex), component_id.
 
     Rows without words share fingerprint zero, which links like any other. component_id is the smallest doc_id
     that can be reached; rows without an id join components but cannot name one, so a component of such rows only
-    has a null id. Equal fingerprints are one node, so copies make no links. Repeated rows give repeated results,
-    an empty table none, other columns are ignored.
+    has a null id. Repeated rows give repeated results, an empty table none, other columns are ignored.
     """
     prints = stage(fingerprints(docs), "fingerprints")
-    nodes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = connected_components(near_links(nodes.select("fp")))
-    known = nodes.join(roots, F.col("fp") == F.col("node"), "left").select(
-        F.coalesce("root", "fp").alias("root"), "fp", "least"
-    )
-    named = known.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
-    named = known.join(named, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
+    known = stage(components(prints), "components")
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumnRenamed("fp", "l")
+    named = known.join(least, F.col("fp") == F.col("l")).groupBy("root").agg(F.min("least").alias("component_id"))
+    named = known.join(named, "root").select(F.col("fp").alias("f"), "component_id")
     return prints.join(named, F.col("fp") == F.col("f")).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of `docs` for each component, with its own columns: that of the least id, rows without an id last, and
+    of the least hash of the text among equal ids. Of fully repeated rows one stays."""
+    prints = stage(fingerprints(docs), "fingerprints")
+    known = stage(components(prints), "components")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tag")).alias("first")
+    least = prints.groupBy("fp").agg(first).withColumnRenamed("fp", "l")
+    kept = known.join(least, F.col("fp") == F.col("l")).groupBy("root").agg(F.min("first").alias("first"))
+    kept = kept.select(F.col("first.doc_id").alias("k_id"), F.col("first.tag").alias("k_tag"))
+    tagged = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_tag": text_tag()})
+    same = F.col("_id").eqNullSafe(F.col("k_id")) & (F.col("_tag") == F.col("k_tag"))
+    return tagged.join(kept.distinct(), same, "left_semi").dropDuplicates(["_id", "_tag"]).drop("_id", "_tag")
+
+
 def op9_simhash_groups(spark, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id for every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))

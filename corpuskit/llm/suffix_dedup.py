@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.llm.common import NO_ID, shuffle_parts, stage, table
+from corpuskit.llm.common import NO_ID, shuffle_parts, stage, table, text_tag
 
 WINDOW = 100
 GRAM = 44
@@ -427,6 +427,7 @@ def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Cuts the texts; columns that only pass through stay."""
     for batch in batches:
         found = []
         for text, blobs in zip(batch["text"], batch["gone"], strict=True):
@@ -440,11 +441,12 @@ def _apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
             found.append((len(data), int(gone.sum()), spans, data[~gone].tobytes()))
         out = pd.DataFrame(found, columns=["n_bytes", "n_removed", "n_spans", "kept"])
-        yield pd.concat([batch[["id", "tag"]].reset_index(drop=True), out], axis=1)
+        yield pd.concat([batch.drop(columns=["text", "gone"]).reset_index(drop=True), out], axis=1)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """id, tag, n_bytes, n_removed, n_spans, kept (the remaining bytes) for every row; id NO_ID stands for null.
+def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, tag, the string columns `keep`, n_bytes, n_removed, n_spans, kept (the remaining bytes) for every row; id
+    NO_ID stands for null.
 
     A byte goes if it is covered by a WINDOW-byte string that also starts earlier. Null text is empty; texts shorter
     than WINDOW stay. Rows equal in id and text are one document and get the same result each; rows equal in id
@@ -454,9 +456,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     parts = shuffle_parts(spark)
     buckets = max(4, parts // 3)
     rows = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text")
-    ).select("id", F.xxhash64("text").alias("tag"), "text")
-    sent = rows.mapInPandas(_send(buckets), PACKED).repartition(parts, "part").sortWithinPartitions("part")
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"), *keep
+    ).select("id", text_tag().alias("tag"), "text", *keep)
+    sent = rows.select("id", "tag", "text").mapInPandas(_send(buckets), PACKED).repartition(parts, "part").sortWithinPartitions("part")
     asked = stage(sent.mapInPandas(_collect, PACKED), "repeat-candidates")
     lists = [F.collect_list(F.when(F.col("kind") == k, F.col("data"))).alias(name) for k, name in ((1, "near"), (2, "hot"))]
     wanted = asked.where("kind > 0").groupBy(F.col("id").alias("w_id"), F.col("tag").alias("w_tag")).agg(*lists)
@@ -466,8 +468,22 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     gone = asked.where("kind = 0").union(merged).groupBy(F.col("id").alias("g_id"), F.col("tag").alias("g_tag"))
     gone = gone.agg(F.collect_list("data").alias("gone"))
     whole = rows.join(gone, (F.col("id") == F.col("g_id")) & (F.col("tag") == F.col("g_tag")), "left")
-    schema = "id long, tag long, n_bytes long, n_removed long, n_spans long, kept binary"
-    return whole.select("id", "tag", "text", "gone").mapInPandas(_apply, schema)
+    schema = ", ".join(["id long, tag long", *[f"`{c}` string" for c in keep], "n_bytes long, n_removed long, n_spans long, kept binary"])
+    return whole.select("id", "tag", *keep, "text", "gone").mapInPandas(_apply, schema)
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` (doc_id, text, lang, source, n_chars) with the remaining text and its length. Bytes of a
+    character that was cut apart are dropped, and a text may become empty; no row goes."""
+    @F.pandas_udf("string")
+    def decoded(kept: pd.Series) -> pd.Series:
+        return kept.map(lambda data: bytes(data).decode("utf-8", "ignore"))
+
+    left = remove_repeats(docs, ("lang", "source")).withColumn("text", decoded("kept"))
+    return left.select(
+        F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "text", "lang", "source",
+        F.length("text").cast("long").alias("n_chars"),
+    )
 
 
 def op5_repeated_strings(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.llm.common import held_out, stage, table
+from corpuskit.llm.common import held_out, stage, table, text_tag
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Beginnings of a word that are counted beside the word, so that unseen forms of a stem are recognised.
@@ -75,7 +75,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text and the columns `keep`, with held_out and label: the 0/1 of `column`, null in the held-out fold
+    """doc_id, text, tag and the columns `keep`, with held_out and label: the 0/1 of `column`, null in the held-out fold
     and without a label.
 
     Of several labels of an id the largest counts; other values than 0 and 1 are no labels.
@@ -88,7 +88,7 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, keep: tuple[str, .
     known = stage(known.where(~held_out("l_id")), "labels")
     if known.count() <= BROADCAST_LABELS:
         known = F.broadcast(known)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep).withColumn("held_out", held_out())
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_tag().alias("tag"), *keep).withColumn("held_out", held_out())
     return own.join(known, F.col("doc_id") == F.col("l_id"), "left").drop("l_id")
 
 
@@ -165,7 +165,7 @@ def maximal_segments(hits: list[tuple[int, float]]) -> list[tuple[int, int, floa
 
 
 def evidence(rows: DataFrame, model: dict[str, float], law: tuple[float, float]) -> DataFrame:
-    """`rows` (doc_id, held_out, label, text) with evidence, passages and first and last token of the best passage."""
+    """`rows` (doc_id, tag, held_out, label, text) with evidence, passages and first and last token of the best passage."""
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(model)
     lam, k = law
@@ -193,14 +193,14 @@ def evidence(rows: DataFrame, model: dict[str, float], law: tuple[float, float])
                 value = sum(x[0] for x in scored) if scored else max(best[0] / CHANCE, -1.0)
                 first, last = best[1:] if scored else (None, None)
                 found.append((value, len(scored), first, last))
-            out = batch[["doc_id", "held_out", "label"]].copy()
+            out = batch[["doc_id", "tag", "held_out", "label"]].copy()
             out["doc_id"], out["label"] = out["doc_id"].astype("Int64"), out["label"].astype("Int32")
             for i, name in enumerate(("evidence", "passages", "first_token", "last_token")):
                 out[name] = pd.array([f[i] for f in found], dtype="Float64" if i == 0 else "Int64")
             yield out
 
-    schema = "doc_id long, held_out boolean, label int, evidence double, passages long, first_token long, last_token long"
-    return rows.select("doc_id", "held_out", "label", "text").mapInPandas(run, schema)
+    schema = "doc_id long, tag long, held_out boolean, label int, evidence double, passages long, first_token long, last_token long"
+    return rows.select("doc_id", "tag", "held_out", "label", "text").mapInPandas(run, schema)
 
 
 def calibrate(scored: DataFrame, step: float = 0.25, top: float = 50.0) -> tuple[float, float]:
@@ -225,8 +225,9 @@ def calibrate(scored: DataFrame, step: float = 0.25, top: float = 50.0) -> tuple
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, evidence, passages, first_token, last_token for every row of `docs`.
+    """doc_id, tag, held_out, score, predicted, evidence, passages, first_token, last_token for every row of `docs`.
 
+    tag is the hash of the text, which tells rows with the same id or none apart.
     Rows whose crc32 of the id leaves 1 modulo 3 are never learned from. Only the text enters a score. Empty and null
     texts have no evidence and the score of none. Without labels of both kinds, every score is that of no evidence.
     Tokens are counted from zero. Equal texts have equal scores; repeated rows give repeated results, an empty
@@ -240,11 +241,18 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     score = score + (1 - score) * (1 - F.exp(-F.greatest(F.col("evidence") - 10, F.lit(0.0)) / 1000)) / 2
     scored = scored.withColumn("score", score)
     return scored.select(
-        "doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
+        "doc_id", "tag", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
         "evidence", "passages", "first_token", "last_token",
     )
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted for every document, and its passages."""
-    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("tag")
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `docs` that are not predicted to be toxic, with their own columns."""
+    gone = score_toxicity(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("r_id"), F.col("tag").alias("r_tag"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("r_id")) & (text_tag() == F.col("r_tag"))
+    return docs.join(gone.distinct(), same, "left_anti")
