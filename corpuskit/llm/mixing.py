@@ -25,7 +25,7 @@ def apportion(shares: DataFrame, group: list[str], unit: str, weight: str, seats
     A group without weight gets no seat.
     """
     by = Window.partitionBy(*group)
-    fair = F.col(weight) / F.sum(weight).over(by)
+    fair = F.try_divide(F.col(weight), F.sum(weight).over(by))
     half = F.count(F.lit(1)).over(by) / 2
     known = shares.withColumns(
         {
@@ -158,10 +158,10 @@ def mixed_documents(docs: DataFrame, seed: str = "mix-1") -> DataFrame:
     draw = F.conv(F.substring(part, 1, 8), 16, 10).cast("double") / float(1 << 32)
     taken = mix_sources(docs, seed=seed).select(F.col("doc_id").alias("m_id"), F.col("tag").alias("m_tag"), "size", "taken")
     taken = taken.where("taken > 0").withColumn("copies", F.floor(F.col("taken") / F.col("size") + draw).cast("int"))
-    taken = taken.where("copies > 0").groupBy("m_id", "m_tag").agg(F.max("copies").alias("copies"))
-    same = F.col("doc_id").eqNullSafe(F.col("m_id")) & (text_tag() == F.col("m_tag"))
-    rows = docs.join(taken, same).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
-    return rows.select(*docs.columns)
+    taken = taken.where("copies > 0").groupBy("m_id", "m_tag").agg(F.max("copies").alias("copies"))  # of repeated rows
+    tagged = docs.select(F.struct("*").alias("own"), F.col("doc_id").alias("own_id"), text_tag().alias("own_tag"))
+    same = F.col("own_id").eqNullSafe(F.col("m_id")) & (F.col("own_tag") == F.col("m_tag"))
+    return tagged.join(taken, same).select("own", F.explode(F.sequence(F.lit(1), "copies"))).select("own.*")
 
 
 def _apportioned(shares: str, group: str, unit: str, weight: str, seats: str) -> str:

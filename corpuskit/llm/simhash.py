@@ -199,9 +199,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     least = prints.groupBy("fp").agg(first).withColumnRenamed("fp", "l")
     kept = known.join(least, F.col("fp") == F.col("l")).groupBy("root").agg(F.min("first").alias("first"))
     kept = kept.select(F.col("first.doc_id").alias("k_id"), F.col("first.tag").alias("k_tag"))
-    tagged = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_tag": text_tag()})
-    same = F.col("_id").eqNullSafe(F.col("k_id")) & (F.col("_tag") == F.col("k_tag"))
-    return tagged.join(kept.distinct(), same, "left_semi").dropDuplicates(["_id", "_tag"]).drop("_id", "_tag")
+    tagged = docs.select(F.struct("*").alias("own"), F.col("doc_id").cast("long").alias("own_id"), text_tag().alias("own_tag"))
+    same = F.col("own_id").eqNullSafe(F.col("k_id")) & (F.col("own_tag") == F.col("k_tag"))
+    kept = tagged.join(kept.distinct(), same, "left_semi").dropDuplicates(["own_id", "own_tag"])
+    return kept.select("own.*")
 
 
 def op9_simhash_groups(spark, sf_dir: str) -> DataFrame:

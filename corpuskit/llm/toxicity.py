@@ -253,6 +253,7 @@ def op3_toxicity(spark, sf_dir: str) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that are not predicted to be toxic, with their own columns."""
-    gone = score_toxicity(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("r_id"), F.col("tag").alias("r_tag"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("r_id")) & (text_tag() == F.col("r_tag"))
-    return docs.join(gone.distinct(), same, "left_anti")
+    gone = score_toxicity(docs, labels).where("predicted = 1").select("doc_id", "tag").distinct().alias("gone")
+    tagged = docs.select(F.struct("*").alias("own"), F.col("doc_id").cast("long").alias("own_id"), text_tag().alias("own_tag"))
+    same = F.col("own_id").eqNullSafe(F.col("gone.doc_id")) & (F.col("own_tag") == F.col("gone.tag"))
+    return tagged.join(gone, same, "left_anti").select("own.*")
