@@ -120,7 +120,7 @@ def short_token_ratio(c: Column) -> Column:
 
 
 def qa_flags(text: Column, is_last: Column) -> Column:
-    """STRUCT<flags ARRAY<STRING>, noise_ratio, short_ratio>; the order of flags is fixed."""
+    """STRUCT<flags ARRAY<STRING>, length, noise_ratio, short_ratio>; the order of flags is fixed."""
 
     def judge(t: Column, noise: Column, short: Column, low: Column) -> Column:
         checks = [
@@ -134,7 +134,7 @@ def qa_flags(text: Column, is_last: Column) -> Column:
             (t.rlike(LETTER_BLANKS) & t.rlike(SPACED_LETTERS), "OCR-SPACING"),
         ]
         flags = F.array_compact(F.array(*(F.when(test, F.lit(name)) for test, name in checks)))
-        return F.struct(flags.alias("flags"), noise.alias("noise_ratio"), short.alias("short_ratio"))
+        return F.struct(flags.alias("flags"), F.length(t).alias("length"), noise.alias("noise_ratio"), short.alias("short_ratio"))
 
     return let(
         text,

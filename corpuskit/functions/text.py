@@ -53,7 +53,10 @@ def _nfkc_udf():
 
 
 def nfkc(c: Column) -> Column:
-    """Unicode NFKC. Spark has no such function; only rows with non-ASCII text cross to Python."""
+    """Unicode NFKC. Spark has no such function; every row crosses to Python, ASCII texts as a null.
+
+    ``c`` should be a plain column: an expression is evaluated for the test, the call and the fallback.
+    """
     return F.coalesce(_nfkc_udf()(F.when(c.rlike(r"[^\x00-\x7f]"), c)), c)
 
 
@@ -181,10 +184,9 @@ def expand_abbreviations(c: Column) -> Column:
     return let(c, lambda t: let(F.lower(t), lambda low: expand(t, low)))
 
 
-def normalize_text(c: Column, unicode_form: bool = True) -> Column:
+def normalize_text(c: Column) -> Column:
     """The whole cleanup of one document, one map-only projection."""
-    if unicode_form:
-        c = nfkc(c)
+    c = nfkc(c)
     for step in (strip_banners, strip_front_matter, strip_references, strip_citations, strip_urls):
         c = step(c)
     return expand_abbreviations(c)

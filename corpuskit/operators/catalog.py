@@ -22,14 +22,13 @@ PATCHABLE = ("title", "author", "genre", "year", "notes", "tts_narrator", "tts_i
 
 
 def status_summary(books: DataFrame, statuses: Sequence[str] = BOOK_STATUSES) -> DataFrame:
-    """Books per status; known statuses appear with zero, unknown ones are kept, plus a total row."""
+    """Books per status; known statuses appear with zero, unknown ones and null are kept, plus a total row."""
     spark = books.sparkSession
     known = spark.range(1).select(F.explode(F.array(*map(F.lit, statuses))).alias("status"))
     counts = books.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
     full = known.join(counts, "status", "full").select("status", F.coalesce("n", F.lit(0)).alias("n"))
-    return full.rollup("status").agg(F.sum("n").alias("n")).select(
-        F.coalesce("status", F.lit("total")).alias("status"), "n"
-    )
+    summed = full.rollup("status").agg(F.sum("n").alias("n"), F.grouping("status").alias("is_total"))
+    return summed.select(F.when(F.col("is_total") == 1, "total").otherwise(F.col("status")).alias("status"), "n")
 
 
 def segment_progress(segments: DataFrame) -> DataFrame:
@@ -130,8 +129,10 @@ def resolve_narrator(books: DataFrame, registry: DataFrame, default: str) -> Dat
     """Add the preset a book is read with: unknown or missing keys take the default's."""
     preset = F.struct("key", "provider", "label", "voice")
     fallback = registry.filter(F.col("key") == default).select(preset).scalar()
-    own = registry.select(F.col("key").alias("tts_narrator"), preset.alias("own"))
-    joined = books.join(own, "tts_narrator", "left")
+    own = registry.select(F.concat(F.lit("k"), "key").alias("_voice"), preset.alias("own"))
+    # books without a narrator get join keys of their own, so that they do not meet in one partition
+    wanted = F.coalesce(F.concat(F.lit("k"), "tts_narrator"), F.concat(F.lit("b"), F.col("id").cast("string")))
+    joined = books.withColumn("_voice", wanted).join(own, "_voice", "left")
     chosen = F.coalesce(F.col("own"), fallback)
     return joined.withColumn("chosen", chosen).select(
         *books.columns,
@@ -293,14 +294,16 @@ def _ready_count(segments: DataFrame) -> DataFrame:
 
 def listening_fraction(progress: DataFrame, segments: DataFrame) -> DataFrame:
     """How far into the book a listener is, from saved (seg_idx, t) and the clip's duration."""
-    clips = ready_positions(segments).select("book_id", F.col("idx").cast("int").alias("at"), "duration")
+    clips = ready_positions(segments).select("book_id", F.col("idx").cast("int").alias("at"), "duration", "group_n")
+    counts = clips.groupBy("book_id").agg(F.max("group_n").alias("n_ready"))
+    clips = clips.drop("group_n")
     at = F.expr("try_cast(seg_idx AS INT)")
     inside = F.coalesce(F.try_divide("t", F.nullif("duration", F.lit(0.0))), F.lit(0.0))
     fraction = F.try_divide(F.col("at") + inside, F.col("n_ready"))
     return (
         progress.withColumn("at", at)
         .join(clips, ["book_id", "at"], "left")
-        .join(_ready_count(segments), "book_id", "left")
+        .join(counts, "book_id", "left")
         .withColumn("fraction", fraction)
         .withColumn("started", F.coalesce((F.col("fraction") > 0.01) & (F.col("fraction") < 0.995), F.lit(False)))
         .select(*progress.columns, "fraction", "started")
@@ -410,7 +413,10 @@ def delete_books(
     """
     kept_segments = segments.join(ids, "book_id", "left_anti")
     gone = segments.join(ids, "book_id", "left_semi").select(F.col("id").alias("segment_id"))
-    marked = events.join(ids.withColumn("_gone", F.lit(True)), "book_id", "left")
+    # events without a book get join keys of their own
+    gone_ids = ids.select(F.concat(F.lit("b"), F.col("book_id").cast("string")).alias("_book"), F.lit(True).alias("_gone"))
+    own_key = F.coalesce(F.concat(F.lit("b"), F.col("book_id").cast("string")), F.concat(F.lit("e"), F.col("id").cast("string")))
+    marked = events.withColumn("_book", own_key).join(gone_ids, "_book", "left")
     return {
         "books": books.join(ids.withColumnRenamed("book_id", "id"), "id", "left_anti"),
         "segments": kept_segments,

@@ -18,13 +18,12 @@ from ..functions import chapters, chunks, layout, text
 from ..functions.base import let
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Repartition only when the scan has fewer splits than the cluster has cores.
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Deal the rows evenly over ``partitions``, whatever the input; None leaves them where they are.
 
-    A large input has more splits than cores and is left alone: no shuffle.
+    For texts that lie in few or uneven files: the work per row is large against the cost of moving it.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df if partitions is None else df.repartition(partitions)
 
 
 def nest_spans(spans: DataFrame) -> DataFrame:
@@ -85,7 +84,7 @@ def segment_regions(texts: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def prepare_corpus(docs: DataFrame, unicode_form: bool = True) -> DataFrame:
+def prepare_corpus(docs: DataFrame) -> DataFrame:
     """docs (doc_id, page_count, text) → (doc_id, page_count, chunks).
 
     ``chunks`` is ARRAY<STRUCT<seg_order, chapter_title, text, is_last>>.
@@ -93,7 +92,7 @@ def prepare_corpus(docs: DataFrame, unicode_form: bool = True) -> DataFrame:
     keep = ("doc_id", "page_count")
     # Small steps keep the analysis of nested lambdas short; Catalyst joins them into one projection
     # wherever a step is used once.
-    staged = docs.select(*keep, text.normalize_text(F.col("text"), unicode_form).alias("text"))
+    staged = docs.select(*keep, text.normalize_text(F.col("text")).alias("text"))
     staged = segment_regions(staged, *keep)
     staged = staged.select(*keep, chunks.emit_chunks(F.col("regions")).alias("chunks"))
 
@@ -178,7 +177,7 @@ def fallback_events(report: DataFrame) -> DataFrame:
 
 
 def qa_flags(rows: DataFrame) -> DataFrame:
-    """Add flags, noise_ratio and short_ratio to chunk rows (they carry ``is_last``)."""
+    """Add flags, length, noise_ratio and short_ratio to chunk rows (they carry ``is_last``)."""
     return rows.withColumn("qa", chunks.qa_flags(F.col("text"), F.col("is_last"))).select(*rows.columns, "qa.*")
 
 

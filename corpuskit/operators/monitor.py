@@ -66,7 +66,11 @@ def _severity(value: Column, limits: tuple[float, float]) -> Column:
 
 
 def classify_host(metrics: DataFrame) -> DataFrame:
-    """Add severity and reasons of a host snapshot (mem_pct, swap_pct, load1, cpus)."""
+    """Add severity and reasons of a host snapshot (mem_pct, swap_pct, load1, cpus).
+
+    The load per cpu is rounded half-even on its shortest decimal form, not on the binary double: 0.125 and 0.375
+    agree in both, a value such as 0.285, whose double lies below, does not.
+    """
     per_cpu = F.bround(F.col("load1") / F.col("cpus"), 2)
     checks = (
         (F.col("mem_pct"), MEM_LIMITS, "memory at ", "%"),
@@ -96,7 +100,7 @@ def host_report(metrics: DataFrame, hosts: DataFrame, as_of: Column) -> DataFram
     ``hosts`` has one row per host. ``overall`` repeats the worst severity of the report on each row.
     """
     latest = metrics.filter(F.col("seen_at") <= as_of).groupBy("host").agg(
-        F.max_by(F.struct("seen_at", "mem_pct", "swap_pct", "load1", "cpus"), "seen_at").alias("m")
+        F.max(F.struct("seen_at", "mem_pct", "swap_pct", "load1", "cpus")).alias("m")
     )
     aged = latest.select("host", "m.*", (_seconds(as_of) - _seconds(F.col("m.seen_at"))).alias("age"))
     alive = classify_host(aged.filter(F.col("age") < HEARTBEAT_TTL_S))
@@ -119,11 +123,6 @@ def critical_banner(report: DataFrame) -> DataFrame:
     ).orderBy("host")
 
 
-def join_banner(banner: DataFrame) -> DataFrame:
-    """The banner as a single text; its length is bounded by the number of hosts, one row each."""
-    return banner.agg(F.expr("listagg(banner, ' · ') WITHIN GROUP (ORDER BY host)").alias("banner"))
-
-
 def liveness_sessions(beats: DataFrame, ttl: int = HEARTBEAT_TTL_S) -> DataFrame:
     """Intervals in which a host was alive: each beat keeps it alive for ``ttl`` seconds.
 
@@ -200,7 +199,7 @@ def worker_rollup(items: DataFrame) -> DataFrame:
         F.count_if(state == "done").alias("processed"),
         F.count_if(state == "reserved").alias("reserved"),
         F.count_if(state == "active").alias("active"),
-    ).select(short_worker(F.col("worker")).alias("name"), "worker", "processed", "reserved", "active").orderBy("worker")
+    ).select(short_worker(F.col("worker")).alias("name"), "worker", "processed", "reserved", "active").orderBy("name", "worker")
 
 
 def worker_active(items: DataFrame, as_of: Column) -> DataFrame:

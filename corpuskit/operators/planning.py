@@ -17,12 +17,11 @@ PURGE_KINDS = ("audio", "audio-archive", "pdfs")
 
 
 def plan_primary(segments: DataFrame) -> DataFrame:
-    """Segments still to render per book, in order; stuck ones go back to pending first."""
+    """Segments still to render per book; stuck ones go back to pending first. Order by book and seg_order to show them."""
     status = F.when(F.col("status") == "processing", "pending").otherwise(F.col("status"))
     return (
         segments.select("book_id", F.col("id").alias("segment_id"), "seg_order", status.alias("status"))
         .filter(F.col("status") != "ready")
-        .orderBy("book_id", "seg_order")
     )
 
 
@@ -31,10 +30,8 @@ def plan_alternate(segments: DataFrame, takes: DataFrame, narrator: str, registr
 
     An unknown narrator plans nothing.
     """
-    known = registry.filter(F.col("key") == narrator).select(F.col("key").alias("narrator"))
-    ready = segments.filter(F.col("status") == "ready").select(
-        F.col("id").alias("segment_id"), F.lit(narrator).alias("narrator")
-    )
+    known = registry.filter(F.col("key") == narrator).agg(F.count(F.lit(1)) > 0).scalar()
+    ready = segments.filter((F.col("status") == "ready") & known).select(F.col("id").alias("segment_id"))
     own = takes.filter(F.col("narrator") == narrator).select(
         "segment_id", F.col("status").alias("take_status"), none_if_empty(F.col("audio_path")).alias("take_path")
     )
@@ -43,11 +40,7 @@ def plan_alternate(segments: DataFrame, takes: DataFrame, narrator: str, registr
         .when((F.col("take_status") == "ready") & F.col("take_path").isNotNull(), "skip")
         .otherwise("reset")
     )
-    return (
-        ready.join(known, "narrator", "left_semi")
-        .join(own, "segment_id", "left")
-        .select("segment_id", action.alias("action"))
-    )
+    return ready.join(own, "segment_id", "left").select("segment_id", action.alias("action"))
 
 
 def queue_of(provider: Column, queues: Mapping[str, str] = PROVIDER_QUEUE) -> Column:
@@ -112,7 +105,9 @@ def can_narrate(
 
 def fill_source(books: DataFrame, inventory: DataFrame) -> DataFrame:
     """Is the source file of each book in the inventory? If not it needs a new upload."""
-    present = inventory.select(F.col("key").alias("pdf_path")).distinct().withColumn("_present", F.lit(True))
+    asked = books.select("pdf_path").filter(F.col("pdf_path").isNotNull())
+    present = inventory.select(F.col("key").alias("pdf_path")).join(asked, "pdf_path", "left_semi").distinct()
+    present = present.withColumn("_present", F.lit(True))
     return books.join(present, "pdf_path", "left").select(
         F.col("id").alias("book_id"), "pdf_path", F.coalesce("_present", F.lit(False)).alias("available")
     )
@@ -143,12 +138,12 @@ def purge_prefixes(
 
 
 def plan_reprocess(
-    books: DataFrame, segments: DataFrame, inventory: DataFrame, requests: DataFrame, stamp: str
+    books: DataFrame, segments: DataFrame, takes: DataFrame, inventory: DataFrame, requests: DataFrame, stamp: str
 ) -> dict[str, DataFrame]:
     """Plan to rebuild books from their source.
 
     ``requests``: book_id (unique), new_file (STRING or null). A request is refused if its source is
-    missing and no PDF comes with it, or if the new file is not a PDF. For the others the segments go,
+    missing and no PDF comes with it, or if the new file is not a PDF. For the others the segments and their takes go,
     audio keys move to the archive under ``stamp``, the old source of a replaced file is purged, and
     the book is pending without a page count.
     """
@@ -175,10 +170,12 @@ def plan_reprocess(
         F.lit("pending").alias("status"), F.lit(None).cast("int").alias("page_count"),
     )
     replaced = accepted.filter(F.col("new_file").isNotNull()).select("book_id")
+    gone = segments.join(accepted.select("book_id"), "book_id", "left_semi").select(F.col("id").alias("segment_id"))
     return {
         "decisions": decided.select("book_id", "accepted"),
         "books": after,
         "segments": segments.join(accepted.select("book_id"), "book_id", "left_anti"),
+        "takes": takes.join(gone, "segment_id", "left_anti"),
         "moves": moves,
         "purge": purge_prefixes(inventory, replaced, ("pdfs",)),
     }

@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.base import strip
 
 NO_DIFF = "no_diff"
-# The prompt presets a grid may name.
-GRID_PRESETS = (
-    "current", "character", "intimate", "classic", "aged_fry", "aged_warm", "fry_only", "unpolished",
-    "aged_fry_free",
-)
 
 
 def valid_votes(votes: DataFrame, tests: DataFrame, options: DataFrame) -> DataFrame:
@@ -87,15 +82,16 @@ def _listed(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, ","), strip), lambda x: x != "")
 
 
-def render_grid(requests: DataFrame, presets: tuple[str, ...] = GRID_PRESETS) -> DataFrame:
-    """Voices times presets times takes of each request (voices, presets, takes, provider).
+def render_grid(requests: DataFrame, presets: DataFrame) -> DataFrame:
+    """Voices times presets times takes of each request (id, voices, presets, takes, provider).
 
-    A request that names an unknown preset is refused as a whole. The cells of a request come from
-    its own lists, so no two tables are multiplied.
+    A request that names a preset which the table ``presets`` (key) does not have is refused as a whole. The cells
+    of a request come from its own lists, so no two tables are multiplied.
     """
-    known = F.array(*map(F.lit, presets))
     wanted = requests.withColumns({"_voices": _listed(F.col("voices")), "_presets": _listed(F.col("presets"))})
-    fine = wanted.filter(F.size(F.array_except("_presets", known)) == 0)
+    named = wanted.select("id", F.explode("_presets").alias("key"))
+    refused = named.join(presets.select("key"), "key", "left_anti").select("id").distinct()
+    fine = wanted.join(refused, "id", "left_anti")
     cells = (
         fine.select("id", "provider", "takes", "_presets", F.explode("_voices").alias("voice"))
         .select("id", "provider", "takes", "voice", F.explode("_presets").alias("preset"))
@@ -116,7 +112,8 @@ def blind_order(cells: DataFrame, seed: int) -> DataFrame:
     A request's cells are bounded by its own lists (see ``render_grid``), so they are sorted together
     in one array per request.
     """
-    drawn = F.struct(F.xxhash64("id", "filename", F.lit(seed)).alias("draw"), "filename", "label")
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"), "filename").cast("binary"))
+    drawn = F.struct(draw.alias("draw"), "filename", "label")
     shuffled = F.array_sort(F.collect_list(drawn)).alias("cells")
 
     def letter(i: Column) -> Column:

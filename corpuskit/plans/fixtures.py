@@ -15,7 +15,7 @@ BASE = (
     "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
-# The narrator registry (key, provider, label, voice), in its order, and the default.
+# A registry of voices made up for these tables (key, provider, label, voice), in its order, and the default.
 NARRATORS = (
     ("older_man", "openai", "Older man (default)", "onyx"),
     ("older_woman", "openai", "Older woman", "shimmer"),
@@ -215,21 +215,29 @@ VIEWS: dict[str, str] = {
                || CASE WHEN doc_id % 3 = 0 THEN chr(10) || ' ' || chr(10) || 'References' || chr(10) || '[1] Someone, 1999.' ELSE '' END
                || chr(10) || '*** END OF THE PROJECT GUTENBERG EBOOK ***' || chr(10) || 'License' AS text
         FROM documents""",
-    # One block per document line, 12 lines a page, the fourth block of a page has two lines.
+    # Twelve document lines a page, each whole in a block of its own, the fourth block of a page with a second line.
+    # Beside them stand blocks that are no document lines: a heading over the first line (part 2), a running footer
+    # (part 3) and, in a quarter of the documents, an image (part 4).
     "spans": """
-        SELECT doc_id, CAST((line_no - line_no % 12) / 12 AS INT) AS page_no, CAST(line_no % 12 AS INT) AS block_no,
-               part AS line_no, 0 AS span_no,
-               CASE WHEN line_no % 12 = 9 AND doc_id % 4 = 2 THEN 1 ELSE 0 END AS block_type,
-               CASE WHEN line_no % 12 = 0 AND part = 0 THEN upper(substr(replace(line, 'ß', 'ss'), 1, 40))
-                    WHEN line_no % 12 = 11 THEN CASE WHEN doc_id % 3 = 0 THEN 'Page 90 of 239.' WHEN doc_id % 3 = 1 THEN '- xii -'
+        SELECT doc_id, CAST((line_no - line_no % 12) / 12 AS INT) AS page_no,
+               CAST((line_no % 12) * 5 + CASE part WHEN 2 THEN 0 WHEN 3 THEN 3 WHEN 4 THEN 2 ELSE 1 END AS INT) AS block_no,
+               CASE WHEN part = 1 THEN 1 ELSE 0 END AS line_no, 0 AS span_no,
+               CASE WHEN part = 4 THEN 1 ELSE 0 END AS block_type,
+               CASE WHEN part = 1 THEN CASE WHEN line_no % 12 = 3 THEN 'phen end-' ELSE '' END
+                    WHEN part = 2 THEN upper(substr(replace(line, 'ß', 'ss'), 1, 40))
+                    WHEN part = 3 THEN CASE WHEN doc_id % 3 = 0 THEN 'Page 90 of 239.' WHEN doc_id % 3 = 1 THEN '- xii -'
                          ELSE substr(line, 1, 30) END
-                    WHEN line_no % 12 = 3 AND part = 0 THEN line || ' hy-' ELSE line END AS text,
-               CASE WHEN line_no % 12 = 0 THEN 18.4e0 WHEN line_no % 5 = 4 THEN 8.0e0 WHEN line_no % 3 = 0 THEN 10.5e0
+                    WHEN part = 0 AND line_no % 12 = 3 THEN line || ' hy-' ELSE line END AS text,
+               CASE WHEN part = 2 THEN 18.4e0 WHEN line_no % 5 = 4 THEN 8.0e0 WHEN line_no % 3 = 0 THEN 10.5e0
                     ELSE 11.2e0 END AS size,
-               (line_no % 12) * 70e0 + 4e0 * part AS y0, (line_no % 12) * 70e0 + 12e0 AS y1, 800e0 AS page_h
-        FROM (SELECT doc_id, line_no, part,
-                     CASE WHEN part = 0 THEN line WHEN line_no % 12 = 3 THEN 'phen end-' ELSE '' END AS line
-              FROM (SELECT doc_id, line_no, line, {each}0, 1{end} AS part FROM doc_lines) twice) parts""",
+               CASE WHEN part = 2 AND doc_id % 2 = 0 THEN 4e0 WHEN part = 3 THEN 770e0
+                    ELSE 80e0 + (line_no % 12) * 50e0 + 4e0 * part END AS y0,
+               CASE WHEN part = 2 AND doc_id % 2 = 0 THEN 16e0 WHEN part = 3 THEN 782e0
+                    ELSE 92e0 + (line_no % 12) * 50e0 END AS y1,
+               800e0 AS page_h
+        FROM (SELECT doc_id, line_no, line, {each}0, 1, 2, 3, 4{end} AS part FROM doc_lines) parts
+        WHERE part < 2 OR (part = 2 AND line_no % 12 = 0) OR (part = 3 AND line_no % 12 = 11)
+           OR (part = 4 AND line_no % 12 = 9 AND doc_id % 4 = 2)""",
     "metadata_json": """
         SELECT event_id AS id,
                CASE event_id % 7
@@ -241,9 +249,13 @@ VIEWS: dict[str, str] = {
                  WHEN 5 THEN '{{"year": ' || CAST(1900 + user_id AS STRING) || ', "author": "' || event_type || '"}}'
                  ELSE '{{"year": "' || CAST(1900 + user_id AS STRING) || '", "genre": "' || event_type || '"}}' END AS raw
         FROM events""",
+    # the presets a grid may name: one for every second part
+    "grid_presets": """
+        SELECT 'preset_' || CAST(p_partkey AS STRING) AS key, p_name AS label FROM part WHERE p_partkey % 2 = 1 OR p_partkey = 2""",
     "grid_requests": """
         SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'onyx, ash' WHEN 1 THEN 'marin,,cedar ' ELSE 'ballad' END AS voices,
-               CASE c_custkey % 5 WHEN 0 THEN 'current,intimate' WHEN 1 THEN 'classic, nosuch' ELSE 'character' END AS presets,
+               CASE c_custkey % 5 WHEN 0 THEN 'preset_1,preset_2' WHEN 1 THEN 'preset_3, nosuch'
+                    ELSE 'preset_' || CAST(1 + c_custkey % 20 AS STRING) END AS presets,
                CAST(1 + c_custkey % 3 AS INT) AS takes,
                CASE WHEN c_custkey % 4 = 0 THEN 'gemini' WHEN c_custkey % 4 = 1 THEN 'elevenlabs' ELSE 'openai' END AS provider
         FROM customer""",
@@ -288,22 +300,18 @@ def with_clause(sql: str, dialect: str, extra: dict[str, str] | None = None) ->
     return "WITH " + ",\n".join(f"{name} AS ({body})" for name, body in done.items()) + "\n"
 
 
-def _spread_hint(spark: SparkSession, path: str) -> str:
-    """Texts are costly per row: spread a scan with fewer splits than cores, leave any other alone."""
-    cores = spark.sparkContext.defaultParallelism
-    few = spark.read.parquet(path).rdd.getNumPartitions() < cores
-    return f"/*+ REPARTITION({cores}) */" if few else ""
+def view(spark: SparkSession, sf_dir: str, name: str, partitions: int | None = None) -> DataFrame:
+    """A derived view, or a given table, as a DataFrame.
 
-
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived view, or a given table, as a DataFrame."""
+    With ``partitions``, views over the documents deal them evenly over so many, since a text costs much per row.
+    """
     if name in BASE:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     main = f"SELECT * FROM {name}"
     ctes = with_clause(main, "spark")
     bases = [b for b in BASE if re.search(rf"\b(?:FROM|JOIN)\s+{b}\b", ctes)]
-    heads = [f"{b} AS (SELECT {_spread_hint(spark, f'{sf_dir}/{b}.parquet') if b == 'documents' else ''} * FROM"
-             f" parquet.`{sf_dir}/{b}.parquet`)" for b in bases]
+    hint = f"/*+ REPARTITION({partitions}) */" if partitions else ""
+    heads = [f"{b} AS (SELECT {hint if b == 'documents' else ''} * FROM parquet.`{sf_dir}/{b}.parquet`)" for b in bases]
     return spark.sql("WITH " + ",\n".join([*heads, ctes.removeprefix("WITH ")]) + main)
 
 

@@ -7,7 +7,6 @@ from .fixtures import DEFAULT_NARRATOR, NARRATORS, duckdb_sql
 
 STAMP = "20240201T000000Z"
 _KEYS = ", ".join(f"'{n[0]}'" for n in NARRATORS)
-_GRID = "['current','character','intimate','classic','aged_fry','aged_warm','fry_only','unpolished','aged_fry_free']"
 
 
 def _strip(x: str) -> str:
@@ -334,8 +333,8 @@ EXTRA: dict[str, str] = {
         FROM customer""",
     "decided": """
         SELECT a.book_id, new_file, CASE WHEN new_file IS NOT NULL THEN lower(new_file) LIKE '%.pdf'
-               ELSE pdf_path IN (SELECT key FROM inventory) END AS accepted
-        FROM asked a JOIN books b ON a.book_id = b.id""",
+               ELSE i.key IS NOT NULL END AS accepted
+        FROM asked a JOIN books b ON a.book_id = b.id LEFT JOIN (SELECT DISTINCT key FROM inventory) i ON i.key = pdf_path""",
     "planned": "SELECT book_id, id AS segment_id, seg_order, CASE status WHEN 'processing' THEN 'pending' ELSE status END AS status FROM segments WHERE status <> 'ready'",
     "classified": """
         SELECT host, seen_at, CASE WHEN mem_pct >= 92 OR swap_pct >= 80 OR per_cpu >= 3.0 THEN 'critical'
@@ -371,7 +370,8 @@ EXTRA: dict[str, str] = {
                  || CASE WHEN provider = 'gemini' THEN '.wav' ELSE '.mp3' END AS filename
         FROM (SELECT *, unnest(range(1, takes + 1)) AS take
               FROM (SELECT *, unnest(ps) AS p FROM (SELECT *, unnest(vs) AS v FROM grid_lists
-                    WHERE len(list_filter(ps, lambda p: NOT list_contains({_GRID}, p))) = 0) a) b) c""",
+                    WHERE id NOT IN (SELECT id FROM (SELECT id, unnest(ps) AS p FROM grid_lists) n
+                      WHERE p NOT IN (SELECT key FROM grid_presets))) a) b) c""",
     "grid_results": """
         SELECT c.id, c.provider, c.filename, CASE WHEN take < 3 AND length(filename) % 4 = 0 THEN 'failed' END AS error,
                provider IN ('openai', 'elevenlabs') AS has_key,
@@ -480,7 +480,7 @@ ORACLES: dict[str, str] = {
     "page_text": "SELECT doc_id, page_no, text FROM page_texts",
     "doc_text": "SELECT doc_id, page_count, text FROM doc_texts",
     # normalization
-    "nfkc": _text("text", "documents"),
+    "nfkc": "SELECT doc_id, text FROM documents",
     "strip_banners": _text("text", "bt_banner"),
     "strip_front_matter": _text("text", "bt_front"),
     "strip_references": _strip_refs("book_text"),
@@ -526,7 +526,7 @@ ORACLES: dict[str, str] = {
         FROM polished GROUP BY doc_id HAVING count(*) FILTER (WHERE NOT used) > 0""",
     "apply_polish": "SELECT doc_id, seg_order, replace(text, 'things', 'matters') AS cleaned FROM chunk_rows",
     "qa_flags": f"""
-        SELECT doc_id, {_flags('text', '(doc_id % 4 = 0)', _noise('text'), _short('text'))} AS flags,
+        SELECT doc_id, {_flags('text', '(doc_id % 4 = 0)', _noise('text'), _short('text'))} AS flags, length(text)::INT AS length,
                round({_noise('text')}, 6) AS noise_ratio, round({_short('text')}, 6) AS short_ratio FROM documents""",
     "duplicate_orders": "SELECT book_id, seg_order, count(*) AS n FROM segment_log GROUP BY book_id, seg_order HAVING count(*) > 1",
     "extract_report": "SELECT * FROM reports",
@@ -681,9 +681,12 @@ ORACLES: dict[str, str] = {
     "plan_reprocess_moves": f"""
         SELECT book_id, key, 'audio-archive/' || CAST(book_id AS VARCHAR) || '/{STAMP}/' || array_to_string(string_split(key, '/')[3:], '/') AS new_key
         FROM inventory JOIN decided ON split_part(key, '/', 2) = CAST(book_id AS VARCHAR) WHERE accepted AND split_part(key, '/', 1) = 'audio'""",
+    "plan_reprocess_takes": """
+        SELECT a.id, segment_id FROM segment_audio a WHERE segment_id NOT IN (
+          SELECT s.id FROM segments s JOIN decided d ON s.book_id = d.book_id WHERE accepted)""",
     "plan_reprocess_purge": """
-        SELECT key, book_id FROM inventory JOIN decided ON starts_with(key, 'pdfs/' || CAST(book_id AS VARCHAR) || '/')
-        WHERE accepted AND new_file IS NOT NULL""",
+        SELECT key, book_id FROM inventory JOIN decided ON split_part(key, '/', 2) = CAST(book_id AS VARCHAR)
+        WHERE accepted AND new_file IS NOT NULL AND split_part(key, '/', 1) = 'pdfs'""",
     # monitoring
     "record_events": """
         SELECT id, book_id, level, length(m) AS message_chars, md5(m) AS message_md5, length(substr(nullif(traceback, ''), 1, 16000)) AS traceback_chars
@@ -707,9 +710,6 @@ ORACLES: dict[str, str] = {
         SELECT host || '@' || CAST(epoch_us(seen_at) AS VARCHAR) AS host,
                host || '@' || CAST(epoch_us(seen_at) AS VARCHAR) || ': ' || array_to_string(reasons, ', ') AS banner
         FROM classified WHERE severity = 'critical'""",
-    "join_banner": """
-        SELECT string_agg(host || ': ' || array_to_string(reasons, ', '), ' · ' ORDER BY host) AS banner FROM latest_hosts
-        WHERE severity = 'critical'""",
     "liveness_sessions": "SELECT * FROM alive",
     "outages": """
         SELECT * FROM (SELECT host, alive_until AS down_from, lead(alive_from) OVER (PARTITION BY host ORDER BY alive_from) AS back_at FROM alive) g
@@ -762,6 +762,10 @@ ORACLES: dict[str, str] = {
         FROM (SELECT DISTINCT user_id, ab_test_id FROM ab_votes) u JOIN ab_tests t ON t.id = u.ab_test_id AND published
         JOIN ab_options o ON o.ab_test_id = t.id LEFT JOIN one_vote v ON v.ab_test_id = t.id AND v.user_id = u.user_id""",
     "render_grid": "SELECT * FROM grid_cells",
+    "blind_order": """
+        SELECT id, pos, CASE WHEN pos < 26 THEN '' ELSE chr((64 + pos // 26)::INT) END || chr((65 + pos % 26)::INT) AS letter, filename, label
+        FROM (SELECT *, (row_number() OVER (PARTITION BY id ORDER BY md5('7:' || CAST(id AS VARCHAR) || ':' || filename), filename, label) - 1)::INT AS pos
+              FROM grid_cells) drawn""",
     "grid_outcome": "SELECT * FROM grid_results",
     "grid_summary": """
         SELECT provider, count(*) AS clips, count(*) FILTER (WHERE NOT ok) AS failed, bool_and(has_key) AS has_key FROM grid_results GROUP BY provider""",

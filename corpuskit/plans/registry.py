@@ -17,14 +17,29 @@ from .fixtures import DEFAULT_NARRATOR, NARRATORS, view
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+COMPATIBLE = (("fi", "\ufb01"), ("A", "\uff21"), ("1", "\u00b9"), ("é", "e\u0301"))
 STAMP = "20240201T000000Z"
 
 
+def text_partitions(spark: SparkSession) -> int:
+    """Over how many partitions every query deals the documents: as many as an exchange has, at any size."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def derived(spark: SparkSession, sf_dir: str) -> Callable[[str], DataFrame]:
+    return lambda name: view(spark, sf_dir, name, text_partitions(spark))
+
+
 def query(fn: Callable) -> Callable:
-    QUERIES[fn.__name__] = lambda spark, sf_dir: fn(lambda name: view(spark, sf_dir, name))
+    QUERIES[fn.__name__] = lambda spark, sf_dir: fn(derived(spark, sf_dir))
     return fn
 
 
+def _documents(v) -> DataFrame:
+    docs = v("documents")
+    return corpus.spread(docs, text_partitions(docs.sparkSession))
+
+
 def flags_text(df: DataFrame, column: str = "reasons") -> DataFrame:
     """Arrays joined with | so that both engines compare plain text."""
     return df.withColumn(column, F.array_join(column, "|"))
@@ -202,13 +217,16 @@ def _lines(v, column: str = "text") -> DataFrame:
 
 @query
 def nfkc(v):
-    docs = corpus.spread(v("documents"))
-    return docs.select("doc_id", text.nfkc(F.replace("text", F.lit("fi"), F.lit("ﬁ"))).alias("text"))
+    docs = _documents(v)
+    # ligature, full-width letter, compatibility digit and decomposed accent in, their plain forms out
+    for plain, odd in COMPATIBLE:
+        docs = docs.withColumn("text", F.replace("text", F.lit(plain), F.lit(odd)))
+    return docs.select("doc_id", text.nfkc(F.col("text")).alias("text"))
 
 
 for _name in ("strip_banners", "strip_references", "strip_citations", "strip_urls", "expand_abbreviations"):
     QUERIES[_name] = (
-        lambda fn: lambda spark, sf_dir: _mapped(fn)(lambda name: view(spark, sf_dir, name))
+        lambda fn: lambda spark, sf_dir: _mapped(fn)(derived(spark, sf_dir))
     )(getattr(text, _name))
 
 
@@ -249,7 +267,7 @@ def chapter_number(v):
 def _candidates(v) -> DataFrame:
     """Heading candidates of the normalized books with their gap, in one array per book."""
     lines = _books_text(v).select(
-        "doc_id", F.split(text.normalize_text(F.col("text"), unicode_form=False), "\n").alias("lines")
+        "doc_id", F.split(text.normalize_text(F.col("text")), "\n").alias("lines")
     )
     found = let(F.col("lines"), lambda rows: chapters.body_gap(rows, chapters.heading_candidates(rows)))
     return lines.select("doc_id", found.alias("cands"))
@@ -297,7 +315,7 @@ def clean_title(v):
 
 @query
 def segment_chapters(v):
-    normal = _books_text(v).select("doc_id", text.normalize_text(F.col("text"), unicode_form=False).alias("text"))
+    normal = _books_text(v).select("doc_id", text.normalize_text(F.col("text")).alias("text"))
     regions = corpus.segment_regions(normal, "doc_id")
     return corpus.unroll(regions, "doc_id", array=F.col("regions"), pos="region_no", item="r").select(
         "doc_id", "region_no", "r.*"
@@ -317,18 +335,18 @@ def _chunks(v) -> DataFrame:
 
 @query
 def split_sentences(v):
-    return corpus.unroll(corpus.spread(v("documents")), "doc_id", array=chunks.split_sentences(F.col("text")), item="sentence")
+    return corpus.unroll(_documents(v), "doc_id", array=chunks.split_sentences(F.col("text")), item="sentence")
 
 
 @query
 def split_oversized(v):
     # whole texts as single sentences: most of them are over the cap
-    return corpus.unroll(corpus.spread(v("documents")), "doc_id", array=chunks.split_oversized(F.col("text")), item="piece")
+    return corpus.unroll(_documents(v), "doc_id", array=chunks.split_oversized(F.col("text")), item="piece")
 
 
 @query
 def pack_chunks(v):
-    return corpus.unroll(corpus.spread(v("documents")), "doc_id", array=chunks.pack_chunks(F.col("text")), item="piece")
+    return corpus.unroll(_documents(v), "doc_id", array=chunks.pack_chunks(F.col("text")), item="piece")
 
 
 @query
@@ -403,7 +421,7 @@ def apply_polish(v):
 
 @query
 def qa_flags(v):
-    docs = corpus.spread(v("documents")).select("doc_id", "text", (F.col("doc_id") % 4 == 0).alias("is_last"))
+    docs = _documents(v).select("doc_id", "text", (F.col("doc_id") % 4 == 0).alias("is_last"))
     rounded = {n: F.round(n, 6) for n in ("noise_ratio", "short_ratio")}
     return flags_text(corpus.qa_flags(docs), "flags").withColumns(rounded).drop("text", "is_last")
 
@@ -707,7 +725,7 @@ def _reprocess(v) -> dict[str, DataFrame]:
         .when(F.col("c_custkey") % 4 == 1, F.concat("c_name", F.lit(".txt")))
         .alias("new_file"),
     )
-    return planning.plan_reprocess(v("books"), v("segments"), v("inventory"), requests, STAMP)
+    return planning.plan_reprocess(v("books"), v("segments"), v("segment_audio"), v("inventory"), requests, STAMP)
 
 
 @query
@@ -725,6 +743,11 @@ def plan_reprocess_segments(v):
     return _reprocess(v)["segments"].select("id", "book_id")
 
 
+@query
+def plan_reprocess_takes(v):
+    return _reprocess(v)["takes"].select("id", "segment_id")
+
+
 @query
 def plan_reprocess_moves(v):
     return _reprocess(v)["moves"]
@@ -785,12 +808,6 @@ def critical_banner(v):
     return monitor.critical_banner(_each_as_report(v))
 
 
-@query
-def join_banner(v):
-    latest = jobs.latest_per_host(v("host_metrics"))
-    return monitor.join_banner(monitor.critical_banner(monitor.classify_host(latest)))
-
-
 @query
 def liveness_sessions(v):
     return monitor.liveness_sessions(v("beats"))
@@ -894,16 +911,16 @@ def tests_for_user(v):
 
 @query
 def render_grid(v):
-    return votes.render_grid(v("grid_requests"))
+    return votes.render_grid(v("grid_requests"), v("grid_presets"))
 
 
 @query
 def blind_order(v):
-    return votes.blind_order(votes.render_grid(v("grid_requests")), 7)
+    return votes.blind_order(votes.render_grid(v("grid_requests"), v("grid_presets")), 7)
 
 
 def _outcome(v) -> DataFrame:
-    cells = votes.render_grid(v("grid_requests"))
+    cells = votes.render_grid(v("grid_requests"), v("grid_presets"))
     error = F.when(F.length("filename") % 4 == 0, "failed")
     results = cells.filter(F.col("take") < 3).select("id", "filename", error.alias("error"))
     return votes.grid_outcome(cells, results, ("openai", "elevenlabs"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,9 +29,12 @@ def build_session(app: str = "corpuskit", master: str | None = None, **conf: str
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder for one run, under the shared folder the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests on one machine) a temporary folder is used.
+    Only where that setting is absent on a single machine (master local) a temporary folder is used; a cluster
+    without it is refused, since its executors would write to their own disks.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="corpuskit-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

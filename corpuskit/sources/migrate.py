@@ -16,15 +16,17 @@ def remap_ids(
     ``counts`` tells how many clips to upload, how many the target has already, how many are missing.
     """
     new_key = clip_key(F.col("book_id") + offset, F.col("seg_order"))
-    here = local_files.select(F.col("key").alias("audio_path")).distinct().withColumn("_here", F.lit(True))
+    here = local_files.select(F.col("key").alias("_path")).distinct().withColumn("_here", F.lit(True))
     there = remote.select(F.col("key").alias("_new_key")).distinct().withColumn("_there", F.lit(True))
     is_local = F.coalesce(F.contains("audio_path", F.lit("storage/audio")), F.lit(False))
     found = is_local & F.col("_here").isNotNull()
     state = (
         F.when(found & F.col("_there").isNotNull(), "skipped").when(found, "uploaded").when(is_local, "missing")
     )
+    # only local paths can match: any other segment, above all one without a path, gets a key of its own
+    path = F.when(is_local, F.col("audio_path")).otherwise(F.concat(F.lit("\0"), F.col("id").cast("string")))
     joined = (
-        segments.withColumn("_new_key", new_key).join(here, "audio_path", "left").join(there, "_new_key", "left")
+        segments.withColumns({"_new_key": new_key, "_path": path}).join(here, "_path", "left").join(there, "_new_key", "left")
     ).withColumn("_state", state)
     moved = joined.select(
         (F.col("id") + offset * 1000).alias("id"),

@@ -55,8 +55,10 @@ def start_event_ingest(stream: DataFrame, sink: str, checkpoint: str, every: str
 
 
 def latest_per_host(beats: DataFrame) -> DataFrame:
-    values = [c for c in beats.columns if c != "host"]
-    return beats.groupBy("host").agg(F.max_by(F.struct(*values), "seen_at").alias("m")).select("host", "m.*")
+    """The last snapshot of each host; of several at the same time the largest, so that a replay gives the same."""
+    values = [c for c in beats.columns if c not in ("host", "seen_at")]
+    last = beats.groupBy("host").agg(F.max(F.struct("seen_at", *values)).alias("m")).select("host", "m.*")
+    return last.select(*beats.columns)
 
 
 def start_heartbeats(stream: DataFrame, sink: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
