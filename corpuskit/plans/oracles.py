@@ -782,9 +782,11 @@ ORACLES: dict[str, str] = {
     "stream_event_ingest": """
         SELECT event_id AS id, event_type AS task, least(4000, length(props) * (1 + event_id % 600)) AS message_chars, true AS no_trace FROM events""",
     "stream_heartbeats": """
-        SELECT 'host-' || CAST(user_id % 40 AS VARCHAR) AS host, max(ts) AS seen_at, arg_max(value, ts) AS value FROM events GROUP BY 1""",
+        SELECT 'host-' || CAST(user_id % 40 AS VARCHAR) AS host, max(ts) AS seen_at, max((ts, value))[2] AS value FROM events GROUP BY 1""",
     "stream_liveness": "SELECT * FROM alive WHERE alive_until <= (SELECT max(seen_at) FROM beats) - INTERVAL 120 SECOND",
-    "stream_segment_ingest": "SELECT user_id AS book_id, event_id AS seg_order, event_type AS status FROM events",
+    "stream_segment_ingest": """
+        SELECT user_id AS book_id, event_id AS seg_order, event_type AS status FROM events
+        QUALIFY (user_id % 5 = 0 AND event_id % 2 = 1) = bool_or(user_id % 5 = 0 AND event_id % 2 = 1) OVER (PARTITION BY user_id)""",
     "stream_vote_upsert": """
         SELECT event_id % 117 AS ab_test_id, user_id % 20 AS user_id,
                arg_max(CASE event_type WHEN 'click' THEN 'A' WHEN 'view' THEN 'B' ELSE 'no_diff' END, (ts, event_id)) AS choice,

@@ -109,13 +109,19 @@ def purge_narrator(v):
 
 @query
 def write_segments(v):
-    segs = v("segments").select("book_id", "seg_order", "text", "status")
-    path = scratch_dir(segs.sparkSession, "segments")
-    tables.write_segments(segs, path)
-    redo = segs.filter(F.col("status") == "ready").withColumn("status", F.lit("pending"))
-    tables.write_segments(redo, path)
-    tables.write_segments(redo, path)
-    return segs.sparkSession.read.parquet(path).select("book_id", "seg_order", "status", F.length("text").alias("chars"))
+    """All segments, then a rebuild of the books with ready ones, delivered in two batches, one of them twice."""
+    segs = v("segments").select(
+        "book_id", "seg_order", F.lit(0).alias("delivered_at"), F.lit(0).alias("generation"), "text", "status"
+    )
+    spark = segs.sparkSession
+    path = scratch_dir(spark, "segments")
+    tables.write_segments(segs, path, 0)
+    redo = segs.filter(F.col("status") == "ready").withColumns({"status": F.lit("pending"), "generation": F.lit(1)})
+    tables.write_segments(redo.filter("seg_order % 2 = 0"), path, 1)
+    tables.compact(spark, path, tables.current_segments)
+    for _ in range(2):
+        tables.write_segments(redo.filter("seg_order % 2 = 1"), path, 2)
+    return tables.read_segments(spark, path).select("book_id", "seg_order", "status", F.length("text").alias("chars"))
 
 
 @query
@@ -984,22 +990,34 @@ def create_tests_rows(v):
 # ---- streams -----------------------------------------------------------------------------------
 
 
+STREAM_FILES = 3
+
+
 def stream_query(fn: Callable) -> Callable:
-    """Registers a job that drains the events as a stream and returns what it has written."""
+    """Registers a job that drains the events as a stream, a file a batch, and returns what it has written.
+
+    The events lie in STREAM_FILES files in order of time, so that keys come again in several batches.
+    """
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-        events = jobs.file_source(spark, sf_dir, "events.parquet", schema)
+        events = spark.read.parquet(f"{sf_dir}/events.parquet")
         base = scratch_dir(spark, fn.__name__)
-        return fn(events, f"{base}/table", f"{base}/checkpoint", lambda name: view(spark, sf_dir, name))
+        at = F.unix_micros(_instant("ts"))
+        cuts = events.agg(F.percentile_approx(at, [i / STREAM_FILES for i in range(1, STREAM_FILES)])).head()[0]
+        part = sum((F.coalesce(at > cut, F.lit(False)).cast("int") for cut in cuts), F.lit(0))
+        for k in range(STREAM_FILES):  # one after another: the source takes the oldest file first
+            events.filter(part == k).coalesce(1).write.mode("append").parquet(f"{base}/events")
+        stream = jobs.file_source(spark, f"{base}/events", "*.parquet", events.schema, maxFilesPerTrigger="1")
+        return fn(stream, f"{base}/table", f"{base}/checkpoint", derived(spark, sf_dir))
 
     QUERIES[fn.__name__] = run
     return fn
 
 
-def _drain(running, sink: str) -> DataFrame:
+def _drain(running, sink: str, reduce: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     running.awaitTermination()
-    return SparkSession.active().read.parquet(sink)
+    spark = SparkSession.active()
+    return tables.read_state(spark, sink, reduce) if reduce else spark.read.parquet(sink)
 
 
 def _instant(name: str):
@@ -1026,7 +1044,7 @@ def _beats(events: DataFrame) -> DataFrame:
 
 @stream_query
 def stream_heartbeats(events, sink, checkpoint, v):
-    table = _drain(jobs.start_heartbeats(_beats(events), sink, checkpoint), sink)
+    table = _drain(jobs.start_heartbeats(_beats(events), sink, checkpoint), sink, jobs.latest_per_host)
     return table.select("host", F.col("seen_at").cast("timestamp_ntz").alias("seen_at"), "value")
 
 
@@ -1042,15 +1060,16 @@ def stream_liveness(events, sink, checkpoint, v):
 
 @stream_query
 def stream_segment_ingest(events, sink, checkpoint, v):
-    # every delivery comes twice
+    # every delivery comes twice; every fifth book is rebuilt by its later deliveries
+    rebuilt = (F.col("user_id") % 5 == 0) & (F.col("event_id") % 2 == 1)
     sent = events.select(
-        "event_id", _instant("ts").alias("delivered_at"), F.col("user_id").alias("book_id"),
+        "event_id", _instant("ts").alias("delivered_at"), F.col("user_id").alias("book_id"), rebuilt.cast("int").alias("generation"),
         F.col("event_type").alias("status"), F.explode(F.array(F.lit(1), F.lit(2))).alias("attempt"),
     )
     rows = sent.select(
-        F.col("event_id").alias("delivery_id"), "delivered_at", "book_id", F.col("event_id").alias("seg_order"), "status"
+        F.col("event_id").alias("delivery_id"), "delivered_at", "book_id", F.col("event_id").alias("seg_order"), "generation", "status"
     )
-    return _drain(jobs.start_segment_ingest(rows, sink, checkpoint), sink).select("book_id", "seg_order", "status")
+    return _drain(jobs.start_segment_ingest(rows, sink, checkpoint), sink, tables.current_segments).select("book_id", "seg_order", "status")
 
 
 @stream_query
@@ -1060,7 +1079,7 @@ def stream_vote_upsert(events, sink, checkpoint, v):
         F.col("event_id").alias("id"), (F.col("event_id") % 117).alias("ab_test_id"), (F.col("user_id") % 20).alias("user_id"),
         choice.alias("choice"), F.col("ts").alias("created_at"), F.col("ts").alias("voted_at"),
     )
-    return _drain(jobs.start_vote_upsert(rows, sink, checkpoint), sink).select(
+    return _drain(jobs.start_vote_upsert(rows, sink, checkpoint), sink, jobs.one_vote).select(
         "ab_test_id", "user_id", "choice", "created_at", "voted_at"
     )
 
@@ -1072,7 +1091,7 @@ def stream_progress_upsert(events, sink, checkpoint, v):
         F.when(F.col("event_id") % 41 == 0, "broken").otherwise((F.col("event_id") % 9).cast("string")).alias("seg_idx"),
         F.col("value").alias("t"), F.col("ts").alias("updated"),
     )
-    table = _drain(jobs.start_progress_upsert(rows, sink, checkpoint), sink)
+    table = _drain(jobs.start_progress_upsert(rows, sink, checkpoint), sink, jobs.latest_progress)
     return jobs.playable_progress(table).select("user_id", "book_id", "seg_idx", "t", "updated")
 
 
@@ -1081,11 +1100,12 @@ def stream_capped_log(events, sink, checkpoint, v):
     rows = events.select(
         F.col("event_id").alias("id"), F.col("ts").alias("seen_at"), F.col("event_type").alias("source"), F.col("props").alias("line")
     )
-    return _drain(jobs.start_capped_log(rows, sink, checkpoint), sink).select("id", "source", "seen_at")
+    return _drain(jobs.start_capped_log(rows, sink, checkpoint), sink, jobs.newest_lines).select("id", "source", "seen_at")
 
 
 @stream_query
 def stream_status_poll(events, sink, checkpoint, v):
     books = f"{checkpoint}-books"
     tables.write_report(v("books"), books)
-    return _drain(jobs.start_status_poll(events, books, sink, checkpoint), sink)
+    jobs.start_status_poll(events, books, sink, checkpoint).awaitTermination()
+    return jobs.last_poll(SparkSession.active(), sink)

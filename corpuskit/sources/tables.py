@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import CATALOG
-from ..session import scratch_dir
 
-BUCKETS = 16
+Reduce = Callable[[DataFrame], DataFrame]
 
 
 def read_catalog(spark: SparkSession, path: str, table: str) -> DataFrame:
@@ -20,18 +19,14 @@ def read_catalog(spark: SparkSession, path: str, table: str) -> DataFrame:
     return spark.read.schema(CATALOG[table]).parquet(f"{path}/{table}")
 
 
-def read_catalog_jdbc(spark: SparkSession, url: str, table: str, max_id: int, splits: int, **options: str) -> DataFrame:
-    """The same from a database, read in parallel id ranges."""
-    return spark.read.jdbc(
-        url, table, column="id", lowerBound=0, upperBound=max_id, numPartitions=splits, properties=options
-    )
-
-
 def _exists(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None if nothing is there or no file has been committed. Any other error is raised."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def scrub_nul(df: DataFrame) -> DataFrame:
@@ -57,59 +52,100 @@ def write_report(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     writer.format(fmt).save(path)
 
 
-def merge_buckets(
-    updates: DataFrame,
-    path: str,
-    key: Column,
-    combine: Callable[[DataFrame, DataFrame], DataFrame],
-    buckets: int = BUCKETS,
-) -> None:
-    """Merge ``updates`` into a table kept in hash buckets of ``key``; only touched buckets are rewritten.
-
-    The updates are computed once, into a staging table, whose bucket column tells what they touch.
-    ``combine(current, updates)`` must give the same rows when the same updates come again, so that a
-    repeated batch is harmless. The rebalance before the last write gives few files per bucket and
-    lets AQE split a bucket that holds most of the rows. New files are written beside the old ones
-    and swapped in at commit.
+def append_changes(updates: DataFrame, path: str, batch: int) -> None:
+    """Write a batch of changes beside the earlier ones, under its number.
+
+    The cost follows the batch, not the table. The same batch written again replaces itself, a batch that failed
+    half-way is replaced when it comes again, and no row written before is touched.
     """
-    spark = updates.sparkSession
-    staging = scratch_dir(spark, "staging")
-    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-    updates.withColumn("bucket", bucket).write.parquet(staging)
-    layout = T.StructType([*updates.schema.fields, T.StructField("bucket", T.IntegerType())])
-    staged = spark.read.schema(layout).parquet(staging)
-    touched = [row.bucket for row in staged.select("bucket").distinct().collect()]  # at most ``buckets``
-    if not touched:
-        return
-    new, current = staged.drop("bucket"), _exists(spark, path)
-    if current is None:
-        current = new.limit(0)
-    else:
-        current = current.filter(F.col("bucket").isin(touched)).select(*updates.columns)
-    (
-        combine(current, new)
-        .withColumn("bucket", bucket)
-        .hint("rebalance", "bucket")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("bucket")
-        .parquet(path)
-    )
+    updates.write.mode("overwrite").parquet(f"{path}/changes/batch={batch}")
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete versions; a version counts once its job has left the success mark."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(f"{path}/versions")
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    folders = [status.getPath() for status in fs.listStatus(root)]
+    done = [f for f in folders if fs.exists(jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))]
+    return sorted(int(f.getName().removeprefix("upto=")) for f in done)
 
 
-def write_segments(rows: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Replace the segments of the books in ``rows``; other books in the same bucket are carried over.
+def _rows(spark: SparkSession, path: str) -> tuple[DataFrame | None, DataFrame | None]:
+    """The newest version, and the changes that came after it with their batch."""
+    version, changes = None, _exists(spark, f"{path}/changes")
+    if done := _versions(spark, path):
+        version = spark.read.parquet(f"{path}/versions/upto={done[-1]}")
+        changes = None if changes is None else changes.filter(F.col("batch") > done[-1])
+    return version, changes
 
-    Running it again with the same rows gives the same table.
+
+def read_state(spark: SparkSession, path: str, reduce: Reduce) -> DataFrame:
+    """The current table: ``reduce`` over the newest version and all later changes.
+
+    ``reduce`` keeps what counts of many rows per key (the last one, say), whatever their order, and gives the same
+    for rows that it has reduced before.
+    """
+    version, changes = _rows(spark, path)
+    changes = None if changes is None else changes.drop("batch")
+    if version is None and changes is None:
+        raise ValueError(f"{path} holds no table")
+    if version is None:
+        return reduce(changes)
+    return reduce(version if changes is None else version.unionByName(changes))
+
+
+def compact(spark: SparkSession, path: str, reduce: Reduce) -> None:
+    """Fold the changes so far into a new version. Readers take it once it is complete; until then, and if the job
+    dies, the old version and the changes are what they were."""
+    _, changes = _rows(spark, path)
+    last = None if changes is None else changes.agg(F.max("batch")).head()[0]
+    if last is not None:
+        read_state(spark, path, reduce).write.mode("overwrite").parquet(f"{path}/versions/upto={last}")
+
+
+def drop_superseded(spark: SparkSession, path: str) -> None:
+    """Delete versions and changes that the newest version has replaced. For times without readers of these."""
+    done = _versions(spark, path)
+    if not done:
+        return
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.listStatus(hadoop(f"{path}/versions")):
+        if int(status.getPath().getName().removeprefix("upto=")) < done[-1]:
+            fs.delete(status.getPath(), True)
+    for status in fs.listStatus(hadoop(f"{path}/changes")):
+        name = status.getPath().getName()
+        if name.startswith("batch=") and int(name.removeprefix("batch=")) <= done[-1]:
+            fs.delete(status.getPath(), True)
+
+
+def current_segments(rows: DataFrame) -> DataFrame:
+    """The segments of each book's newest generation, each as it was delivered last.
+
+    ``rows``: book_id, seg_order, generation, delivered_at and other columns. A rebuild of a book carries a higher
+    generation and so replaces the whole book; within a generation deliveries add up. The generation is looked up by
+    book after partial maxima, a hot book is split by the join.
     """
+    values = [c for c in rows.columns if c not in ("book_id", "seg_order", "delivered_at")]
+    last = rows.groupBy("book_id", "seg_order", F.col("generation").alias("_g")).agg(
+        F.max(F.struct("delivered_at", *values)).alias("s")
+    )
+    newest = rows.groupBy("book_id").agg(F.max("generation").alias("_g"))
+    return last.join(newest, ["book_id", "_g"]).select("book_id", "seg_order", "s.*").select(*rows.columns)
+
+
+def write_segments(rows: DataFrame, path: str, batch: int) -> None:
+    """Deliver segments (see ``current_segments``); ``read_segments`` gives what is current."""
+    append_changes(rows, path, batch)
 
-    def replace(current: DataFrame, new: DataFrame) -> DataFrame:
-        books = new.select("book_id").distinct()
-        return current.join(books, "book_id", "left_anti").unionByName(new)
 
-    merge_buckets(rows, path, F.col("book_id"), replace, buckets)
+def read_segments(spark: SparkSession, path: str) -> DataFrame:
+    return read_state(spark, path, current_segments)
 
 
 def orphaned_takes(takes: DataFrame, segments: DataFrame) -> DataFrame:
-    """Takes without a segment any more; the rebuild of a book drops them."""
+    """Takes without a segment any more: what a rebuild of a book leaves to drop, beside ``plan_reprocess``."""
     return takes.join(segments.select(F.col("id").alias("segment_id")), "segment_id", "left_anti")

@@ -1,8 +1,9 @@
 """Event ingest, heartbeats, liveness, redelivery-safe ingest, upserts, capped logs, status polls.
 
-Sources are streaming DataFrames with TIMESTAMP event times. Upserts keep no stream state: each
-micro-batch is reduced to one row per key and merged into a bucketed table, and the same batch may
-come again without harm.
+Sources are streaming DataFrames with TIMESTAMP event times. Upserts keep no stream state: each micro-batch is
+reduced to one row per key and appended under its number, so that its cost follows the batch, not the table, and the
+same batch may come again without harm. Readers reduce the batches (``tables.read_state``); ``tables.compact`` folds
+them into a version from time to time.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import catalog, monitor, votes
-from ..sources.tables import merge_buckets, write_report, write_segments
+from ..sources.tables import append_changes, write_segments
 
 REDELIVERY = "2 hours"
 LATE_BEATS = "2 minutes"
@@ -34,7 +35,7 @@ def _trigger(processing_time: str | None) -> dict[str, Any]:
 
 def _each_batch(stream: DataFrame, checkpoint: str, every: str | None, work) -> StreamingQuery:
     return (
-        stream.writeStream.foreachBatch(lambda batch, _: work(batch))
+        stream.writeStream.foreachBatch(work)
         .option("checkpointLocation", checkpoint)
         .trigger(**_trigger(every))
         .start()
@@ -62,15 +63,8 @@ def latest_per_host(beats: DataFrame) -> DataFrame:
 
 
 def start_heartbeats(stream: DataFrame, sink: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Keep the latest snapshot of every host."""
-
-    def work(batch: DataFrame) -> None:
-        merge_buckets(
-            latest_per_host(batch), sink, F.col("host"),
-            lambda current, new: latest_per_host(current.unionByName(new)),
-        )
-
-    return _each_batch(stream, checkpoint, every, work)
+    """Keep the latest snapshot of every host; read by ``latest_per_host``."""
+    return _each_batch(stream, checkpoint, every, lambda batch, n: append_changes(latest_per_host(batch), sink, n))
 
 
 def start_liveness(
@@ -78,9 +72,9 @@ def start_liveness(
 ) -> StreamingQuery:
     """Closed alive intervals per host. Beats later than the watermark are dropped.
 
-    Sessions are merged before the shuffle, so a chatty host sends few rows.
+    With spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition set in the session, sessions are merged
+    before the shuffle, so a chatty host sends few rows; ``build_session`` sets it.
     """
-    stream.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     sessions = (
         stream.withWatermark("seen_at", LATE_BEATS)
         .groupBy("host", F.session_window("seen_at", f"{ttl} seconds").alias("alive"))
@@ -100,21 +94,20 @@ def start_liveness(
 def start_segment_ingest(stream: DataFrame, sink: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Write delivered segments once, though a delivery may come again within two hours.
 
-    ``stream``: delivery_id (one per segment sent), delivered_at, and the segment columns.
+    ``stream``: delivery_id (one per segment sent), delivered_at, generation, and the segment columns. A book may come
+    in any number of batches; only a newer generation of it replaces an older one.
     """
     once = stream.withWatermark("delivered_at", REDELIVERY).dropDuplicatesWithinWatermark(["delivery_id"])
-    return _each_batch(
-        once, checkpoint, every, lambda batch: write_segments(batch.drop("delivery_id", "delivered_at"), sink)
-    )
+    return _each_batch(once, checkpoint, every, lambda batch, n: write_segments(batch.drop("delivery_id"), sink, n))
 
 
 def start_vote_upsert(stream: DataFrame, sink: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """One vote per (test, user): last choice, first time."""
+    """One vote per (test, user): last choice, first time; read by ``one_vote``."""
+    return _each_batch(stream, checkpoint, every, lambda batch, n: append_changes(one_vote(batch), sink, n))
 
-    def work(batch: DataFrame) -> None:
-        merge_buckets(votes.upsert_votes(batch.limit(0), batch), sink, F.col("ab_test_id"), votes.upsert_votes)
 
-    return _each_batch(stream, checkpoint, every, work)
+def one_vote(rows: DataFrame) -> DataFrame:
+    return votes.upsert_votes(rows.limit(0), rows)
 
 
 def latest_progress(rows: DataFrame) -> DataFrame:
@@ -129,38 +122,35 @@ def playable_progress(rows: DataFrame) -> DataFrame:
 
 
 def start_progress_upsert(stream: DataFrame, sink: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Keep the last saved position per (user, book), malformed ones too: they hide older ones."""
-
-    def work(batch: DataFrame) -> None:
-        merge_buckets(
-            latest_progress(batch), sink, F.col("user_id"),
-            lambda current, new: latest_progress(current.unionByName(new)),
-        )
-
-    return _each_batch(stream, checkpoint, every, work)
+    """Keep the last saved position per (user, book), malformed ones too: they hide older ones. Read by
+    ``latest_progress``."""
+    return _each_batch(stream, checkpoint, every, lambda batch, n: append_changes(latest_progress(batch), sink, n))
 
 
 def start_capped_log(
     stream: DataFrame, sink: str, checkpoint: str, every: str | None = None, n: int = monitor.LOG_KEEP
 ) -> StreamingQuery:
-    """The newest ``n`` lines per source. A repeated batch adds no line twice."""
-
-    def work(batch: DataFrame) -> None:
-        def combine(current: DataFrame, new: DataFrame) -> DataFrame:
-            return monitor.cap_log(current.unionByName(new).dropDuplicates(["id"]), n)
+    """The newest ``n`` lines per source; read by ``newest_lines``. A line that comes twice counts once."""
+    return _each_batch(stream, checkpoint, every, lambda batch, k: append_changes(newest_lines(batch, n), sink, k))
 
-        merge_buckets(monitor.cap_log(batch, n), sink, F.col("source"), combine)
 
-    return _each_batch(stream, checkpoint, every, work)
+def newest_lines(rows: DataFrame, n: int = monitor.LOG_KEEP) -> DataFrame:
+    return monitor.cap_log(rows.dropDuplicates(["id"]), n)
 
 
 def start_status_poll(
     stream: DataFrame, books_path: str, sink: str, checkpoint: str, every: str | None = None
 ) -> StreamingQuery:
-    """Recount the books per status whenever events come in."""
+    """Count the books per status whenever events come in. Every count stays beside the earlier ones under its
+    number (``batch``), so that no reader loses the files it reads; ``last_poll`` is the newest."""
 
-    def work(batch: DataFrame) -> None:
+    def work(batch: DataFrame, n: int) -> None:
         books = batch.sparkSession.read.parquet(books_path)
-        write_report(catalog.status_summary(books), sink)
+        append_changes(catalog.status_summary(books), sink, n)
 
     return _each_batch(stream, checkpoint, every, work)
+
+
+def last_poll(spark: SparkSession, sink: str) -> DataFrame:
+    polls = spark.read.parquet(f"{sink}/changes")
+    return polls.filter(F.col("batch") == polls.agg(F.max("batch")).scalar()).drop("batch")

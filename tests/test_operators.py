@@ -97,14 +97,16 @@ def test_finalize_without_segments(spark):
 
 
 def test_rekey(spark):
-    inv = spark.createDataFrame([(f"audio/13/000{i}.mp3",) for i in range(3)] + [("audio/14/0000.mp3",)], "key string")
-
-    def moved(src):
-        return migrate.rekey_prefix(inv, src, "archive/T1/").filter("moved").count()
-
-    assert (moved("audio/13/"), moved("audio/14/"), moved("audio/15/")) == (3, 1, 0)
-    new = {r.key: r.new_key for r in migrate.rekey_prefix(inv, "audio/13/", "archive/T1/").collect()}
-    assert new["audio/13/0002.mp3"] == "archive/T1/0002.mp3" and new["audio/14/0000.mp3"] == "audio/14/0000.mp3"
+    """Only keys under the prefix move, and keep what follows it; a folder whose name goes on is another folder."""
+    folders = ["clips/77/", "clips/770/", "clips/78/", "other/clips/77/"]
+    inv = spark.createDataFrame([(f"{folder}take-{i}.ogg",) for folder in folders for i in range(4)], "key string")
+    for source in folders:
+        got = migrate.rekey_prefix(inv, source, "old/now/").collect()
+        for r in got:
+            inside = r.key.startswith(source)
+            assert r.moved == inside
+            assert r.new_key == ("old/now/" + r.key[len(source):] if inside else r.key)
+        assert sum(r.moved for r in got) == 4
 
 
 def test_purge_keeps_longer_ids(spark):
@@ -122,15 +124,102 @@ def test_copy_refuses_a_filled_target(spark):
         tables.copy_table(src, ["id", "t"], path)
 
 
-def test_segments_are_replaced_per_book(spark):
+SEGMENTS = "book_id long, seg_order int, delivered_at int, generation int, text string"
+
+
+def test_a_book_in_two_deliveries(spark):
+    path = scratch_dir(spark, "segments")
+    for batch in range(2):
+        part = [(1, i, batch, 0, f"{batch}") for i in range(5 * batch, 5 * batch + 5)]
+        tables.write_segments(spark.createDataFrame(part, SEGMENTS), path, batch)
+    assert [r.seg_order for r in tables.read_segments(spark, path).orderBy("seg_order").collect()] == list(range(10))
+
+
+def test_a_newer_generation_replaces_a_book(spark):
     path = scratch_dir(spark, "segments")
-    first = spark.createDataFrame([(b, i, "old") for b in range(40) for i in range(3)], "book_id long, seg_order int, text string")
-    tables.write_segments(first, path, 4)
-    again = spark.createDataFrame([(7, 0, "new"), (8, 0, "new")], first.schema)
+    first = [(b, i, 0, 0, "old") for b in range(40) for i in range(3)]
+    tables.write_segments(spark.createDataFrame(first, SEGMENTS), path, 0)
+    tables.compact(spark, path, tables.current_segments)
+    again = [(7, 0, 1, 1, "new"), (8, 0, 1, 1, "new"), (9, 1, 1, 0, "late")]
     for _ in range(2):
-        tables.write_segments(again, path, 4)
-    got = rows(spark.read.parquet(path).select("book_id", "seg_order", "text"))
-    assert got == sorted([r for r in map(tuple, first.collect()) if r[0] not in (7, 8)] + [(7, 0, "new"), (8, 0, "new")])
+        tables.write_segments(spark.createDataFrame(again, SEGMENTS), path, 1)
+    want = [(b, i, "old") for b, i, *_ in first if b not in (7, 8) and (b, i) != (9, 1)]
+    want = sorted(want + [(7, 0, "new"), (8, 0, "new"), (9, 1, "late")])
+    assert rows(tables.read_segments(spark, path).select("book_id", "seg_order", "text")) == want
+    tables.compact(spark, path, tables.current_segments)
+    tables.drop_superseded(spark, path)
+    assert rows(tables.read_segments(spark, path).select("book_id", "seg_order", "text")) == want
+
+
+def test_a_killed_compaction_leaves_the_table(spark):
+    path = scratch_dir(spark, "segments")
+    data = [(1, i, 0, 0, "kept") for i in range(50)]
+    tables.write_segments(spark.createDataFrame(data, SEGMENTS), path, 0)
+
+    def dies(df):
+        return tables.current_segments(df).withColumn("text", F.raise_error(F.lit("killed")))
+
+    with pytest.raises(Exception, match="killed"):
+        tables.compact(spark, path, dies)
+    assert tables.read_segments(spark, path).count() == 50
+    tables.compact(spark, path, tables.current_segments)
+    assert tables.read_segments(spark, path).count() == 50
+
+
+def test_an_unreadable_table_is_not_an_empty_one(spark, tmp_path):
+    (tmp_path / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception):
+        tables._exists(spark, str(tmp_path)).count()
+    assert tables._exists(spark, str(tmp_path / "nowhere")) is None
+
+
+def test_status_summary_with_a_null_status(spark):
+    books = spark.createDataFrame([("error",), (None,)], "status string")
+    got = rows(catalog.status_summary(books).filter("n > 0").fillna("null", ["status"]))
+    assert got == [("error", 1), ("null", 1), ("total", 2)]
+
+
+def test_null_keys_spread(spark):
+    """Nine of ten rows without a key: their join keys differ."""
+    events = spark.range(100).selectExpr("id", "IF(id % 10 = 0, id, NULL) AS book_id", "'info' AS level")
+    none = spark.createDataFrame([], "id long, book_id long, segment_id long")
+    ids = spark.createDataFrame([(10,)], "book_id long")
+    left = catalog.delete_books(events, none, none, events, ids)["pipeline_events"]
+    assert left.filter("book_id IS NULL").count() == 91 and left.count() == 100
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert "coalesce(concat(b" in plan
+    segs = spark.range(100).selectExpr("id", "id AS book_id", "0 AS seg_order", "'t' AS text", "CAST(NULL AS STRING) AS audio_path",
+                                       "'ready' AS status", "1 AS duration")
+    files = spark.createDataFrame([("storage/audio/1",)], "key string")
+    moved = migrate.remap_ids(events, segs, files, files, 1)["segments"]
+    assert moved.filter("audio_path IS NULL").count() == 100
+    assert "_path" in moved._jdf.queryExecution().optimizedPlan().toString()
+    voices = spark.createDataFrame([("a", "p", "l", "v")], "key string, provider string, label string, voice string")
+    books = spark.range(20).selectExpr("id", "CAST(NULL AS STRING) AS tts_narrator", "'' AS tts_instructions")
+    assert catalog.resolve_narrator(books, voices, "a").filter("preset = 'a'").count() == 20
+
+
+def test_worker_rollup_sorts_by_the_short_name(spark):
+    items = spark.createDataFrame([("celery@b", "done"), ("a", "done"), ("celery@c", "done")], "worker string, state string")
+    assert [r.name for r in monitor.worker_rollup(items).collect()] == ["a", "b", "c"]
+
+
+def test_equal_times_do_not_flip(spark):
+    from corpuskit.streaming import jobs
+
+    beats = spark.createDataFrame([("h", 1, 5.0), ("h", 1, 7.0)], "host string, seen_at int, value double")
+    assert {jobs.latest_per_host(beats.orderBy(order)).first().value for order in (F.asc("value"), F.desc("value"))} == {7.0}
+
+
+@pytest.mark.parametrize("size", [1799, 1800, 1801])
+@pytest.mark.parametrize("newline", [False, True])
+def test_regions_about_the_cap(spark, size, newline):
+    """A region that fits is a chunk as it is, by the short way as by the fold."""
+    text = ("word " * 400)[: size - 1] + "."
+    text = text.replace(" ", "\n", 1) if newline else text
+    got = spark.createDataFrame([(text,)], "t string").select(chunks.pack_chunks(F.col("t")).alias("c")).first().c
+    assert all(len(c) <= chunks.CHUNK_CHARS for c in got)
+    assert " ".join(got).split() == text.split() and (len(got) == 1) == (size <= chunks.CHUNK_CHARS)
 
 
 def test_votes_replay(spark):
