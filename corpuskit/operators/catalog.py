@@ -153,31 +153,61 @@ def narrations(
     the ready base segments and appear only with at least one ready take.
     """
     primary_key = F.coalesce(none_if_empty(F.col("tts_narrator")), F.lit(default))
-    base = resolve_narrator(
-        _with_progress(books.select("id", "tts_narrator", "tts_instructions"), segments), registry, default
-    ).select(
-        F.col("id").alias("book_id"), primary_key.alias("primary_key"), "label", "voice", "total", "ready"
+    heard = _voices_heard(segments, takes).withColumnRenamed("book_id", "id")
+    base = books.select("id", primary_key.alias("primary_key")).join(heard, "id", "left").select(
+        "id", "primary_key", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "base_ready")), "voices"
     )
-    primary = base.select(
-        "book_id", F.lit(0).alias("pos"), F.col("primary_key").alias("narrator"), "label", "voice",
-        F.lit(True).alias("primary"),
-        ((F.col("total") > 0) & (F.col("ready") == F.col("total"))).alias("ready"),
-        F.col("ready").alias("segments_ready"), F.col("total").alias("segments_total"),
+    voice = "struct<narrator: string, primary: boolean, n: bigint>"
+    own = F.array(F.struct(F.col("primary_key").alias("narrator"), F.lit(True), F.col("base_ready").alias("n"))).cast(f"array<{voice}>")
+    others = F.transform(
+        F.filter(F.coalesce("voices", F.array()), lambda x: x["narrator"] != F.col("primary_key")),
+        lambda x: F.struct(x["narrator"], F.lit(False), F.least(x["n"], F.col("base_ready"))).cast(voice),
     )
-    done = F.least("n", "base_ready")
-    alternates = (
-        alt_ready_counts(segments, takes)
-        .join(base.select("book_id", "primary_key", F.col("ready").alias("base_ready")), "book_id")
-        .filter(F.col("narrator") != F.col("primary_key"))
-        .join(registry.withColumnRenamed("key", "narrator"), "narrator")
-        .select(
-            "book_id", (F.col("pos") + 1).alias("pos"), "narrator", "label", "voice",
-            F.lit(False).alias("primary"),
-            ((F.col("base_ready") > 0) & (done >= F.col("base_ready"))).alias("ready"),
-            done.alias("segments_ready"), F.col("base_ready").alias("segments_total"),
-        )
+    rows = base.select("id", "total", "base_ready", F.explode(F.concat(own, others)).alias("v"))
+    named = registry.select(F.col("key"), F.struct("pos", "label", "voice").alias("preset"))
+    fallback = registry.filter(F.col("key") == default).select(F.struct("pos", "label", "voice")).scalar()
+    rows = rows.join(named, F.col("v.narrator") == F.col("key"), "left").filter("v.primary OR preset IS NOT NULL")
+    shown = F.when(F.col("v.primary"), F.coalesce("preset", fallback)).otherwise(F.col("preset"))
+    of = F.when(F.col("v.primary"), F.col("total")).otherwise(F.col("base_ready"))
+    return rows.withColumns({"shown": shown, "of": of}).select(
+        F.col("id").alias("book_id"),
+        F.when(F.col("v.primary"), 0).otherwise(F.col("shown.pos") + 1).alias("pos"),
+        F.col("v.narrator").alias("narrator"), "shown.label", "shown.voice", F.col("v.primary").alias("primary"),
+        ((F.col("of") > 0) & (F.col("v.n") >= F.col("of"))).alias("ready"),
+        F.col("v.n").alias("segments_ready"), F.col("of").alias("segments_total"),
+    )
+
+
+def _voices_heard(segments: DataFrame, takes: DataFrame) -> DataFrame:
+    """Per book from one pass over each table: total, base_ready, voices ARRAY<STRUCT<narrator, n>>.
+
+    A segment's ready takes are one array before the join. Counting by book and narrator comes before counting by
+    book, so that a book with very many segments is combined on the map side.
+    """
+    ready = takes.filter(F.col("status") == "ready").groupBy("segment_id").agg(F.collect_list("narrator").alias("names"))
+    joined = segments.select("book_id", F.col("id").alias("segment_id"), "status").join(ready, "segment_id", "left")
+    each = joined.select("book_id", "status", F.posexplode_outer("names").alias("k", "narrator"))
+    first = F.coalesce("k", F.lit(0)) == 0
+    by_voice = each.groupBy("book_id", "narrator").agg(
+        F.count_if(first).alias("total"), F.count_if(first & (F.col("status") == "ready")).alias("base_ready"),
+        F.count("narrator").alias("n"),
+    )
+    voice = F.when(F.col("narrator").isNotNull(), F.struct("narrator", "n"))
+    return by_voice.groupBy("book_id").agg(
+        F.sum("total").alias("total"), F.sum("base_ready").alias("base_ready"), F.collect_list(voice).alias("voices")
     )
-    return primary.unionByName(alternates)
+
+
+def library_list(
+    books: DataFrame, segments: DataFrame, takes: DataFrame, registry: DataFrame, default: str, is_admin: bool = False
+) -> DataFrame:
+    """Visible books, newest first, with their voices in order: ARRAY<STRUCT<pos, narrator, label, primary, ready>>."""
+    voices = narrations(books, segments, takes, registry, default).groupBy(F.col("book_id").alias("id")).agg(
+        F.array_sort(F.collect_list(F.struct("pos", "narrator", "label", "primary", "ready"))).alias("voices")
+    )
+    shown = books if is_admin else books.filter(~F.col("hidden"))
+    listed = shown.select("id", "title", "author", "status", "genre", "created_at")
+    return visible_books(listed.join(voices, "id", "left"), is_admin=True)
 
 
 def resolve_take(segments: DataFrame, takes: DataFrame, narrator: str | None) -> DataFrame:
@@ -323,16 +353,12 @@ def resume_position(progress: DataFrame, segments: DataFrame) -> DataFrame:
 
 def initial_narrator(voices: DataFrame, saved: DataFrame) -> DataFrame:
     """The voice a listener starts with: the saved one if playable, else primary, else the first."""
-    playable = voices.filter("ready")
-    first = playable.groupBy("book_id").agg(F.min_by("narrator", "pos").alias("first_voice"))
-    offered = playable.select("book_id", "narrator", F.lit(True).alias("offered"))
-    return (
-        saved.join(offered, ["book_id", "narrator"], "left")
-        .join(first, "book_id", "left")
-        .select(
-            "user_id", "book_id",
-            F.when(F.col("offered"), F.col("narrator")).otherwise(F.col("first_voice")).alias("narrator"),
-        )
+    playable = voices.filter("ready").groupBy("book_id").agg(
+        F.min_by("narrator", "pos").alias("first_voice"), F.collect_set("narrator").alias("offered")  # one per voice
+    )
+    kept = F.array_contains("offered", F.col("narrator"))
+    return saved.join(playable, "book_id", "left").select(
+        "user_id", "book_id", F.when(kept, F.col("narrator")).otherwise(F.col("first_voice")).alias("narrator")
     )
 
 

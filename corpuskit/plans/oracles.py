@@ -562,6 +562,9 @@ ORACLES: dict[str, str] = {
                nullif(tts_instructions, '') AS instructions_override
         FROM books b JOIN narrators n ON n.key = CASE WHEN tts_narrator IN ({_KEYS}) THEN tts_narrator ELSE '{DEFAULT_NARRATOR}' END""",
     "narrations": "SELECT * FROM voice_rows",
+    "library_list": """
+        SELECT b.id, b.title, string_agg(narrator || ':' || label || ':' || CAST(ready AS VARCHAR), '|' ORDER BY pos, narrator) AS voices
+        FROM books b JOIN voice_rows v ON v.book_id = b.id WHERE NOT hidden GROUP BY b.id, b.title""",
     "resolve_take": """
         SELECT s.id AS segment_id, coalesce(nullif(a.audio_path, ''), s.audio_path) AS path
         FROM segments s LEFT JOIN segment_audio a ON a.segment_id = s.id AND a.narrator = 'elegiac' AND a.status = 'ready'""",

@@ -512,6 +512,13 @@ def narrations(v):
     return _voices(v)
 
 
+@query
+def library_list(v):
+    listed = catalog.library_list(v("books"), v("segments"), v("segment_audio"), v("narrators"), DEFAULT_NARRATOR)
+    shown = F.transform("voices", lambda x: F.concat_ws(":", x["narrator"], x["label"], x["ready"].cast("string")))
+    return listed.select("id", "title", F.array_join(shown, "|").alias("voices"))
+
+
 @query
 def resolve_take(v):
     return catalog.resolve_take(v("segments"), v("segment_audio"), "elegiac")

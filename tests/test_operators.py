@@ -263,3 +263,9 @@ def test_no_shuffle_in_the_corpus_job(spark, sf_dir):
     plan = corpus.chunk_rows(corpus.prepare_corpus(docs))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+@pytest.mark.parametrize("name, most", [("narrations", 5), ("initial_narrator", 7), ("library_list", 7)])
+def test_scans_of_the_narration_family(spark, sf_dir, name, most):
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= most
