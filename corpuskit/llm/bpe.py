@@ -21,16 +21,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.llm.common import table
+from corpuskit.llm.common import released, table
 
 #: Unicode white space; Python's own class also has the four separators U+001C to U+001F.
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LONG_WORD = 256
 #: Words for one DuckDB query, and words that a worker remembers (about 300 bytes each).
 WORDS_AT_ONCE = 50_000
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Characters of texts that are put together at once.
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 4_000_000
 
 ENCODE = """
 WITH RECURSIVE steps(w, pos, id, pair, step) AS (
@@ -212,7 +212,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str) -> DataFram
                     start, chars = at + 1, 0
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return rows.mapInArrow(released(run), "doc_id long, ids array<int>, decoded binary")
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.llm.common import NO_ID, shuffle_parts, stage, table
+from corpuskit.llm.common import NO_ID, released, shuffle_parts, stage, table
 
 SLOTS = 256
 #: Lanes that walk together, steps between looks at finished lanes, characters of texts held at once.
@@ -217,7 +217,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         "near_edited double, near_next double"
     )
     dealt = _in_order(docs, parts).repartition(parts, "pid")
-    return dealt.sortWithinPartitions("pid", "ahead", "id", "tag").mapInPandas(_pairs, schema)
+    return dealt.sortWithinPartitions("pid", "ahead", "id", "tag").mapInPandas(released(_pairs), schema)
 
 
 def _near_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -262,7 +262,7 @@ def near_fingerprints(prints: DataFrame) -> DataFrame:
     lists = distinct.select("fingerprint", F.explode(bands).alias("band"))
     parts = shuffle_parts(prints.sparkSession)
     return lists.repartition(parts, "band").sortWithinPartitions("band", "fingerprint").mapInPandas(
-        _near_rows, "u string, v string"
+        released(_near_rows), "u string, v string"
     ).distinct()
 
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.llm.common import stage, table
+from corpuskit.llm.common import released, stage, table
 from corpuskit.llm.toxicity import labelled
 
 #: Labelled and unlabelled rows that the classifiers are fitted on: those with the least hash of the id.
@@ -74,7 +74,7 @@ def views(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     named = labelled(docs, labels, "quality", keep=("lang", "source", "n_chars"))
     rows = named.select("doc_id", "held_out", "label", "text", "lang", "source", F.col("n_chars").cast("double").alias("n_chars"))
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, label int, content array<float>, metadata array<float>")
+    return rows.mapInPandas(released(run), "doc_id long, held_out boolean, label int, content array<float>, metadata array<float>")
 
 
 class Logistic:
@@ -169,7 +169,7 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield out[["doc_id", "held_out", "score", "predicted", "content_score", "metadata_score"]]
 
     schema = "doc_id long, held_out boolean, score double, predicted int, content_score double, metadata_score double"
-    return rows.select("doc_id", "held_out", "content", "metadata").mapInPandas(run, schema)
+    return rows.select("doc_id", "held_out", "content", "metadata").mapInPandas(released(run), schema)
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.llm.common import shuffle_parts, stage, table, text_tag
+from corpuskit.llm.common import released, shuffle_parts, stage, table, text_tag
 from corpuskit.llm.components import connected_components
 
 MAX_BITS = 3
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "tag": batch["tag"], "fp": fps.view(np.int64)})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_tag().alias("tag"))
-    return rows.mapInPandas(run, "doc_id long, tag long, fp long")
+    return rows.mapInPandas(released(run), "doc_id long, tag long, fp long")
 
 
 def _shared_bytes(x: np.ndarray) -> np.ndarray:
@@ -162,7 +162,7 @@ def near_links(prints: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
     deeper = F.filter(F.array(*deeper), lambda k: k.isNotNull())
     keys = F.when(F.col("hot").isNull(), F.array("key")).otherwise(deeper)
     lists = index.select("fp", F.explode(keys).alias("key"))
-    return lists.repartition(parts, "key").sortWithinPartitions("key", "fp").mapInPandas(_links, "u long, v long")
+    return lists.repartition(parts, "key").sortWithinPartitions("key", "fp").mapInPandas(released(_links), "u long, v long")
 
 
 def components(prints: DataFrame) -> DataFrame:

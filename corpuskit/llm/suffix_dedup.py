@@ -22,13 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.llm.common import NO_ID, shuffle_parts, stage, table, text_tag
+from corpuskit.llm.common import NO_ID, released, shuffle_parts, stage, table, text_tag
 
 WINDOW = 100
 GRAM = 44
 REACH = WINDOW - GRAM + 1
 #: Bytes hashed at once, bytes of texts that a sender packs together, bytes of contexts merged at once.
-PIECE, SLAB, BLOCK = 1 << 20, 1 << 25, 1 << 21
+PIECE, SLAB, BLOCK = 1 << 20, 1 << 24, 1 << 20
 #: An anchor with more different contexts is spread by its windows, each a context of its own.
 HOT_CONTEXTS = 2_000
 SEPARATOR = 255  # no byte of UTF-8
@@ -454,22 +454,22 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
-    buckets = max(4, parts // 3)
+    buckets = max(4, parts)
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"), *keep
     ).select("id", text_tag().alias("tag"), "text", *keep)
-    sent = rows.select("id", "tag", "text").mapInPandas(_send(buckets), PACKED).repartition(parts, "part").sortWithinPartitions("part")
-    asked = stage(sent.mapInPandas(_collect, PACKED), "repeat-candidates")
+    sent = rows.select("id", "tag", "text").mapInPandas(released(_send(buckets)), PACKED).repartition(parts, "part").sortWithinPartitions("part")
+    asked = stage(sent.mapInPandas(released(_collect), PACKED), "repeat-candidates")
     lists = [F.collect_list(F.when(F.col("kind") == k, F.col("data"))).alias(name) for k, name in ((1, "near"), (2, "hot"))]
     wanted = asked.where("kind > 0").groupBy(F.col("id").alias("w_id"), F.col("tag").alias("w_tag")).agg(*lists)
     cut = rows.join(wanted, (F.col("id") == F.col("w_id")) & (F.col("tag") == F.col("w_tag")))
-    cut = cut.select("id", "tag", "text", "near", "hot").mapInPandas(_cut(buckets), PACKED)
-    merged = cut.repartition(parts, "part").sortWithinPartitions("part").mapInPandas(_merge, PACKED)
+    cut = cut.select("id", "tag", "text", "near", "hot").mapInPandas(released(_cut(buckets)), PACKED)
+    merged = cut.repartition(parts, "part").sortWithinPartitions("part").mapInPandas(released(_merge), PACKED)
     gone = asked.where("kind = 0").union(merged).groupBy(F.col("id").alias("g_id"), F.col("tag").alias("g_tag"))
     gone = gone.agg(F.collect_list("data").alias("gone"))
     whole = rows.join(gone, (F.col("id") == F.col("g_id")) & (F.col("tag") == F.col("g_tag")), "left")
     schema = ", ".join(["id long, tag long", *[f"`{c}` string" for c in keep], "n_bytes long, n_removed long, n_spans long, kept binary"])
-    return whole.select("id", "tag", *keep, "text", "gone").mapInPandas(_apply, schema)
+    return whole.select("id", "tag", *keep, "text", "gone").mapInPandas(released(_apply), schema)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.llm.common import held_out, stage, table, text_tag
+from corpuskit.llm.common import held_out, released, stage, table, text_tag
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Beginnings of a word that are counted beside the word, so that unseen forms of a stem are recognised.
@@ -32,7 +32,8 @@ DRIFT = 0.5
 MAX_FEATURES = 50_000
 #: Labels are broadcast up to this many rows (16 bytes each); beyond, they are joined by exchange.
 BROADCAST_LABELS = 2_000_000
-FLUSH = 400_000
+#: Features that a task counts, or words that it remembers, before it starts anew.
+FLUSH = 150_000
 THRESHOLD = 0.7
 #: Without a significant passage, the best segment's log-odds against chance, down to minus this, are told apart by
 #: an evidence from -1 to 0.
@@ -97,7 +98,7 @@ def fit_log_odds(rows: DataFrame) -> tuple[dict[str, float], tuple[float, float]
 
     `rows` has text and label. Without labels of both kinds the model is empty.
     """
-    counts = rows.select("text", "label").mapInPandas(_count, "feature string, whole long, clean long, toxic long")
+    counts = rows.select("text", "label").mapInPandas(released(_count), "feature string, whole long, clean long, toxic long")
     counts = counts.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("whole", "clean", "toxic")])
     sizes = rows.agg(
         F.count(F.lit(1)), F.sum((F.col("label") == 0).cast("long")), F.sum((F.col("label") == 1).cast("long"))
@@ -200,7 +201,7 @@ def evidence(rows: DataFrame, model: dict[str, float], law: tuple[float, float])
             yield out
 
     schema = "doc_id long, tag long, held_out boolean, label int, evidence double, passages long, first_token long, last_token long"
-    return rows.select("doc_id", "tag", "held_out", "label", "text").mapInPandas(run, schema)
+    return rows.select("doc_id", "tag", "held_out", "label", "text").mapInPandas(released(run), schema)
 
 
 def calibrate(scored: DataFrame, step: float = 0.25, top: float = 50.0) -> tuple[float, float]:
