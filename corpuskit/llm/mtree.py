@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuskit.llm.common import shuffle_parts, stage, table
+from corpuskit.llm.common import bounded_sample, shuffle_parts, stage, table
 
 #: Root pivots are at most MAX_PIVOTS, one for about NODE vectors; the sample, from which every query also gets its
 #: first bound, is at most MAX_SAMPLE vectors.
@@ -215,7 +215,7 @@ def top_k(embeddings: DataFrame, k: int = 20, query_every: int = 20, scale: floa
     n, width, top = rows.agg(F.count(F.lit(1)), F.max(F.size("q")), F.max(square)).head()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(MAX_SAMPLE).toPandas()
+    sample = bounded_sample(rows, "vec_id", MAX_SAMPLE).toPandas()
     pivots = max(1, min(MAX_PIVOTS, n // NODE))
     tree = _Tree(sample["vec_id"].to_numpy(np.int64), _matrix(sample["q"], width), pivots, float(top), k)
     pages = stage(rows.mapInPandas(_pages(tree), PAGE_SCHEMA), "pages")

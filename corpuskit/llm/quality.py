@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.llm.common import released, stage, table
+from corpuskit.llm.common import bounded_sample, released, stage, table
 from corpuskit.llm.toxicity import labelled
 
 #: Labelled and unlabelled rows that the classifiers are fitted on: those with the least hash of the id.
@@ -143,9 +143,8 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     equal scores; an empty table gives no rows; other columns are ignored.
     """
     rows = stage(views(docs, labels), "views")
-    order = F.xxhash64("doc_id")
-    known = rows.where("label IS NOT NULL").orderBy(order, "doc_id").limit(MAX_LABELLED).toPandas()
-    pool = rows.where("label IS NULL AND NOT held_out").orderBy(order, "doc_id").limit(MAX_POOL).toPandas()
+    known = bounded_sample(rows.where("label IS NOT NULL"), "doc_id", MAX_LABELLED).toPandas()
+    pool = bounded_sample(rows.where("label IS NULL AND NOT held_out"), "doc_id", MAX_POOL).toPandas()
     y = known["label"].to_numpy(float)
     model = None
     if len(np.unique(y)) == 2:
