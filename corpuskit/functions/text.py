@@ -229,12 +229,12 @@ def smart_titlecase(c: Column) -> Column:
     return restore_romans(F.array_join(titled, ""))
 
 
-def clean_title(c: Column) -> Column:
-    """One-line label: blanks collapsed, end dots dropped, cut at a word beyond 96 characters."""
+def clean_title(c: Column, max_chars: int = TITLE_MAX_CHARS) -> Column:
+    """One-line label: blanks collapsed, end dots dropped, cut at a word beyond ``max_chars`` characters."""
     flat = F.rtrim(strip(collapse_spaces(c)), F.lit("."))
-    head = F.substring(flat, 1, TITLE_MAX_CHARS)
+    head = F.substring(flat, 1, max_chars)
     short = F.concat(F.regexp_replace(head, r" [^ ]*\z", ""), F.lit("…"))
-    return restore_romans(F.when(F.length(flat) > TITLE_MAX_CHARS, short).otherwise(flat))
+    return restore_romans(F.when(F.length(flat) > max_chars, short).otherwise(flat))
 
 
 __all__ = [

@@ -25,12 +25,14 @@ LOG_LINE = r"(?s)^(\S+ \S+) (\S+) (\S+): (.*)$"
 # --------------------------------------------------------------------------------------------
 
 
-def record_events(events: DataFrame) -> DataFrame:
-    """Event rows as stored: message never null and at most 4,000 characters, traceback 16,000."""
+def record_events(
+    events: DataFrame, message_chars: int = MESSAGE_CHARS, traceback_chars: int = TRACEBACK_CHARS
+) -> DataFrame:
+    """Event rows as stored: message never null; both texts are cut at ``message_chars`` and ``traceback_chars``."""
     return events.withColumns(
         {
-            "message": F.substring(F.coalesce("message", F.lit("")), 1, MESSAGE_CHARS),
-            "traceback": none_if_empty(F.substring("traceback", 1, TRACEBACK_CHARS)),
+            "message": F.substring(F.coalesce("message", F.lit("")), 1, message_chars),
+            "traceback": none_if_empty(F.substring("traceback", 1, traceback_chars)),
         }
     )
 

@@ -432,7 +432,7 @@ _LABELLED = "('ab_tests/' || CAST(id AS VARCHAR) || '.mp3')"
 ORACLES: dict[str, str] = {
     # sources and sinks
     "read_catalog": "SELECT * FROM books",
-    "copy_table": "SELECT count(*) AS rows_copied, sum(length(text)) AS chars FROM book_text",
+    "copy_table": "SELECT count(*) AS rows_copied, sum(length(text)) AS chars, bit_xor(('0x' || substr(md5(text), 1, 8))::BIGINT) AS text_xor FROM book_text",
     "remap_ids": """
         SELECT id + 2000 AS id, book_id + 2 AS book_id, seg_order, text,
                CASE WHEN audio_path LIKE '%storage/audio%' THEN CASE WHEN audio_path IN (SELECT key FROM inventory)

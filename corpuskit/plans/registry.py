@@ -61,8 +61,10 @@ def copy_table(v):
     docs = v("book_text").withColumn("text", F.concat("text", F.lit("\0")))
     path = scratch_dir(docs.sparkSession, "copy")
     copied = tables.copy_table(docs, ["doc_id", "text"], path)
-    sizes = docs.sparkSession.read.parquet(path).agg(F.sum(F.length("text")).alias("chars"))
-    return copied.select("rows_copied", sizes.scalar().alias("chars"))
+    stored = docs.sparkSession.read.parquet(path)
+    sizes = stored.agg(F.sum(F.length("text"))).scalar()
+    prints = stored.agg(F.bit_xor(F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("long"))).scalar()
+    return copied.select("rows_copied", sizes.alias("chars"), prints.alias("text_xor"))
 
 
 @query
