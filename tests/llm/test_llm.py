@@ -139,6 +139,7 @@ def test_main_text(spark):
             "<div id=comments><article>said</article></div>", "one two"),
         4: (None, ""), 5: ("", ""), 6: ("plain &lt;text&gt; a<b", "plain <text> a"), 7: (shell % "<div hidden>h</div>", ""),
         8: ("<article>cut <p cla", "cut"),
+        10: ("<div class='has-sidebar'><article>in<section class='reader-comments'>c</section></article></div>", "in"),
     }
     df = spark.createDataFrame([page(i, c[0]) for i, c in cases.items()] + [(9, None, None), (None, "x", "<p>k")],
                                "page_id long, url string, html string").withColumn("text", F.lit("extra"))
