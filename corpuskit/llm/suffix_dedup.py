@@ -108,23 +108,28 @@ def _unpack(data: bytes, kinds: list) -> tuple[list[np.ndarray], int]:
     return out, at
 
 
-def _runs(at: np.ndarray, n: np.ndarray) -> bytes:
-    return _pack([at.astype(np.int64), n.astype(np.int64)])
+def _runs(at: np.ndarray, n: np.ndarray, off: np.ndarray | None) -> bytes:
+    return _pack([at.astype(np.int64), n.astype(np.int64)] + ([] if off is None else [off]))
 
 
-def _by_document(kind: int, ids: np.ndarray, tags: np.ndarray, at: np.ndarray, n: np.ndarray) -> pd.DataFrame:
-    """One row for each document with its windows [at, at + n), neighbours joined."""
+def _by_document(
+    kind: int, ids: np.ndarray, tags: np.ndarray, at: np.ndarray, n: np.ndarray, off: np.ndarray | None = None
+) -> pd.DataFrame:
+    """One row for each document with its windows [at, at + n), neighbours joined; or, with the anchors' offsets `off`,
+    with its contexts as they are."""
     order = np.lexsort((at, tags, ids))
+    off = None if off is None else off[order].astype(np.int64)
     ids, tags, at, n = ids[order], tags[order], at[order], n[order].astype(np.int64)
     new_doc = np.concatenate(([True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])))[: len(ids)]
-    cut = np.flatnonzero(new_doc | (kind > 0) | np.concatenate(([True], at[1:] != at[:-1] + n[:-1]))[: len(ids)])
+    cut = np.flatnonzero(new_doc | (off is not None) | np.concatenate(([True], at[1:] != at[:-1] + n[:-1]))[: len(ids)])
     if len(cut):
         n, ids, tags, at = np.add.reduceat(n, cut), ids[cut], tags[cut], at[cut]
     first = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])))[: len(ids)])
     edges = [*first.tolist(), len(ids)]
     return pd.DataFrame({
         "part": np.zeros(len(first), np.int32), "kind": np.full(len(first), kind, np.int32),
-        "id": ids[first], "tag": tags[first], "data": [_runs(at[a:b], n[a:b]) for a, b in zip(edges, edges[1:])],
+        "id": ids[first], "tag": tags[first],
+        "data": [_runs(at[a:b], n[a:b], None if off is None else off[a:b]) for a, b in zip(edges, edges[1:])],
     })
 
 
@@ -221,7 +226,7 @@ def _reduce_bucket(blobs: list[bytes]) -> Iterator[pd.DataFrame]:
     for kind, chosen in ((1, (sizes > 1) & (sizes <= HOT_CONTEXTS)), (2, sizes > HOT_CONTEXTS)):
         wanted = rest[chosen]
         if len(wanted):
-            yield _by_document(kind, ids[wanted], tags[wanted], at[wanted], n[wanted])
+            yield _by_document(kind, ids[wanted], tags[wanted], at[wanted], n[wanted], off[wanted])
 
 
 def _collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -253,15 +258,13 @@ def _cut(buckets: int):
                 data = text.encode()
                 for blobs, single in ((near, False), (hot, True)):
                     for blob in blobs:
-                        (at, n), _ = _unpack(blob, [np.int64, np.int64])
-                        for a, m in zip(at.tolist(), n.tolist(), strict=True):
+                        (at, n, offsets), _ = _unpack(blob, [np.int64] * 3)
+                        for a, m, off in zip(at.tolist(), n.tolist(), offsets.tolist(), strict=True):
                             part = data[a : a + m + WINDOW - 1]
-                            size += len(part)
+                            size += m * WINDOW if single else len(part)
                             if single:
                                 found += [[xxhash.xxh64_intdigest(w := part[k : k + WINDOW]), i, tag, a + k, 0, w] for k in range(m)]
                             else:
-                                (_, _, anchor) = anchors(part, np.array([0]), np.array([len(part)]))
-                                off = int(anchor[0])
                                 found.append([xxhash.xxh64_intdigest(part[off : off + GRAM]), i, tag, a, off, part])
                 if size >= SLAB:
                     yield _packed_contexts(found, buckets)
