@@ -27,10 +27,10 @@ from corpuskit.llm.common import released, table
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LONG_WORD = 256
 #: Words for one DuckDB query, and words that a worker remembers (about 300 bytes each).
-WORDS_AT_ONCE = 50_000
-REMEMBERED = 300_000
+WORDS_AT_ONCE = 8_000
+REMEMBERED = 200_000
 #: Characters of texts that are put together at once.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 
 ENCODE = """
 WITH RECURSIVE steps(w, pos, id, pair, step) AS (
@@ -133,7 +133,7 @@ class WordCoder:
         ]
         if max(self.ranks.values()) >= 65536:
             raise ValueError("ids must be below 65,536")
-        self.duck = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.duck = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         self._load("merges", {"pair": [p for p, _ in pairs], "rank": [r for _, r in pairs]})
         self._load("vocabulary", {"id": list(self.names), "bytes": [t.decode("latin-1") for t in self.names.values()]})
 
