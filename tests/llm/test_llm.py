@@ -417,6 +417,14 @@ def test_mix(docs, rows, odd, none):
     assert abs(words / sum(sizes.values()) - 1) < 0.2
 
 
+def test_mix_of_many_shards_is_the_same_as_sql(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    got = mixing.mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"), shard_rows=20)
+    result = duck(sf_dir).execute(mixing.OP8_SQL.replace("2000.0", "20.0"))
+    columns = [d[0] for d in result.description]
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(result.fetchall())
+
+
 def test_mix_stays_native(docs):
     plan = mixing.mix_sources(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
