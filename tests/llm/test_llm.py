@@ -505,6 +505,44 @@ def test_quality(docs, rows, labels, odd, none):
     assert {r.score for r in quality.score_quality(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def whole_co_training(known, y, pool):
+    """The two views' models by definition, all rows in memory."""
+    x, labels, free = [v.copy() for v in known], [y.copy(), y.copy()], np.arange(len(pool[0]))
+    models = [quality.fit(v, y) for v in x]
+    for _ in range(quality.ROUNDS):
+        taken, most = np.zeros(len(free), bool), max(1, int(quality.SHARE * len(free)))
+        for teacher, pupil in ((0, 1), (1, 0)):
+            logit = models[teacher].logit(pool[teacher][free])
+            level = np.floor(np.abs(logit) * quality.LEVELS)
+            named = (1 / (1 + np.exp(-np.abs(logit))) >= quality.SURE) & (level >= np.sort(level)[-most:][0])
+            x[pupil] = np.concatenate([x[pupil], pool[pupil][free[named]]])
+            labels[pupil] = np.concatenate([labels[pupil], (logit[named] > 0).astype(float)])
+            taken |= named
+        free = free[~taken]
+        models = [quality.fit(*z) for z in zip(x, labels)]
+    return models
+
+
+def test_every_unlabelled_row_can_teach(spark):
+    rng = np.random.default_rng(3)
+    n, known = 20_000, 300
+    good = rng.random(n) < 0.5
+    words = np.array(["tree", "House", "and.", "42", "#!", "ox"])
+    texts = [" ".join(rng.choice(words[:3] if g else words[2:], rng.integers(3, 9))) for g in good]
+    data = [(i, t, "en", "a" if g else str(i % 5), len(t)) for i, (t, g) in enumerate(zip(texts, good.tolist()))]
+    labels = [(i, int(rng.random() < 0.1) ^ int(good[i])) for i in range(n - known, n)]
+    df, named = spark.createDataFrame(data, DOCS).repartition(4), spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {r.doc_id: (r.content_score, r.metadata_score) for r in quality.score_quality(df, named).collect()}
+
+    rows = quality.views(df, named).toPandas()
+    x = [np.stack(rows[v].tolist()).astype(float) for v in ("content", "metadata")]
+    use, pool = rows["label"].notna().to_numpy(), (rows["label"].isna() & ~rows["held_out"]).to_numpy()
+    assert pool.sum() > 12_500
+    models = whole_co_training([v[use] for v in x], rows.loc[use, "label"].to_numpy(float), [v[pool] for v in x])
+    want = np.column_stack([1 / (1 + np.exp(-m.logit(v))) for m, v in zip(models, x)])
+    assert np.abs(want - np.array([got[i] for i in rows["doc_id"]])).max() < 1e-3
+
+
 def test_held_out_accuracy(spark):
     sf_dir = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
