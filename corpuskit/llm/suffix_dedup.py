@@ -248,10 +248,21 @@ def _collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _cut(buckets: int):
-    """Cuts the wanted contexts from the texts and packs them by bucket."""
+    """Cuts the wanted contexts from the texts and packs them by bucket.
+
+    Of equal windows of hot anchors only the earliest of a slab is sent on, the others are known to go (kind 0).
+    """
+
+    def slab(found: list[list], first: dict[bytes, tuple[int, int, int]], later: list[tuple[int, int, int]]) -> Iterator[pd.DataFrame]:
+        found += [[xxhash.xxh64_intdigest(w), *place, 0, w] for w, place in first.items()]
+        yield _packed_contexts(found, buckets)
+        if later:
+            ids, tags, at = (np.array(c, np.int64) for c in zip(*later))
+            out = _by_document(0, ids, tags, at, np.ones(len(at), np.int64))
+            yield out.assign(part=((out["id"] ^ out["tag"]) % buckets).astype(np.int32))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: list[list] = []
+        found, first, later = [], {}, []
         size = 0
         for batch in batches:
             for i, tag, text, near, hot in zip(*(batch[c] for c in ("id", "tag", "text", "near", "hot")), strict=True):
@@ -261,16 +272,22 @@ def _cut(buckets: int):
                         (at, n, offsets), _ = _unpack(blob, [np.int64] * 3)
                         for a, m, off in zip(at.tolist(), n.tolist(), offsets.tolist(), strict=True):
                             part = data[a : a + m + WINDOW - 1]
-                            size += m * WINDOW if single else len(part)
                             if single:
-                                found += [[xxhash.xxh64_intdigest(w := part[k : k + WINDOW]), i, tag, a + k, 0, w] for k in range(m)]
+                                for k in range(m):
+                                    w, place = part[k : k + WINDOW], (i, tag, a + k)
+                                    known = first.setdefault(w, place)
+                                    if known != place:
+                                        first[w] = min(known, place)
+                                        later.append(max(known, place))
+                                    size += WINDOW
                             else:
+                                size += len(part)
                                 found.append([xxhash.xxh64_intdigest(part[off : off + GRAM]), i, tag, a, off, part])
                 if size >= SLAB:
-                    yield _packed_contexts(found, buckets)
-                    found, size = [], 0
-        if found:
-            yield _packed_contexts(found, buckets)
+                    yield from slab(found, first, later)
+                    found, first, later, size = [], {}, [], 0
+        if size:
+            yield from slab(found, first, later)
 
     return run
 
@@ -419,7 +436,10 @@ def _merge_bucket(blobs: list[bytes]) -> Iterator[pd.DataFrame]:
 def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     part, blobs = None, []
     for batch in batches:
-        for p, data in zip(batch["part"], batch["data"], strict=True):
+        packed = batch["kind"] == 9
+        if (~packed).any():
+            yield batch[~packed]
+        for p, data in zip(batch.loc[packed, "part"], batch.loc[packed, "data"], strict=True):
             if p != part and blobs:
                 yield from _merge_bucket(blobs)
                 blobs = []

@@ -285,6 +285,21 @@ def test_repeats_in_pieces(docs, rows, monkeypatch):
     assert c["n"].sum() == sum(max(v[0] - 99, 0) for v in want.values())  # every window is in one context
 
 
+def test_hot_windows_are_reduced_before_they_are_sent():
+    text = "".join(random.Random(8).choices("abcdefgh ", k=160))
+    blob = suffix_dedup._pack([np.array([k], np.int64) for k in (0, 61, 0)])
+    batch = suffix_dedup.pd.DataFrame(
+        [(i, 7, text, [], [blob]) for i in (3, 1, 2, 1)], columns=["id", "tag", "text", "near", "hot"]
+    )
+    out = list(suffix_dedup._cut(4)(iter([batch])))
+    sent = [b for f in out for k, b in zip(f["kind"], f["data"]) if k == 9]
+    rows = [suffix_dedup._unpack(b, [np.uint64] + [np.int64] * 5)[0] for b in sent]
+    assert {i for r in rows for i in r[1].tolist()} == {1}
+    assert sorted(at for r in rows for at in r[3].tolist()) == list(range(61))
+    gone = sorted((i, *suffix_dedup._unpack(b, [np.int64] * 2)[0]) for f in out for k, i, b in zip(f["kind"], f["id"], f["data"]) if k == 0)
+    assert [(i, at.tolist(), n.tolist()) for i, at, n in gone] == [(2, [0], [61]), (3, [0], [61])]
+
+
 def test_odd_rows_of_repeats(odd, none):
     got = suffix_dedup.remove_repeats(odd).collect()
     text = "the same words again and again in this row " * 5
