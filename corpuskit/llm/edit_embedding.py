@@ -2,7 +2,7 @@
 
 All documents share one random walk: at step j the walk stands at a character, gives it out, and moves on or stays by
 a random bit for (j, character). Texts at a small edit distance give out strings at a small Hamming distance, since
-their walks meet again after an edit. A fingerprint samples SLOTS steps of the walk, the same steps for texts of about
+their walks meet again after an edit. A fingerprint samples SLOTS steps of the whole walk, the same steps for walks of about
 the same length, and keeps a byte for each. Walks of many documents advance together, one lane each.
 """
 
@@ -65,18 +65,20 @@ def _records(length: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(steps, np.int64), np.array(slots, np.int64)
 
 
-def _steps(n: int) -> int:
-    """Steps that are sampled from a text of n characters: a walk takes about two for each."""
-    return 2 * n
+def _room(n: int) -> int:
+    """Steps that are kept room for, for a text of n characters: a walk takes about two for each, hardly ever more
+    than three."""
+    return 3 * n + STRIDE
 
 
 def walk(texts: list[np.ndarray]) -> list[np.ndarray]:
-    """What the walk over each text gives out in its first `_steps` steps."""
+    """What the walk over each text gives out until it has left the last character."""
     sizes = np.array([len(t) for t in texts], np.int64)
-    steps = _steps(sizes)
+    steps = _room(sizes)
     data = np.concatenate([part for t in texts for part in (t, np.array([END], np.uint8))])
     starts, out_starts = np.cumsum(sizes + 1) - sizes - 1, np.cumsum(steps + STRIDE) - steps - STRIDE
-    out = np.zeros(int((steps + STRIDE).sum()), np.uint8)
+    out = np.full(int((steps + STRIDE).sum()), END, np.uint8)
+    late: dict[int, np.ndarray] = {}
     queue = np.argsort(-sizes, kind="stable")
     queue = queue[sizes[queue] > 0]
     lanes = queue[:LANES]
@@ -91,7 +93,10 @@ def walk(texts: list[np.ndarray]) -> list[np.ndarray]:
             step = step + 1
             put = put + 1
         done = put >= last
-        done |= data[at] == END
+        ended = data[at] == END
+        for k in np.flatnonzero(done & ~ended).tolist():
+            late[int(lanes[k])] = _to_end(data, int(at[k]), int(step[k]))
+        done |= ended
         if done.any():
             free = np.flatnonzero(done)
             new, rest = rest[: len(free)], rest[len(free) :]
@@ -102,7 +107,19 @@ def walk(texts: list[np.ndarray]) -> list[np.ndarray]:
                 keep = np.ones(len(lanes), bool)
                 keep[drop] = False
                 lanes, at, step, put, last = (x[keep] for x in (lanes, at, step, put, last))
-    return [out[a : a + n] for a, n in zip(out_starts.tolist(), steps.tolist(), strict=True)]
+    given = [out[a : a + n + STRIDE] for a, n in zip(out_starts.tolist(), steps.tolist(), strict=True)]
+    given = [g[: np.count_nonzero(g != END)] for g in given]
+    return [np.concatenate([g, late[k]]) if k in late else g for k, g in enumerate(given)]
+
+
+def _to_end(data: np.ndarray, at: int, step: int) -> np.ndarray:
+    """What a walk at `at` gives out from `step` until the end of its text."""
+    out = []
+    while data[at] != END:
+        out.append(data[at])
+        at += int(DRAWS[step & (PERIOD - 1)] >> (int(data[at]) & 31)) & 1
+        step += 1
+    return np.array(out, np.uint8)
 
 
 def fingerprints(texts: list[str]) -> np.ndarray:

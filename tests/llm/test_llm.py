@@ -354,6 +354,20 @@ def test_walk_against_steps():
         assert edit_embedding.walk([codes, edit_embedding._codes("other")])[0][: len(want)].tolist() == want
 
 
+@pytest.mark.parametrize("room", [3.0, 1.5])
+def test_walk_reaches_the_end(monkeypatch, room):
+    if room < 3:
+        monkeypatch.setattr(edit_embedding, "_room", lambda n: (room * n).astype(int))
+    rng = random.Random(9)
+    codes = [edit_embedding._codes("".join(rng.choices("abcdefghijklmnop ", k=rng.choice([0, 1, 10, 50, 700])))) for _ in range(200)]
+    for text, given in zip(codes, edit_embedding.walk(codes), strict=True):
+        at, want = 0, []
+        while at < len(text):
+            want.append(text[at])
+            at += int(edit_embedding.DRAWS[len(want) - 1 & edit_embedding.PERIOD - 1]) >> (int(text[at]) & 31) & 1
+        assert given.tolist() == want
+
+
 def test_edits_keep_fingerprints_near(spark):
     rng = random.Random(6)
     text = [rng.choice("abcdefghijklmnop ") for _ in range(2000)]
