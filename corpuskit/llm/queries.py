@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from corpuskit.llm import (
-    bpe, edit_embedding, html_text, mixing, mtree, quality, sharding, simhash, suffix_dedup, toxicity, url_rules,
+    bpe, edit_embedding, html_text, lexical, mixing, mtree, quality, sharding, simhash, suffix_dedup, toxicity, url_rules,
 )
 
 QUERIES = {
     "op1_shards": sharding.op1_shards,
     "op10_quality": quality.op10_quality,
     "op11_url_rules": url_rules.op11_url_rules,
+    "op12_ranked_search": lexical.op12_ranked_search,
     "op2_main_text": html_text.op2_main_text,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_top_vectors": mtree.op4_top_vectors,
@@ -22,6 +23,7 @@ QUERIES = {
 
 ORACLES = {
     "op11_url_rules": url_rules.OP11_SQL,
+    "op12_ranked_search": lexical.OP12_SQL,
     "op4_top_vectors": mtree.OP4_SQL,
     "op8_source_mix": mixing.OP8_SQL,
 }
