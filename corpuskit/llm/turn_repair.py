@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from corpuskit.llm.common import shuffle_parts, stage, table
 
-#: Rows of one segment.
-SEGMENT = 256
+#: Rows of one segment; a search takes time between linear and quadratic in them.
+SEGMENT = 64
 KEEP, REROLE, DELETE, INSERT, CUT = 0, 2, 3, 2, 1
 #: What the roles so far are: none, a system row, ending in a user row, ending in an assistant row.
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -77,28 +77,34 @@ def suffix_bounds(marks: list[tuple[str, str]]) -> list[int]:
 def search(marks: list[tuple[str, str]], entry: int, ends: tuple[int, ...], closing: bool) -> tuple[int, str] | None:
     """(cost, audit) of the cheapest edits of `marks` from state `entry` to one of `ends`, ties to the least audit.
 
-    Rows may be inserted before each row, and after the last one if `closing`.
+    Rows may be inserted before each row, and after the last one if `closing`. None if no edits lead there.
     """
     n, bounds = len(marks), suffix_bounds(marks)
     free = [False] * (n + 1)  # a system row that a START state may keep lies ahead
     for i in range(n - 1, -1, -1):
         free[i] = free[i + 1] or (marks[i][0] == "s" and marks[i][1] != MUST)
-    incumbent: tuple[float, str] = (float("inf"), "")
+    early = not closing and ends[0] in (START, SYSTEM)  # all rows go but for a system row
+
+    def bound(i: int, state: int) -> float:
+        if early and state == ends[0]:
+            return DELETE * (n - i)
+        if early:
+            return DELETE * (n - i - 1) if state == START and free[i] else float("inf")
+        return bounds[i] - (REROLE if state == START and free[i] else 0)
+
+    incumbent = None if early else _greedy(marks, entry, ends, closing)
     cheapest: dict[tuple[int, int], int] = {}
     stack = [(0, entry, 0, "")]
-    greedy = _greedy(marks, entry, ends, closing)
-    if greedy:
-        incumbent = greedy
     while stack:
         i, state, cost, audit = stack.pop()
-        if cheapest.get((i, state), 1 << 60) <= cost:
+        if cheapest.get((i, state), cost + 1) <= cost:
             continue
-        bound = cost + bounds[i] - (REROLE if state == START and free[i] else 0)
-        if bound > incumbent[0] or bound == incumbent[0] and audit > incumbent[1][: len(audit)]:
+        least = cost + bound(i, state)
+        if least == float("inf") or incumbent and (least, audit) > (incumbent[0], incumbent[1][: len(audit)]):
             continue
         cheapest[i, state] = cost
         if i == n:
-            if state in ends and (cost, audit) < incumbent:
+            if state in ends and (not incumbent or (cost, audit) < incumbent):
                 incumbent = cost, audit
             if closing:
                 stack.append((n, STEPS[state, NEXT[state]], cost + INSERT, audit + "I"))
@@ -111,27 +117,34 @@ def search(marks: list[tuple[str, str]], entry: int, ends: tuple[int, ...], clos
                 stack.append((i + 1, STEPS[state, role], cost + KEEP + cut, audit + "K"))
         stack.append((i, STEPS[state, NEXT[state]], cost + INSERT, audit + "I"))
         stack.append((i + 1, state, cost + DELETE, audit + "D"))
-    return None if incumbent[0] == float("inf") else (int(incumbent[0]), incumbent[1])
+    return incumbent
 
 
 def _greedy(marks: list[tuple[str, str]], entry: int, ends: tuple[int, ...], closing: bool) -> tuple[int, str] | None:
-    """A first incumbent: keeps what fits, inserts before a user or assistant row that does not, reroles the rest."""
-    state, cost, audit = entry, 0, ""
-    for role, fault in marks:
-        if fault == MUST:
-            cost, audit = cost + DELETE, audit + "D"
-            continue
-        cost += CUT if fault == SHORT else 0
-        if (state, role) in STEPS:
-            state, audit = STEPS[state, role], audit + "K"
-        elif role in WRITTEN:
-            state, cost, audit = STEPS[STEPS[state, NEXT[state]], role], cost + INSERT, audit + "IK"
-        else:
-            state, cost, audit = STEPS[state, NEXT[state]], cost + REROLE, audit + "R"
-    for _ in range(2 * closing):
-        if state not in ends:
+    """A first incumbent: keeps what fits, inserts before a user or assistant row that does not, reroles the rest.
+
+    The last row that stays may instead get the role that leads to one of `ends`.
+    """
+    stay = [i for i, (_, fault) in enumerate(marks) if fault != MUST]
+    found = []
+    for turned in ("", "R", "IR"):
+        state, cost, audit = entry, 0, ""
+        for i, (role, fault) in enumerate(marks):
+            if fault == MUST:
+                cost, audit = cost + DELETE, audit + "D"
+                continue
+            cost += CUT if fault == SHORT else 0
+            edits = turned if turned and i == stay[-1] else (
+                "K" if (state, role) in STEPS else "IK" if role in WRITTEN else "R")
+            for edit in edits:
+                cost += {"K": KEEP, "I": INSERT, "R": REROLE}[edit]
+                state = STEPS[state, role if edit == "K" else NEXT[state]]
+            audit += edits
+        while closing and state not in ends:
             state, cost, audit = STEPS[state, NEXT[state]], cost + INSERT, audit + "I"
-    return (cost, audit) if state in ends else None
+        if state in ends:
+            found.append((cost, audit))
+    return min(found, default=None)
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
