@@ -787,6 +787,10 @@ ORACLES: dict[str, str] = {
     "stream_heartbeats": """
         SELECT 'host-' || CAST(user_id % 40 AS VARCHAR) AS host, max(ts) AS seen_at, max((ts, value))[2] AS value FROM events GROUP BY 1""",
     "stream_liveness": "SELECT * FROM alive WHERE alive_until <= (SELECT max(seen_at) FROM beats) - INTERVAL 120 SECOND",
+    "stream_expiry": """
+        SELECT host, status, "at" FROM (
+          SELECT host, 'online' AS status, alive_from AS "at" FROM alive UNION ALL SELECT host, 'offline', alive_until FROM alive) edges
+        WHERE "at" <= (SELECT max(seen_at) FROM beats) - INTERVAL 120 SECOND""",
     "stream_segment_ingest": """
         SELECT user_id AS book_id, event_id AS seg_order, event_type AS status FROM events
         QUALIFY (user_id % 5 = 0 AND event_id % 2 = 1) = bool_or(user_id % 5 = 0 AND event_id % 2 = 1) OVER (PARTITION BY user_id)""",

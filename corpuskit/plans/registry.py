@@ -1067,6 +1067,13 @@ def stream_liveness(events, sink, checkpoint, v):
     )
 
 
+@stream_query
+def stream_expiry(events, sink, checkpoint, v):
+    """Edges that the watermark has passed: hosts that still beat at the end have no offline row."""
+    table = _drain(jobs.start_expiry(_beats(events), sink, checkpoint), sink)
+    return table.select("host", "status", F.col("at").cast("timestamp_ntz").alias("at"))
+
+
 @stream_query
 def stream_segment_ingest(events, sink, checkpoint, v):
     # every delivery comes twice; every fifth book is rebuilt by its later deliveries

@@ -8,11 +8,13 @@ them into a version from time to time.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from ..operators import catalog, monitor, votes
 from ..sources.tables import append_changes, write_segments
@@ -91,6 +93,104 @@ def start_liveness(
     )
 
 
+class _Presence(StatefulProcessor):
+    """Alive intervals of one host that are not settled, and timers at their next edges.
+
+    An edge (first beat, or ``ttl`` after the last one) is settled and given out once the watermark has passed it,
+    since until then an earlier or a joining beat may come. So a host holds only the intervals of its last minutes,
+    and nothing once it has gone offline.
+    """
+
+    def __init__(self, ttl_us: int):
+        self.ttl_us = ttl_us
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.alive = handle.getListState("alive", "first_us long, last_us long, shown boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        now_us = timerValues.getCurrentWatermarkInMs() * 1000
+        beats = sorted(t for batch in rows for t in batch["seen_us"].tolist() if t > now_us)
+        held = [tuple(r) for r in self.alive.get()] if self.alive.exists() else []
+        merged: list[list] = []
+        for first, last, shown in sorted([*held, *((t, t, False) for t in beats)]):
+            if merged and first - merged[-1][1] <= self.ttl_us:
+                merged[-1][1] = max(merged[-1][1], last)
+            else:
+                merged.append([first, last, shown])
+        yield from self._settle(key[0], merged, now_us)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = [list(r) for r in self.alive.get()] if self.alive.exists() else []
+        yield from self._settle(key[0], held, timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def _settle(self, host: str, intervals: list[list], now_us: int) -> Iterator[pd.DataFrame]:
+        out, kept, edges = [], [], set()
+        for first, last, shown in intervals:
+            if not shown and first <= now_us:
+                out.append((host, "online", first))
+                shown = True
+            if last + self.ttl_us <= now_us:
+                out.append((host, "offline", last + self.ttl_us))
+                continue
+            kept.append((first, last, shown))
+            edges.add((last + self.ttl_us + 999) // 1000)
+            if not shown:
+                edges.add((first + 999) // 1000)
+        if kept:
+            self.alive.put(kept)
+        else:
+            self.alive.clear()
+        known = set(self.handle.listTimers())
+        for at in known - edges:
+            self.handle.deleteTimer(at)
+        for at in edges - known:
+            self.handle.registerTimer(at)
+        if out:
+            yield pd.DataFrame(out, columns=["host", "status", "at_us"])
+
+    def close(self) -> None:
+        pass
+
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def start_expiry(
+    stream: DataFrame, sink: str, checkpoint: str, every: str | None = None, ttl: int = monitor.HEARTBEAT_TTL_S
+) -> StreamingQuery:
+    """An `offline` row ``ttl`` seconds of event time after a host's last beat, an `online` row for its first one.
+
+    Rows: host, status, at. They come when the watermark, LATE_BEATS behind the newest beat of any host, has passed
+    ``at``: a stopped host needs no further beat of its own. Beats may come out of order and more than once within
+    that time, later ones are dropped. State is kept by host; each beat moves the host's timers. Beats without host
+    or time are left out. The state store that timers need is set for this query only.
+    """
+    spark = stream.sparkSession
+    beats = stream.where("host IS NOT NULL AND seen_at IS NOT NULL").withWatermark("seen_at", LATE_BEATS).select(
+        "host", "seen_at", F.unix_micros("seen_at").alias("seen_us"))
+    edges = beats.groupBy("host").transformWithStateInPandas(
+        _Presence(ttl * 1_000_000), "host string, status string, at_us long", "Append", "EventTime")
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKS_DB)
+    try:
+        return (
+            edges.select("host", "status", F.timestamp_micros("at_us").alias("at"))
+            .writeStream.format("parquet")
+            .outputMode("append")
+            .option("path", sink)
+            .option("checkpointLocation", checkpoint)
+            .trigger(**_trigger(every))
+            .start()
+        )
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
+
+
 def start_segment_ingest(stream: DataFrame, sink: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Write delivered segments once, though a delivery may come again within two hours.
 
