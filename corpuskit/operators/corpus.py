@@ -7,7 +7,9 @@ whatever the distribution of sources or document sizes.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,6 +19,9 @@ from pyspark.sql import types as T
 from ..functions import chapters, chunks, layout, text
 from ..functions.base import let
 
+#: Calls of a polishing service that a partition keeps under way.
+POLISH_THREADS = 8
+
 
 def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Deal the rows evenly over ``partitions``, whatever the input; None leaves them where they are.
@@ -124,19 +129,48 @@ def chunk_rows(prepared: DataFrame) -> DataFrame:
     return unroll(prepared, "doc_id", array=F.col("chunks")).select("doc_id", "item.*")
 
 
-def apply_polish(rows: DataFrame, polish: Callable[[pd.Series], pd.Series]) -> DataFrame:
-    """Add ``cleaned``: the candidates of a user function over batches of texts.
+def _in_order(pool: ThreadPoolExecutor, call: Callable, items: Iterator, ahead: int) -> Iterator:
+    """Results of ``call`` in the order of ``items``, of which at most ``ahead`` are under way."""
+    waiting: deque = deque()
+    for item in items:
+        waiting.append(pool.submit(call, item))
+        if len(waiting) >= ahead:
+            yield waiting.popleft().result()
+    while waiting:
+        yield waiting.popleft().result()
+
 
-    A batch that raises yields nulls, which the guard turns into fallbacks.
+def apply_polish(rows: DataFrame, polish: Callable[[str], str | None], threads: int = POLISH_THREADS) -> DataFrame:
+    """Add ``cleaned``: what a user function makes of each text, one call per row.
+
+    Calls wait for a service, so ``threads`` of them run at once in a partition; rows keep their order, and at most
+    twice as many calls are under way, whatever the partition's size. A call that raises, or gives no text, leaves a
+    null for its own row only, which the guard turns into a fallback. Blank and null texts are not sent.
     """
 
+    def attempt(value: str | None) -> str | None:
+        try:
+            result = polish(value) if value and value.strip() else None
+        except Exception:
+            return None
+        return result if isinstance(result, str) else None
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            try:
-                cleaned = polish(batch["text"])
-            except Exception:
-                cleaned = pd.Series([None] * len(batch), index=batch.index, dtype=object)
-            yield batch.assign(cleaned=cleaned)
+        held: deque[pd.DataFrame] = deque()  # batches whose calls are under way
+
+        def texts() -> Iterator[str | None]:
+            for batch in batches:
+                if len(batch):
+                    held.append(batch)
+                    yield from batch["text"].tolist()
+
+        cleaned: list[str | None] = []
+        with ThreadPoolExecutor(threads) as pool:
+            for result in _in_order(pool, attempt, texts(), 2 * threads):
+                cleaned.append(result)
+                if len(cleaned) == len(held[0]):
+                    yield held.popleft().assign(cleaned=pd.Series(cleaned, dtype=object).values)
+                    cleaned = []
 
     return rows.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField("cleaned", T.StringType())]))
 

@@ -380,6 +380,13 @@ EXTRA: dict[str, str] = {
     "candidates_for_polish": """
         SELECT doc_id, seg_order, text, CASE (seg_order + doc_id) % 5 WHEN 0 THEN text || ' ' || text WHEN 1 THEN NULL
                  WHEN 2 THEN '  ' ELSE ' ' || replace(text, '[7–9]', '') || '. ' END AS cleaned FROM chunk_rows""",
+    "called": f"""
+        SELECT doc_id, seg_order, CASE WHEN keep THEN cand ELSE text END AS text, keep OR blank AS used
+        FROM (SELECT *, NOT blank AND coalesce(cand <> '' AND abs(length(cand) - length(text))::DOUBLE / greatest(length(text), 1) <= 0.35, false)
+                AS keep
+              FROM (SELECT doc_id, seg_order, text, {_strip('text')} = '' AS blank,
+                      CASE WHEN length(text) % 7 <> 0 THEN {_strip("replace(text, 'things', 'matters')")} END AS cand
+                    FROM chunk_rows) c) d""",
     "polished": f"""
         SELECT doc_id, seg_order, CASE WHEN keep THEN cand ELSE text END AS text, keep OR blank AS used
         FROM (SELECT *, NOT blank AND coalesce(cand <> '' AND abs(length(cand) - length(text))::DOUBLE / greatest(length(text), 1) <= 0.35, false)
@@ -518,6 +525,7 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, length(text) < 1500 OR (doc_id % 9 > 0 AND length(text)::DOUBLE / (page_count * (doc_id % 9)) < 200) AS scanned
         FROM book_text""",
     "polish_guard": "SELECT doc_id, seg_order, text, used FROM polished",
+    "polish_calls": "SELECT doc_id, seg_order, text, used FROM called",
     "polish_guard_table": "SELECT doc_id, seg_order, text, used FROM polished",
     "fallback_report": "SELECT doc_id, count(*) FILTER (WHERE NOT used) AS fallbacks, count(*) AS total FROM polished GROUP BY doc_id",
     "fallback_events": """
@@ -825,7 +833,7 @@ _TYPES: dict[str, dict[str, str]] = {
     "review_summary": {"chars": "BIGINT"}, "parse_metadata": {"year": "INT"}, "render_grid": {"take": "INT"},
     "stream_event_ingest": {"message_chars": "INT"}, "failure_fallback": {"traceback": "INT"},
     "record_events": {"message_chars": "INT", "traceback_chars": "INT"},
-    **dict.fromkeys(("emit_chunks", "prepare_corpus", "prepare_from_spans", "polish_guard", "polish_guard_table", "apply_polish"), {"seg_order": "INT"}),
+    **dict.fromkeys(("emit_chunks", "prepare_corpus", "prepare_from_spans", "polish_guard", "polish_guard_table", "apply_polish", "polish_calls"), {"seg_order": "INT"}),
 }
 
 

@@ -423,10 +423,23 @@ def fallback_events(v):
 @query
 def apply_polish(v):
     rows = _chunks(v)
-    polished = corpus.apply_polish(rows, lambda texts: texts.str.replace("things", "matters"))
+    polished = corpus.apply_polish(rows, lambda text: text.replace("things", "matters"))
     return polished.select("doc_id", "seg_order", "cleaned")
 
 
+def _flaky(text: str) -> str:
+    """Stands for a service that refuses every seventh text, by its length."""
+    if len(text) % 7 == 0:
+        raise RuntimeError("refused")
+    return text.replace("things", "matters")
+
+
+@query
+def polish_calls(v):
+    guarded = corpus.polish_guard(corpus.apply_polish(_chunks(v), _flaky))
+    return guarded.select("doc_id", "seg_order", "text", "used")
+
+
 @query
 def qa_flags(v):
     docs = _documents(v).select("doc_id", "text", (F.col("doc_id") % 4 == 0).alias("is_last"))

@@ -233,20 +233,61 @@ def test_votes_replay(spark):
 def test_polish_hook_falls_back(spark):
     df = spark.createDataFrame([(1, i, f"chunk {i} of some length") for i in range(9)], "doc_id long, seg_order int, text string")
 
-    def polish(texts):
-        return texts.map(lambda t: t * 6 if int(t.split()[1]) % 3 == 0 else f"ok {t}")
+    def polish(t):
+        return t * 6 if int(t.split()[1]) % 3 == 0 else f"ok {t}"
 
     guarded = corpus.polish_guard(corpus.apply_polish(df, polish))
     assert rows(corpus.fallback_report(guarded)) == [(1, 3, 9)]
     assert {r.seg_order: r.text for r in guarded.collect()}[4] == "ok chunk 4 of some length"
 
-    def broken(texts):
+    def broken(t):
         raise RuntimeError("service down")
 
     assert rows(corpus.fallback_report(corpus.polish_guard(corpus.apply_polish(df, broken)))) == [(1, 9, 9)]
     assert rows(corpus.fallback_report(guarded.limit(0))) == []
 
 
+def test_one_failing_call_costs_one_chunk(spark):
+    texts = [f"chunk number {i} of a book" for i in range(3000)] + ["", "  ", None, "nothing comes back", "no text"]
+    df = spark.createDataFrame(list(enumerate(texts)), "seg_order int, text string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+
+    def polish(t):
+        n = int(t.split()[2]) if t.startswith("chunk") else -1
+        if n % 7 == 0:
+            raise TimeoutError
+        return {"nothing comes back": None, "no text": 5}.get(t, t.upper())
+
+    try:
+        got = {r.seg_order: r.cleaned for r in corpus.apply_polish(df, polish, 5).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {i: t.upper() if t and t.startswith("chunk") and i % 7 else None for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize(("calls", "threads", "least", "most"), [(16, 8, 0.3, 1.5), (4, 1, 0.7, 60)])
+def test_calls_overlap(calls, threads, least, most):
+    """The call itself waits; measured without Spark's own start."""
+    import time
+    from concurrent.futures import ThreadPoolExecutor
+
+    started, running, peak = time.monotonic(), [], []
+
+    def call(item):
+        running.append(item)
+        peak.append(len(running))
+        time.sleep(0.2)
+        running.remove(item)
+        return -item
+
+    read = []
+    with ThreadPoolExecutor(threads) as pool:
+        source = (read.append(i) or i for i in range(calls))
+        for n, result in enumerate(corpus._in_order(pool, call, source, 2 * threads)):
+            assert result == -n and len(read) <= n + 2 * threads
+    assert least <= time.monotonic() - started < most and max(peak) == threads
+
+
 def test_chunk_invariants(spark, sf_dir):
     got = QUERIES["prepare_corpus"](spark, sf_dir).collect()
     by_doc = {}
