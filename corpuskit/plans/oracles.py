@@ -517,6 +517,7 @@ ORACLES: dict[str, str] = {
         FROM (SELECT doc_id, CASE WHEN length(text) <= 1800 THEN [text] ELSE {_pieces('p')} END AS l
               FROM (SELECT doc_id, text, {_packed(_words('text'))} AS p FROM documents) s) t""",
     "pack_chunks": "SELECT doc_id, pos, text AS piece FROM doc_pieces",
+    "pack_rows": "SELECT doc_id, pos, text AS piece FROM doc_pieces",
     "emit_chunks": "SELECT doc_id, seg_order, chapter_title, text FROM chunk_rows",
     "prepare_corpus": f"""
         SELECT doc_id, seg_order, chapter_title, text, {_flags('text', 'is_last', _noise('text'), _short('text'))} AS flags
@@ -829,7 +830,7 @@ _TYPES: dict[str, dict[str, str]] = {
     "extract_report": _REPORT, "doc_text": {"page_count": "INT"}, "is_prose_line": _LINE, "smart_titlecase": _LINE,
     "chapter_number": _LINE, "heading_candidates": _LINE, "body_gap": {"gap": "INT", **_LINE}, "filter_by_gap": _LINE,
     "dedup_headings": _LINE, "longest_increasing_run": _LINE, "clean_title": _LINE,
-    "segment_chapters": {"region_no": "INT"}, "split_sentences": _POS, "split_oversized": _POS, "pack_chunks": _POS,
+    "segment_chapters": {"region_no": "INT"}, "split_sentences": _POS, "split_oversized": _POS, "pack_chunks": _POS, "pack_rows": _POS,
     "review_summary": {"chars": "BIGINT"}, "parse_metadata": {"year": "INT"}, "render_grid": {"take": "INT"},
     "stream_event_ingest": {"message_chars": "INT"}, "failure_fallback": {"traceback": "INT"},
     "record_events": {"message_chars": "INT", "traceback_chars": "INT"},

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chapters, chunks, layout, text
 from ..functions.base import let
-from ..operators import catalog, corpus, monitor, planning, votes
+from ..operators import catalog, corpus, monitor, packing, planning, votes
 from ..session import scratch_dir
 from ..sources import migrate, tables
 from ..streaming import jobs
@@ -357,6 +357,14 @@ def pack_chunks(v):
     return corpus.unroll(_documents(v), "doc_id", array=chunks.pack_chunks(F.col("text")), item="piece")
 
 
+@query
+def pack_rows(v):
+    """Every sentence a row; the same chunks as `pack_chunks`."""
+    pieces = F.flatten(F.transform(chunks.split_sentences(F.col("text")), lambda s: chunks.split_oversized(s)))
+    rows = corpus.unroll(_documents(v), "doc_id", array=pieces, item="text")
+    return packing.pack_rows(rows).withColumn("pos", F.col("pos").cast("int"))
+
+
 @query
 def emit_chunks(v):
     return _chunks(v).drop("is_last")
