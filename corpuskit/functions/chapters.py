@@ -22,6 +22,8 @@ HEADING = (
 )
 LONE_KEYWORD = rf"(?i)^(?:chapter|book|part|section|letter|essay|canto|federalist){SP}*[.:]?\z"
 # --------------------------------------------------------------------------------------------
+#: Numbers of a piece that a fold goes through at once.
+PIECE = 256
 
 
 def heading_candidates(lines: Column) -> Column:
@@ -91,55 +93,97 @@ def filter_by_gap(candidates: Column, minimum: int = MIN_CHAPTER_CHARS) -> Colum
 
 
 def dedup_headings(candidates: Column) -> Column:
-    """First heading of a (type, number) wins. Apply after the gap filter: a failed one is not seen."""
+    """First heading of a (type, number) wins. Apply after the gap filter: a failed one is not seen.
 
-    def first_of_key(cands: Column) -> Column:
-        keys = F.transform(cands, lambda x: F.concat_ws(" ", x["type"], x["num"].cast("string")))
-        return let(
-            keys,
-            lambda ks: F.filter(cands, lambda x, i: F.array_position(ks, F.get(ks, i)) == i + 1),
-        )
+    Sorted by key, the first of each key follows another key.
+    """
+
+    keyed = F.array_sort(F.transform(candidates, lambda x: F.struct(
+        x["type"].alias("type"), x["num"].alias("num"), x["line_no"].alias("line_no"), x.alias("row"))))
+
+    def is_first(x: Column, before: Column) -> Column:
+        return before.isNull() | (before["type"] != x["type"]) | (before["num"] != x["num"])
+
+    firsts = let(keyed, lambda ks: F.filter(ks, lambda x, i: is_first(x, F.get(ks, i - 1))))
+    return F.array_sort(firsts["row"])
+
+
+def _are_among(cands: Column, line_nos: Column) -> Column:
+    """ARRAY<BOOLEAN>: for each candidate, in line order, whether its line is among ``line_nos``, by one sort."""
+    marks = F.transform(line_nos, lambda n: F.struct(n.alias("line_no"), F.lit(-1).alias("at")))
+    places = F.transform(cands, lambda x, i: F.struct(x["line_no"].alias("line_no"), i.alias("at")))
+
+    def marked(both: Column) -> Column:
+        def hit(x: Column, i: Column) -> Column:
+            before = F.get(both, i - 1)
+            return F.when(x["at"] >= 0, F.coalesce((before["at"] < 0) & (before["line_no"] == x["line_no"]), F.lit(False)))
+
+        return F.array_compact(F.transform(both, hit))
+
+    return let(F.array_sort(F.concat(marks, places)), marked)
+
+
+def _run_lengths(heads: Column) -> Column:
+    """ARRAY<INT>: for each heading the length of a longest rising run of ``num`` that ends there, by patience piles.
+
+    The state is the least number that ends a run of each length, ``tails``. Spark copies a fold's whole state at every
+    step, so the results are no part of it: a first fold keeps the tails before each piece of PIECE numbers, then every
+    piece is gone through again from there. A step costs the piles and a piece.
+    """
+
+    def below(tails: Column, num: Column) -> Column:
+        return F.filter(tails, lambda t: t < num)
+
+    def put(tails: Column, num: Column) -> Column:
+        return F.concat(below(tails, num), F.array(num), F.slice(F.filter(tails, lambda t: t >= num), 2, F.size(tails)))
+
+    def keep_tails(s: Column, piece: Column) -> Column:
+        return F.struct(
+            F.aggregate(piece, s["tails"], put).alias("tails"), F.array_append(s["before"], s["tails"]).alias("before"))
+
+    def lengths(piece: Column, tails: Column) -> Column:
+        def step(s: Column, num: Column) -> Column:
+            found = F.array_append(s["lengths"], F.size(below(s["tails"], num)) + 1)
+            return F.struct(put(s["tails"], num).alias("tails"), found.alias("lengths"))
+
+        zero = F.struct(tails.alias("tails"), F.array().cast("array<int>").alias("lengths"))
+        return F.aggregate(piece, zero, step, lambda s: s["lengths"])
 
-    return let(candidates, first_of_key)
+    def run(pieces: Column) -> Column:
+        zero = F.struct(
+            F.array().cast("array<bigint>").alias("tails"), F.array().cast("array<array<bigint>>").alias("before"))
+        before = F.aggregate(pieces, zero, keep_tails, lambda s: s["before"])
+        return F.flatten(F.transform(F.arrays_zip(pieces.alias("piece"), before.alias("tails")),
+                                     lambda x: lengths(x["piece"], x["tails"])))
+
+    starts = F.sequence(F.lit(1), F.greatest(F.size(heads), F.lit(1)), F.lit(PIECE))
+    return let(F.transform(starts, lambda at: F.slice(heads, at, F.lit(PIECE))["num"]), run)
 
 
 def _run_lines(heads: Column) -> Column:
     """Line numbers of a longest strictly increasing run of ``num`` in one type's headings.
 
-    Ties: the run that ends first, and at each step the first predecessor that reaches the length.
+    Ties: the run that ends first, and at each step the first predecessor that reaches the length. From the last
+    length down, the first heading of a length whose number is below is that predecessor, so each is looked at once.
     """
 
-    def grow(table: Column, head: Column) -> Column:
-        below = F.filter(table, lambda t: t["num"] < head["num"])
+    def walk_back(placed: Column, starts: Column) -> Column:
+        def back(kept: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(starts, k + 1), F.size(placed))
+            pile = F.slice(placed, F.get(starts, k) + 1, end - F.get(starts, k))
+            last = F.get(kept, F.size(kept) - 1)["num"]
+            return F.array_append(kept, F.get(F.filter(pile, lambda p: F.coalesce(p["num"] < last, F.lit(True))), F.lit(0)))
 
-        def extend(smaller: Column) -> Column:
-            best = F.coalesce(F.array_max(smaller["len"]), F.lit(0))
-            prev = F.get(smaller, (F.array_position(smaller["len"], best) - 1).cast("int"))["at"]
-            return F.struct(
-                head["num"].alias("num"),
-                (best + 1).alias("len"),
-                F.when(best > 0, prev).alias("prev"),
-                F.size(table).alias("at"),
-                head["line_no"].alias("line_no"),
-            )
+        none = F.array().cast("array<struct<len:int,at:int,num:bigint,line_no:int>>")
+        return F.aggregate(F.sequence(F.size(starts) - 1, F.lit(0)), none, back, lambda kept: kept["line_no"])
 
-        return F.array_append(table, let(below, extend))
+    def piles(placed: Column) -> Column:
+        new = F.transform(placed, lambda p, i: F.when((i == 0) | (F.get(placed, i - 1)["len"] != p["len"]), i))
+        return let(F.array_compact(new), lambda starts: walk_back(placed, starts))
 
-    empty = F.array().cast("array<struct<num:bigint,len:int,prev:int,at:int,line_no:int>>")
-
-    def walk_back(table: Column) -> Column:
-        top = F.array_max(table["len"])
-        end = (F.array_position(table["len"], top) - 1).cast("int")
-        zero = F.struct(end.alias("at"), F.array().cast("array<int>").alias("kept"))
-        return F.aggregate(
-            F.sequence(F.lit(1), top),
-            zero,
-            lambda s, _: F.struct(
-                F.get(table, s["at"])["prev"].alias("at"),
-                F.array_append(s["kept"], F.get(table, s["at"])["line_no"]).alias("kept"),
-            ),
-            lambda s: s["kept"],
-        )
+    def by_length(hs: Column, lengths: Column) -> Column:
+        return F.array_sort(F.transform(hs, lambda h, i: F.struct(
+            F.get(lengths, i).alias("len"), i.alias("at"), h["num"].alias("num"), h["line_no"].alias("line_no"))))
 
     def longest(hs: Column) -> Column:
         rising = F.aggregate(
@@ -148,7 +192,7 @@ def _run_lines(heads: Column) -> Column:
             lambda s, h: F.struct(h["num"].alias("last"), (s["ok"] & (h["num"] > s["last"])).alias("ok")),
             lambda s: s["ok"],
         )
-        full = let(F.aggregate(hs, empty, grow), walk_back)
+        full = let(let(_run_lengths(hs), lambda lengths: by_length(hs, lengths)), piles)
         return F.when(rising, hs["line_no"]).otherwise(full)
 
     return let(heads, longest)
@@ -164,7 +208,7 @@ def longest_increasing_run(candidates: Column) -> Column:
                 lambda kind: _run_lines(F.filter(cands, lambda x: x["type"] == kind)),
             )
         )
-        return let(kept, lambda ks: F.filter(cands, lambda x: F.array_contains(ks, x["line_no"])))
+        return let(_are_among(cands, kept), lambda real: F.filter(cands, lambda x, i: F.get(real, i)))
 
     return let(candidates, keep)
 
@@ -180,10 +224,8 @@ def judge_headings(candidates: Column) -> Column:
             return F.struct(x["line_no"].alias("line_no"), title.alias("title"), real.alias("is_boundary"))
 
         return let(
-            F.transform(kept, lambda x: x["line_no"]),
-            lambda ks: F.transform(
-                cands, lambda x: let(F.array_contains(ks, x["line_no"]), lambda real: mark(x, real))
-            ),
+            _are_among(cands, F.transform(kept, lambda x: x["line_no"])),
+            lambda real: F.transform(cands, lambda x, i: mark(x, F.get(real, i))),
         )
 
     return let(candidates, judge)
