@@ -26,26 +26,33 @@ from corpuskit.llm.common import released, table
 #: Unicode white space; Python's own class also has the four separators U+001C to U+001F.
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LONG_WORD = 256
-#: Words for one DuckDB query, and words that a worker remembers (about 300 bytes each).
+#: Words for one DuckDB query, and words that a task remembers (about 200 bytes each).
 WORDS_AT_ONCE = 8_000
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 #: Characters of texts that are put together at once.
 BATCH_CHARS = 1_000_000
 
+#: Positions of a word and what follows them: `pair` is the ids of a token and its right neighbour, `nxt` where that one
+#: starts. A word whose tokens have no pair left takes no part in further steps.
 ENCODE = """
-WITH RECURSIVE steps(w, pos, id, pair, step) AS (
-  SELECT w, pos, id, id * 65536 + lead(id) OVER (PARTITION BY w ORDER BY pos), 0 FROM bytes_of_words
+WITH RECURSIVE steps(w, pos, id, nxt, pair, step) AS (
+  SELECT w, pos, id, nxt, pair, step FROM bytes_of_words
   UNION ALL
-  SELECT w, pos, id, id * 65536 + lead(id) OVER (PARTITION BY w ORDER BY pos), step FROM (
-    SELECT s.w, s.pos, CASE WHEN s.pos = b.pos THEN b.rank ELSE s.id END AS id, s.step + 1 AS step,
-      lag(s.pos) OVER (PARTITION BY s.w ORDER BY s.pos) AS before, b.pos AS contracted
-    FROM steps s JOIN (
-      SELECT w, min(rank * 65536 + pos) % 65536 AS pos, min(rank * 65536 + pos) // 65536 AS rank
-      FROM steps JOIN merges USING (pair) GROUP BY w) b ON s.w = b.w)
-  WHERE before IS DISTINCT FROM contracted)
+  SELECT s.w, s.pos, CASE WHEN s.pos = b.pos THEN b.rank ELSE s.id END, CASE WHEN s.pos = b.pos THEN b.after ELSE s.nxt END,
+    CASE WHEN s.pos = b.pos THEN b.rank * 65536 + b.after_id WHEN s.nxt = b.pos THEN s.id * 65536 + b.rank ELSE s.pair END,
+    CAST(s.step + 1 AS SMALLINT)
+  FROM steps s JOIN (
+    SELECT f.w, f.least // 1048576 AS rank, CAST((f.least // 1024) % 1024 AS SMALLINT) AS pos, r.pos AS gone, r.nxt AS after,
+      r.pair % 65536 AS after_id
+    FROM (SELECT w, min(CAST(rank AS BIGINT) * 1048576 + CAST(pos AS BIGINT) * 1024 + nxt) AS least FROM steps JOIN merges USING (pair) GROUP BY w) f
+    JOIN steps r ON r.w = f.w AND r.pos = CAST(f.least % 1024 AS SMALLINT)) b ON s.w = b.w
+  WHERE s.pos <> b.gone)
 SELECT w, pos, id FROM steps JOIN (SELECT w, max(step) AS step FROM steps GROUP BY w) USING (w, step)
 """
-DECODE = "SELECT w, list(id ORDER BY pos), string_agg(bytes, '' ORDER BY pos) FROM tokens JOIN vocabulary USING (id) GROUP BY w"
+DECODE = """
+SELECT w, list(CAST(id AS INTEGER) ORDER BY pos) AS ids, string_agg(bytes, '' ORDER BY pos) AS text
+FROM tokens JOIN vocabulary USING (id) GROUP BY w ORDER BY w
+"""
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -111,31 +118,34 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class WordCoder:
-    """Ids (int32 bytes) and decoded bytes of words, by DuckDB; one for each vocabulary in a worker."""
-
-    _known: dict[str, WordCoder] = {}
+    """Ids of words as int32 bytes, by DuckDB, each decoded again; one for each task.
 
-    @classmethod
-    def of(cls, path: str) -> WordCoder:
-        if path not in cls._known:
-            cls._known[path] = cls(path)
-        return cls._known[path]
+    Decoded bytes are kept only where they are not the word's own. Of the words met, those of the last REMEMBERED are
+    remembered, in two halves of which the older one is dropped when the younger is full: words in use stay.
+    """
 
     def __init__(self, path: str):
         self.ranks = read_ranks(path)
-        self.seen: dict[str, tuple[bytes, bytes]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.differ: dict[str, bytes] = {}
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)])
-        self.names = {rank: token for token, rank in self.ranks.items()}
+        if max(self.ranks.values()) >= 65536:
+            raise ValueError("ids must be below 65,536")
         pairs = [
             (left * 65536 + right, rank)
             for token, rank in self.ranks.items() for cut in range(1, len(token))
             if (left := self.ranks.get(token[:cut])) is not None and (right := self.ranks.get(token[cut:])) is not None
         ]
-        if max(self.ranks.values()) >= 65536:
-            raise ValueError("ids must be below 65,536")
         self.duck = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         self._load("merges", {"pair": [p for p, _ in pairs], "rank": [r for _, r in pairs]})
-        self._load("vocabulary", {"id": list(self.names), "bytes": [t.decode("latin-1") for t in self.names.values()]})
+        self._load("vocabulary", {
+            "id": list(self.ranks.values()), "bytes": [t.decode("latin-1") for t in self.ranks]})
+
+    def close(self) -> None:
+        """Gives the database and all words back; Spark keeps the worker for tasks of other kinds."""
+        self.duck.close()
+        self.ranks, self.young, self.old, self.differ = {}, {}, {}, {}
 
     def _load(self, name: str, columns: dict) -> None:
         self.duck.register("given", pa.table(columns))
@@ -144,46 +154,69 @@ class WordCoder:
 
     def _short(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         sizes = np.array([len(w) for w in words])
-        starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        ends = np.cumsum(sizes)
+        pos = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
+        ids = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+        last = np.zeros(len(ids), bool)
+        last[ends - 1] = True
         self._load("bytes_of_words", {
-            "w": np.repeat(np.arange(len(words)), sizes), "pos": np.arange(len(starts)) - starts,
-            "id": self.byte_ids[np.frombuffer(b"".join(words), np.uint8)],
+            "w": np.repeat(np.arange(len(words), dtype=np.int32), sizes), "pos": pos.astype(np.int16), "id": ids,
+            "nxt": pa.array((pos + 1).astype(np.int16), mask=last), "pair": pa.array(ids * 65536 + np.roll(ids, -1), mask=last),
+            "step": np.zeros(len(ids), np.int16),
         })
         self.duck.execute(f"CREATE OR REPLACE TEMP TABLE tokens AS {ENCODE}")
-        found = dict((w, (ids, text)) for w, ids, text in self.duck.execute(DECODE).fetchall())
-        for w in range(len(words)):
-            ids, text = found[w]
-            yield np.array(ids, np.int32).tobytes(), text.encode("latin-1")
-
-    def code(self, words: set[str]) -> dict[str, tuple[bytes, bytes]]:
-        """The words that are not remembered; they are from now on, while there is room."""
-        new = sorted(words - self.seen.keys())
-        bytes_of = [w.encode() for w in new]
-        out = {}
-        for w, b in zip(new, bytes_of, strict=True):
-            if len(b) > LONG_WORD:
-                ids = merge_long(b, self.ranks)
-                out[w] = np.array(ids, np.int32).tobytes(), b"".join(self.names[i] for i in ids)
-        short = [(w, b) for w, b in zip(new, bytes_of, strict=True) if len(b) <= LONG_WORD]
+        found = self.duck.sql(DECODE).to_arrow_table().combine_chunks()
+        lists = found.column("ids").chunk(0)
+        values, cuts = lists.flatten().to_numpy().astype(np.int32).tobytes(), (lists.offsets.to_numpy() * 4).tolist()
+        for a, b, text in zip(cuts, cuts[1:], found.column("text").to_pylist(), strict=False):
+            yield values[a:b], text.encode("latin-1")
+
+    def _remember(self, word: str, ids: bytes) -> None:
+        if len(self.young) >= REMEMBERED // 2:
+            self.old, self.young = self.young, {}
+        self.young[word] = ids
+
+    def code(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of all `words`."""
+        out, new = {}, []
+        for word in words:
+            ids = self.young.get(word)
+            if ids is None:
+                ids = self.old.get(word)
+                if ids is None:
+                    new.append(word)
+                    continue
+                self._remember(word, ids)
+            out[word] = ids
+        new.sort()
+        bytes_of = {w: w.encode() for w in new}
+        short = [w for w in new if len(bytes_of[w]) <= LONG_WORD]
+        names = None
+        for w in new:
+            if len(bytes_of[w]) > LONG_WORD:
+                names = names or {rank: token for token, rank in self.ranks.items()}
+                ids = merge_long(bytes_of[w], self.ranks)
+                self._add(out, w, np.array(ids, np.int32).tobytes(), b"".join(names[i] for i in ids), bytes_of[w])
         for at in range(0, len(short), WORDS_AT_ONCE):
             part = short[at : at + WORDS_AT_ONCE]
-            out.update(zip([w for w, _ in part], self._short([b for _, b in part]), strict=True))
-        room = REMEMBERED - len(self.seen)
-        if room > 0:
-            self.seen.update(list(out.items())[:room])
+            for w, (ids, decoded) in zip(part, self._short([bytes_of[w] for w in part]), strict=True):
+                self._add(out, w, ids, decoded, bytes_of[w])
         return out
 
+    def _add(self, out: dict[str, bytes], word: str, ids: bytes, decoded: bytes, own: bytes) -> None:
+        out[word] = ids
+        self._remember(word, ids)
+        if decoded != own:
+            self.differ[word] = decoded
+
 
 def _round_trip(texts: list[str], coder: WordCoder, split) -> tuple[list[bytes], list[bytes]]:
     words = [split(t) for t in texts]
-    fresh = coder.code(set().union(*words))
-    known = coder.seen
-    ids, decoded = [], []
-    for found in words:
-        coded = [known[w] if w in known else fresh[w] for w in found]
-        ids.append(b"".join([c[0] for c in coded]))
-        decoded.append(b"".join([c[1] for c in coded]))
-    return ids, decoded
+    known = coder.code(set().union(*words))
+    ids = [b"".join([known[w] for w in found]) for found in words]
+    if not coder.differ:
+        return ids, ["".join(found).encode() for found in words]
+    return ids, [b"".join([coder.differ.get(w) or w.encode() for w in found]) for found in words]
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
@@ -195,7 +228,13 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str) -> DataFram
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, cut = WordCoder.of(vocabulary), split_pattern(pattern)
+        coder, cut = WordCoder(vocabulary), split_pattern(pattern)
+        try:
+            yield from encode(batches, coder, cut)
+        finally:
+            coder.close()
+
+    def encode(batches: Iterator[pa.RecordBatch], coder: WordCoder, cut) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, doc_ids = [t or "" for t in batch.column("text").to_pylist()], batch.column("doc_id")
             start, chars = 0, 0

@@ -386,7 +386,7 @@ def test_edits_keep_fingerprints_near(spark):
 # ---- 7 BPE
 
 
-def test_bpe_like_the_library(docs, rows, odd, none):
+def test_bpe_like_the_library(docs, rows, odd, none, monkeypatch):
     import public_tokenizers
     import tiktoken
 
@@ -404,6 +404,15 @@ def test_bpe_like_the_library(docs, rows, odd, none):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), joined, hashlib.sha256(texts[r.doc_id].encode()).hexdigest())
     assert len(bpe.encoded_digests(odd).collect()) == 7 and not bpe.encoded_digests(none).collect()
     rng = random.Random(1)
+    words = ["".join(rng.choice("etaoinäß") for _ in range(n)) for n in (1, 2, 31, 32, 33, 64, 100, 200, 255, 256, 257)]
+    words += ["ab" * 128, "\u00e9" * 128, "x" * 256, " " + "the" * 85]
+    spark = docs.sparkSession
+    mixed = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    for r in bpe.encode_documents(mixed, str(path), public_tokenizers.PATTERN).collect():
+        assert r.ids == library.encode_ordinary(words[r.doc_id])
+    monkeypatch.setattr(bpe, "REMEMBERED", 40)
+    for r in bpe.encode_documents(more.coalesce(1), str(path), public_tokenizers.PATTERN).collect():
+        assert r.ids == library.encode_ordinary(texts[r.doc_id])
     for word in ("a" * 700, "abcabc" * 90, "".join(rng.choice("etaoin") for _ in range(900))):
         assert bpe.merge_long(word.encode(), ranks) == library.encode_ordinary(word)
 
