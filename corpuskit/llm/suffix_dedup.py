@@ -153,7 +153,7 @@ def _contexts_of(texts: list[bytes]) -> dict[str, np.ndarray]:
 def _send(buckets: int):
     """Packs the distinct contexts of about SLAB bytes of texts for each bucket; local repeats are known to go."""
 
-    def slab(rows: dict[tuple[int, int], bytes], number: int) -> Iterator[pd.DataFrame]:
+    def slab(rows: dict[tuple[int, int], bytes]) -> Iterator[pd.DataFrame]:
         keys = sorted(rows)
         ids, tags = (np.array([k[i] for k in keys], np.int64) for i in (0, 1))
         c = _contexts_of([rows[k] for k in keys])
@@ -161,12 +161,15 @@ def _send(buckets: int):
         same = (c["context"][order][1:] == c["context"][order][:-1]) & (c["anchor"][order][1:] == c["anchor"][order][:-1])
         again = order[1:][same]
         doc = c["doc"][again]
-        yield _by_document(0, ids[doc], tags[doc], c["at"][again], c["n"][again]).assign(part=number % buckets)
+        known = _by_document(0, ids[doc], tags[doc], c["at"][again], c["n"][again])
+        yield known.assign(part=((known["id"] ^ known["tag"]) % buckets).astype(np.int32))
         keep = np.ones(len(order), bool)
         keep[again] = False
         bucket = (c["anchor"] % np.uint64(buckets)).astype(np.int64)
         for b in range(buckets):
             mine = np.flatnonzero(keep & (bucket == b))
+            if not len(mine):
+                continue
             docs, index = np.unique(c["doc"][mine], return_inverse=True)
             columns = [c[name][mine] for name, _ in FIELDS]
             columns[2] = index.astype(np.uint32)
@@ -174,7 +177,7 @@ def _send(buckets: int):
             yield pd.DataFrame({"part": [b], "kind": [9], "id": [0], "tag": [0], "data": [data]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows, size, number = {}, 0, 0
+        rows, size = {}, 0
         for batch in batches:
             for i, tag, text in zip(batch["id"], batch["tag"], batch["text"], strict=True):
                 data = text.encode()
@@ -182,10 +185,10 @@ def _send(buckets: int):
                     rows[(i, tag)] = data
                     size += len(data)
                 if size >= SLAB:
-                    yield from slab(rows, number)
-                    rows, size, number = {}, 0, number + 1
+                    yield from slab(rows)
+                    rows, size = {}, 0
         if rows:
-            yield from slab(rows, number)
+            yield from slab(rows)
 
     return run
 
