@@ -19,6 +19,10 @@ from pyspark.sql import types as T
 from ..functions import chapters, chunks, layout, text
 from ..functions.base import let
 
+# --- fixed values ---------------------------------------------------------------------------
+FALLBACK_MESSAGE = "%d/%d chunks kept heuristic text (LLM polish unavailable)."
+SCANNED_MESSAGE = "Looks scanned: only %d chars across %d pages — likely needs OCR."
+# --------------------------------------------------------------------------------------------
 #: Calls of a polishing service that a partition keeps under way.
 POLISH_THREADS = 8
 
@@ -201,9 +205,7 @@ def fallback_report(guarded: DataFrame) -> DataFrame:
 
 def fallback_events(report: DataFrame) -> DataFrame:
     """A warning event for each document with fallbacks."""
-    message = F.format_string(
-        "%d/%d chunks kept heuristic text (LLM polish unavailable).", F.col("fallbacks"), F.col("total")
-    )
+    message = F.format_string(FALLBACK_MESSAGE, F.col("fallbacks"), F.col("total"))
     return report.filter(F.col("fallbacks") > 0).select(
         F.col("doc_id").alias("book_id"), F.lit("ingest_book").alias("task"), F.lit("warning").alias("level"),
         message.alias("message"),
@@ -246,9 +248,7 @@ def extract_report(prepared: DataFrame) -> DataFrame:
 
 def scanned_events(report: DataFrame) -> DataFrame:
     """A warning event for each document that looks scanned."""
-    message = F.format_string(
-        "Looks scanned: only %d chars across %d pages — likely needs OCR.", F.col("total"), F.col("pages")
-    )
+    message = F.format_string(SCANNED_MESSAGE, F.col("total"), F.col("pages"))
     return report.filter("scanned").select(
         F.col("doc_id").alias("book_id"), F.lit("ingest_book").alias("task"), F.lit("warning").alias("level"),
         message.alias("message"),

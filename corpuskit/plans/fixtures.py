@@ -15,17 +15,17 @@ BASE = (
     "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
-# A registry of voices made up for these tables (key, provider, label, voice), in its order, and the default.
+# The voices of the derived tables (key, provider, label, voice), in their order, and the default.
 NARRATORS = (
-    ("older_man", "openai", "Older man (default)", "onyx"),
-    ("older_woman", "openai", "Older woman", "shimmer"),
-    ("premium_man", "elevenlabs", "Premium male", "George"),
-    ("premium_woman", "elevenlabs", "Premium female", "Charlotte"),
-    ("storyteller", "elevenlabs", "Storyteller", "Storyteller"),
-    ("elegiac", "elevenlabs", "Elegiac", "Elegiac"),
-    ("scholar", "elevenlabs", "Scholar", "Scholar"),
+    ("birch", "openai", "Birch", "birch-1"),
+    ("cedar", "elevenlabs", "Cedar", "cedar-2"),
+    ("maple", "openai", "Maple", "maple-1"),
+    ("rowan", "elevenlabs", "Rowan", "rowan-1"),
+    ("alder", "elevenlabs", "Alder", "alder-3"),
+    ("hazel", "openai", "Hazel", "hazel-1"),
+    ("willow", "elevenlabs", "Willow", "willow-2"),
 )
-DEFAULT_NARRATOR = "storyteller"
+DEFAULT_NARRATOR = "rowan"
 _KEYS = ",".join(n[0] for n in NARRATORS)
 
 DIALECTS = {
@@ -185,7 +185,7 @@ VIEWS: dict[str, str] = {
         UNION ALL
         SELECT key FROM (
           SELECT {each}audio_path, 'audio/' || book || '/' || split_part('{keys}', ',', k + 1) || '/' || file,
-                 'audio/' || book || '/elegiac/' || file || '.bak', 'audio-archive/' || book || '/T0/' || file{end} AS key
+                 'audio/' || book || '/alder/' || file || '.bak', 'audio-archive/' || book || '/T0/' || file{end} AS key
           FROM (SELECT audio_path, CAST(book_id AS STRING) AS book, CAST(book_id % 7 AS INT) AS k,
                        lpad(CAST(seg_order AS STRING), 4, '0') || '.mp3' AS file FROM segments) named) files
         WHERE key IS NOT NULL""".replace("{keys}", _KEYS),

@@ -466,7 +466,7 @@ ORACLES: dict[str, str] = {
            OR starts_with(key, 'pdfs/' || CAST(book_id AS VARCHAR) || '/')""",
     "purge_narrator": """
         SELECT key, book_id FROM inventory JOIN doomed ON split_part(key, '/', 2) = CAST(book_id AS VARCHAR)
-        WHERE starts_with(key, 'audio/' || CAST(book_id AS VARCHAR) || '/elegiac/')""",
+        WHERE starts_with(key, 'audio/' || CAST(book_id AS VARCHAR) || '/alder/')""",
     "write_segments": """
         SELECT book_id, seg_order, CASE WHEN hit THEN 'pending' ELSE status END AS status, length(text) AS chars
         FROM (SELECT *, bool_or(status = 'ready') OVER (PARTITION BY book_id) AS hit FROM segments) s
@@ -576,7 +576,7 @@ ORACLES: dict[str, str] = {
         FROM books b JOIN voice_rows v ON v.book_id = b.id WHERE NOT hidden GROUP BY b.id, b.title""",
     "resolve_take": """
         SELECT s.id AS segment_id, coalesce(nullif(a.audio_path, ''), s.audio_path) AS path
-        FROM segments s LEFT JOIN segment_audio a ON a.segment_id = s.id AND a.narrator = 'elegiac' AND a.status = 'ready'""",
+        FROM segments s LEFT JOIN segment_audio a ON a.segment_id = s.id AND a.narrator = 'alder' AND a.status = 'ready'""",
     "card_state": """
         SELECT id AS book_id, ready, error AS failed, CASE WHEN total > 0 THEN ready / total ELSE 0.0 END AS progress,
                status = 'complete' OR (status = 'synthesizing' AND ready > 0) AS playable,
@@ -636,7 +636,7 @@ ORACLES: dict[str, str] = {
         SELECT key, label, voice, coalesce(provider, 'openai') AS provider, key = 'voice_3' AS is_default FROM presets""",
     "drop_narration": f"""
         SELECT a.id, a.segment_id, a.narrator FROM segment_audio a JOIN segments s ON a.segment_id = s.id JOIN books b ON b.id = s.book_id
-        WHERE a.narrator <> 'scholar' OR coalesce(nullif(b.tts_narrator, ''), '{DEFAULT_NARRATOR}') = 'scholar'""",
+        WHERE a.narrator <> 'willow' OR coalesce(nullif(b.tts_narrator, ''), '{DEFAULT_NARRATOR}') = 'willow'""",
     "delete_books": "SELECT id, status FROM books WHERE id NOT IN (SELECT book_id FROM doomed)",
     "delete_books_segments": "SELECT id, book_id FROM segments WHERE book_id NOT IN (SELECT book_id FROM doomed)",
     "delete_books_takes": """
@@ -661,7 +661,7 @@ ORACLES: dict[str, str] = {
     "plan_alternate": """
         SELECT s.id AS segment_id, CASE WHEN a.id IS NULL THEN 'create' WHEN a.status = 'ready' AND nullif(a.audio_path, '') IS NOT NULL
                THEN 'skip' ELSE 'reset' END AS action
-        FROM segments s LEFT JOIN segment_audio a ON a.segment_id = s.id AND a.narrator = 'scholar' WHERE s.status = 'ready'""",
+        FROM segments s LEFT JOIN segment_audio a ON a.segment_id = s.id AND a.narrator = 'willow' WHERE s.status = 'ready'""",
     "route": f"""
         SELECT segment_id, provider, CASE provider WHEN 'elevenlabs' THEN 'synth_el' ELSE 'synth' END AS queue
         FROM planned p JOIN books b ON b.id = p.book_id
@@ -672,7 +672,7 @@ ORACLES: dict[str, str] = {
         JOIN narrators n ON n.key = CASE WHEN tts_narrator IN ({_KEYS}) THEN tts_narrator ELSE '{DEFAULT_NARRATOR}' END
         GROUP BY 1""",
     "output_keys": "SELECT segment_id, 'audio/' || CAST(book_id AS VARCHAR) || '/' || printf('%04d', seg_order) || '.mp3' AS key FROM planned",
-    "output_keys_alternate": "SELECT id, 'audio/' || CAST(book_id AS VARCHAR) || '/scholar/' || printf('%04d', seg_order) || '.mp3' AS key FROM segments",
+    "output_keys_alternate": "SELECT id, 'audio/' || CAST(book_id AS VARCHAR) || '/willow/' || printf('%04d', seg_order) || '.mp3' AS key FROM segments",
     "finalize": "SELECT id AS book_id, CASE WHEN ready = total THEN 'complete' ELSE 'error' END AS status FROM progress_by_book",
     "can_narrate": f"""
         SELECT book_id, narrator, reason IS NULL AS ok, reason

@@ -106,7 +106,7 @@ def purge_prefixes(v):
 
 @query
 def purge_narrator(v):
-    return planning.purge_prefixes(v("inventory"), _some_books(v), narrator="elegiac")
+    return planning.purge_prefixes(v("inventory"), _some_books(v), narrator="alder")
 
 
 @query
@@ -544,7 +544,7 @@ def library_list(v):
 
 @query
 def resolve_take(v):
-    return catalog.resolve_take(v("segments"), v("segment_audio"), "elegiac")
+    return catalog.resolve_take(v("segments"), v("segment_audio"), "alder")
 
 
 @query
@@ -645,7 +645,7 @@ def list_narrators(v):
 
 @query
 def drop_narration(v):
-    requests = v("books").select(F.col("id").alias("book_id"), F.lit("scholar").alias("narrator"))
+    requests = v("books").select(F.col("id").alias("book_id"), F.lit("willow").alias("narrator"))
     return catalog.drop_narration(
         v("segment_audio"), v("segments"), v("books"), requests, DEFAULT_NARRATOR
     ).select("id", "segment_id", "narrator")
@@ -702,7 +702,7 @@ def plan_primary(v):
 
 @query
 def plan_alternate(v):
-    return planning.plan_alternate(v("segments"), v("segment_audio"), "scholar", v("narrators"))
+    return planning.plan_alternate(v("segments"), v("segment_audio"), "willow", v("narrators"))
 
 
 def _routed(v) -> DataFrame:
@@ -728,7 +728,7 @@ def output_keys(v):
 
 @query
 def output_keys_alternate(v):
-    return planning.output_keys(v("segments"), "scholar").select("id", "key")
+    return planning.output_keys(v("segments"), "willow").select("id", "key")
 
 
 @query
