@@ -800,6 +800,10 @@ ORACLES: dict[str, str] = {
         SELECT host, status, "at" FROM (
           SELECT host, 'online' AS status, alive_from AS "at" FROM alive UNION ALL SELECT host, 'offline', alive_until FROM alive) edges
         WHERE "at" <= (SELECT max(seen_at) FROM beats) - INTERVAL 120 SECOND""",
+    "stream_status_counts": """
+        SELECT status, count(*) AS n FROM (
+          SELECT user_id, arg_max(event_type, (epoch_us(ts) * 8 + event_id % 8, event_type)) AS status FROM events GROUP BY user_id) s
+        GROUP BY status""",
     "stream_segment_ingest": """
         SELECT user_id AS book_id, event_id AS seg_order, event_type AS status FROM events
         QUALIFY (user_id % 5 = 0 AND event_id % 2 = 1) = bool_or(user_id % 5 = 0 AND event_id % 2 = 1) OVER (PARTITION BY user_id)""",

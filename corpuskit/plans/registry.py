@@ -1140,6 +1140,17 @@ def stream_capped_log(events, sink, checkpoint, v):
     return _drain(jobs.start_capped_log(rows, sink, checkpoint), sink, jobs.newest_lines).select("id", "source", "seen_at")
 
 
+@stream_query
+def stream_status_counts(events, sink, checkpoint, v):
+    """A book per user, whose status is its last event's; counted as the events come in."""
+    changes = events.select(
+        F.col("user_id").alias("book_id"), F.col("event_type").alias("status"),
+        (F.unix_micros(_instant("ts")) * 8 + F.col("event_id") % 8).alias("version"),
+    )
+    jobs.start_counts(changes, sink, checkpoint, "book_id", ["status"], "version").awaitTermination()
+    return jobs.counts(SparkSession.active(), sink, "status string")
+
+
 @stream_query
 def stream_status_poll(events, sink, checkpoint, v):
     books = f"{checkpoint}-books"

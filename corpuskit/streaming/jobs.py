@@ -8,7 +8,7 @@ them into a version from time to time.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from ..operators import catalog, monitor, votes
-from ..sources.tables import append_changes, write_segments
+from ..sources.tables import append_changes, read_state, write_segments
 
 REDELIVERY = "2 hours"
 LATE_BEATS = "2 minutes"
@@ -165,25 +165,30 @@ def start_expiry(
     Rows: host, status, at. They come when the watermark, LATE_BEATS behind the newest beat of any host, has passed
     ``at``: a stopped host needs no further beat of its own. Beats may come out of order and more than once within
     that time, later ones are dropped. State is kept by host; each beat moves the host's timers. Beats without host
-    or time are left out. The state store that timers need is set for this query only.
+    or time are left out.
     """
     spark = stream.sparkSession
     beats = stream.where("host IS NOT NULL AND seen_at IS NOT NULL").withWatermark("seen_at", LATE_BEATS).select(
         "host", "seen_at", F.unix_micros("seen_at").alias("seen_us"))
     edges = beats.groupBy("host").transformWithStateInPandas(
         _Presence(ttl * 1_000_000), "host string, status string, at_us long", "Append", "EventTime")
+    return _with_rocks_db(spark, lambda: (
+        edges.select("host", "status", F.timestamp_micros("at_us").alias("at"))
+        .writeStream.format("parquet")
+        .outputMode("append")
+        .option("path", sink)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**_trigger(every))
+        .start()
+    ))
+
+
+def _with_rocks_db(spark: SparkSession, start: Callable[[], StreamingQuery]) -> StreamingQuery:
+    """Starts a query on the state store that a stateful processor needs; a query keeps the settings of its start."""
     before = spark.conf.get(STATE_STORE, None)
     spark.conf.set(STATE_STORE, ROCKS_DB)
     try:
-        return (
-            edges.select("host", "status", F.timestamp_micros("at_us").alias("at"))
-            .writeStream.format("parquet")
-            .outputMode("append")
-            .option("path", sink)
-            .option("checkpointLocation", checkpoint)
-            .trigger(**_trigger(every))
-            .start()
-        )
+        return start()
     finally:
         if before is None:
             spark.conf.unset(STATE_STORE)
@@ -191,6 +196,57 @@ def start_expiry(
             spark.conf.set(STATE_STORE, before)
 
 
+class _Move(StatefulProcessor):
+    """Where one thing is counted. A newer change takes it out there (-1) and counts it in its new place (+1)."""
+
+    def init(self, handle) -> None:
+        self.last = handle.getValueState("last", "version long, place string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        newest = max((version, place) for batch in rows for version, place in zip(batch["version"], batch["place"], strict=True))
+        known = tuple(self.last.get()) if self.last.exists() else None
+        if known is None or newest > known:
+            self.last.update((int(newest[0]), newest[1]))
+            if known is None or known[1] != newest[1]:
+                yield pd.DataFrame(
+                    [(newest[1], 1)] + ([(known[1], -1)] if known else []), columns=["place", "n"])
+
+    def close(self) -> None:
+        pass
+
+
+def start_counts(
+    stream: DataFrame, sink: str, checkpoint: str, key: str, groups: list[str], version: str, every: str | None = None
+) -> StreamingQuery:
+    """Counts of things per ``groups`` that follow their changes; read by ``counts``.
+
+    A change has ``key`` (which thing), the group columns as they are now and ``version``, a long that grows with each
+    change of a thing; the highest counts, whatever the order of arrival, of equal ones the greater groups. Changes
+    without key or version are left out. The last place of each thing is state, so a batch costs its own changes, and
+    at most two rows per group are written for it under its number: a batch that comes again replaces them.
+    """
+    changes = stream.where(F.col(key).isNotNull() & F.col(version).isNotNull()).select(
+        F.col(key).cast("string").alias("key"), F.col(version).cast("long").alias("version"),
+        F.to_json(F.struct(*groups), {"ignoreNullFields": "false"}).alias("place"))
+    moves = changes.groupBy("key").transformWithStateInPandas(_Move(), "place string, n long", "Update", "None")
+
+    def work(batch: DataFrame, n: int) -> None:
+        append_changes(summed(batch), sink, n)
+
+    return _with_rocks_db(stream.sparkSession, lambda: moves.writeStream.foreachBatch(work).outputMode("update").option(
+        "checkpointLocation", checkpoint).trigger(**_trigger(every)).start())
+
+
+def summed(rows: DataFrame) -> DataFrame:
+    """Places with their counts, those that nothing is in any more left out."""
+    return rows.groupBy("place").agg(F.sum("n").alias("n")).where("n <> 0")
+
+
+def counts(spark: SparkSession, sink: str, groups: str) -> DataFrame:
+    """The current counts; ``groups`` is the schema of the group columns."""
+    return read_state(spark, sink, summed).select(F.from_json("place", groups).alias("g"), "n").select("g.*", "n")
+
+
 def start_segment_ingest(stream: DataFrame, sink: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Write delivered segments once, though a delivery may come again within two hours.
 

@@ -76,3 +76,35 @@ def test_beats_behind_the_watermark_are_dropped(spark, tmp_path):
     base = str(tmp_path)
     send(spark, f"{base}/in", [[("a", 1000)], [("b", 2000)], [("a", 1500), ("c", 1880), ("c", 1881)], [("b", 2100)]])
     assert drained(spark, base) == [("a", "offline", 1120), ("a", "online", 1000), ("c", "online", 1881)]
+
+
+def test_counts_follow_the_changes(spark, tmp_path):
+    """Equal to a recount after every run; late and repeated changes and a replayed batch change nothing."""
+    from corpuskit.sources.tables import append_changes
+
+    rng, base, sent = random.Random(5), str(tmp_path), []
+    schema = "segment_id long, book_id long, status string, version long, extra int"
+    for run in range(3):
+        batches = [[(rng.choice([None, *range(40)]), rng.randrange(3), rng.choice(["queued", "ready", "failed", None]),
+                     rng.choice([None, rng.randrange(200)]), 1) for _ in range(60)] for _ in range(2)]
+        for batch in batches:
+            spark.createDataFrame(batch + batch[:5], schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+            sent += batch
+        stream = jobs.file_source(spark, f"{base}/in", "*.parquet", schema, maxFilesPerTrigger="1")
+        jobs.start_counts(stream, f"{base}/out", f"{base}/check", "segment_id", ["book_id", "status"], "version").awaitTermination()
+        last = {}
+        for segment, book, status, version, _ in sent:
+            if segment is not None and version is not None:
+                place = (version, f'{{"book_id":{book},"status":{"null" if status is None else chr(34) + status + chr(34)}}}', book, status)
+                last[segment] = max(last.get(segment, place), place, key=lambda p: p[:2])
+        want = {}
+        for *_, book, status in last.values():
+            want[book, status] = want.get((book, status), 0) + 1
+        got = jobs.counts(spark, f"{base}/out", "book_id long, status string").collect()
+        assert {(r.book_id, r.status): r.n for r in got} == want and len(got) == len(want)
+    written = spark.read.parquet(f"{base}/out/changes").groupBy("batch").count().collect()
+    assert len(written) == 6 and max(r["count"] for r in written) <= 12
+    replayed = spark.createDataFrame(spark.read.parquet(f"{base}/out/changes/batch=5").collect())
+    append_changes(replayed, f"{base}/out", 5)
+    again = jobs.counts(spark, f"{base}/out", "book_id long, status string").collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, got))
