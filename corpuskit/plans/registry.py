@@ -1020,24 +1020,26 @@ def create_tests_rows(v):
 # ---- streams -----------------------------------------------------------------------------------
 
 
-STREAM_FILES = 3
+STREAM_BATCHES = 3
 
 
 def stream_query(fn: Callable) -> Callable:
-    """Registers a job that drains the events as a stream, a file a batch, and returns what it has written.
+    """Registers a job that drains the events as a stream, and returns what it has written.
 
-    The events lie in STREAM_FILES files in order of time, so that keys come again in several batches.
+    The events come in STREAM_BATCHES batches in order of time, so that keys come again in several of them; a batch is
+    as many files as an exchange has partitions, into which its rows are dealt evenly.
     """
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         events = spark.read.parquet(f"{sf_dir}/events.parquet")
         base = scratch_dir(spark, fn.__name__)
         at = F.unix_micros(_instant("ts"))
-        cuts = events.agg(F.percentile_approx(at, [i / STREAM_FILES for i in range(1, STREAM_FILES)])).head()[0]
+        shares = [i / STREAM_BATCHES for i in range(1, STREAM_BATCHES)]
+        cuts, files = events.agg(F.percentile_approx(at, shares)).head()[0], text_partitions(spark)
         part = sum((F.coalesce(at > cut, F.lit(False)).cast("int") for cut in cuts), F.lit(0))
-        for k in range(STREAM_FILES):  # one after another: the source takes the oldest file first
-            events.filter(part == k).coalesce(1).write.mode("append").parquet(f"{base}/events")
-        stream = jobs.file_source(spark, f"{base}/events", "*.parquet", events.schema, maxFilesPerTrigger="1")
+        for k in range(STREAM_BATCHES):  # one after another: the source takes the oldest files first
+            events.filter(part == k).repartition(files).write.mode("append").parquet(f"{base}/events")
+        stream = jobs.file_source(spark, f"{base}/events", "*.parquet", events.schema, maxFilesPerTrigger=str(files))
         return fn(stream, f"{base}/table", f"{base}/checkpoint", derived(spark, sf_dir))
 
     QUERIES[fn.__name__] = run
