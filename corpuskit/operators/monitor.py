@@ -23,6 +23,8 @@ QUEUES = ("synth", "ingest", "celery")
 LOG_KEEP = 1000
 LOG_LINE = r"(?s)^(\S+ \S+) (\S+) (\S+): (.*)$"
 # --------------------------------------------------------------------------------------------
+#: Slots of one slice of a host's history.
+SLICE_SLOTS = 4096
 
 
 def record_events(
@@ -125,20 +127,32 @@ def critical_banner(report: DataFrame) -> DataFrame:
     ).orderBy("host")
 
 
-def liveness_sessions(beats: DataFrame, ttl: int = HEARTBEAT_TTL_S) -> DataFrame:
+def liveness_sessions(beats: DataFrame, ttl: int = HEARTBEAT_TTL_S, slice_slots: int = SLICE_SLOTS) -> DataFrame:
     """Intervals in which a host was alive: each beat keeps it alive for ``ttl`` seconds.
 
-    Beats in one slot of ``ttl`` seconds always belong together, so each slot is reduced to its first
-    and last beat before anything is sorted; a chatty host costs one row per slot.
+    Beats in one slot of ``ttl`` seconds always belong together, so each slot is reduced to its first and last beat
+    before anything is sorted; a chatty host costs one row per slot. A host's slots are numbered within slices of
+    ``slice_slots`` of them, and of each slice only its ends and its number of sessions are set against the slice
+    before: the longest window has a host's slices, not its slots.
     """
     at_us = F.unix_micros(F.col("seen_at").cast("timestamp"))
     span = ttl * 1_000_000
     slots = beats.groupBy("host", F.floor(at_us / F.lit(span)).alias("slot")).agg(
         F.min(at_us).alias("first_us"), F.max(at_us).alias("last_us"), F.count(F.lit(1)).alias("beats")
+    ).withColumn("slice", F.floor(F.col("slot") / slice_slots))
+    inside = Window.partitionBy("host", "slice").orderBy("slot")
+    gap = (F.col("first_us") - F.lag("last_us").over(inside) > span).cast("int")  # null at a slice's first slot
+    opened = slots.withColumn("opens", F.coalesce(gap, F.lit(0))).withColumn("nth", F.sum("opens").over(inside))
+    across = Window.partitionBy("host").orderBy("slice")
+    joins = F.coalesce(F.col("first") - F.lag("last").over(across) > span, F.lit(True)).cast("int")
+    ends = opened.groupBy("host", "slice").agg(
+        F.min("first_us").alias("first"), F.max("last_us").alias("last"), F.sum("opens").alias("n")
+    ).withColumn("joins", joins).select(
+        F.col("host").alias("_host"), F.col("slice").alias("_slice"),
+        (F.sum(F.col("joins") + F.col("n")).over(across) - F.col("n")).alias("before"),
     )
-    by_host = Window.partitionBy("host").orderBy("slot")
-    opens = F.coalesce(F.col("first_us") - F.lag("last_us").over(by_host) > span, F.lit(True))
-    numbered = slots.withColumn("opens", opens.cast("int")).withColumn("session", F.sum("opens").over(by_host))
+    same = F.col("host").eqNullSafe(F.col("_host")) & F.col("slice").eqNullSafe(F.col("_slice"))
+    numbered = opened.join(ends, same).withColumn("session", F.col("before") + F.col("nth"))
     return numbered.groupBy("host", "session").agg(
         F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.sum("beats").alias("beats")
     ).select(

@@ -288,6 +288,28 @@ def test_calls_overlap(calls, threads, least, most):
     assert least <= time.monotonic() - started < most and max(peak) == threads
 
 
+@pytest.mark.parametrize("slots", [1, 3, 4096])
+def test_sessions_of_one_host_in_slices(spark, slots):
+    """All beats are one host's (and one without a name's); sessions cross slices or end at them."""
+    rng, t, times = random.Random(slots), 1_000_000, []
+    for _ in range(800):
+        t += rng.choice([0, 1, 30, 119, 120, 121, 240, 400, 5000])
+        times.append(t)
+    want = []
+    for at in times:
+        if want and at - want[-1][1] <= 120:
+            want[-1][1:] = [at, want[-1][2] + 1]
+        else:
+            want.append([at, at, 1])
+    beats = spark.createDataFrame([(h, at) for at in times for h in ("a", None)], "host string, at long").select(
+        "host", F.timestamp_seconds("at").alias("seen_at"))
+    got = monitor.liveness_sessions(beats, slice_slots=slots).select(
+        "host", F.unix_seconds(F.col("alive_from").cast("timestamp")).alias("f"),
+        F.unix_seconds(F.col("alive_until").cast("timestamp")).alias("u"), "beats").collect()
+    expected = [(h, f, last + 120, n) for h in ("a", None) for f, last, n in want]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, expected))
+
+
 def test_chunk_invariants(spark, sf_dir):
     got = QUERIES["prepare_corpus"](spark, sf_dir).collect()
     by_doc = {}
