@@ -69,13 +69,28 @@ def _severity(value: Column, limits: tuple[float, float]) -> Column:
     return F.when(value >= critical, 2).when(value >= warn, 1).otherwise(0)
 
 
-def classify_host(metrics: DataFrame) -> DataFrame:
-    """Add severity and reasons of a host snapshot (mem_pct, swap_pct, load1, cpus).
+def round_cents(c: Column) -> Column:
+    """A double to two digits by its exact binary value: 1.575, whose double lies below, gives 1.57; 0.125 gives 0.12.
 
-    The load per cpu is rounded half-even on its shortest decimal form, not on the binary double: 0.125 and 0.375
-    agree in both, a value such as 0.285, whose double lies below, does not.
+    ``bround`` rounds the shortest decimal form. Both differ only where that form is a tie, k + 5 thousandths; there
+    the sign of value * 1000 - thousandths, computed without error from two halves of the double, decides.
     """
-    per_cpu = F.bround(F.col("load1") / F.col("cpus"), 2)
+
+    def decide(v: Column) -> Column:
+        thousandths = F.rint(v["x"] * 1000.0)
+        scaled = v["x"] * 134217729.0
+        high = scaled - (scaled - v["x"])
+        rest = (high * 1000.0 - thousandths) + (v["x"] - high) * 1000.0
+        below = (thousandths - 5.0) / 10.0
+        tie = (v["x"] == thousandths / 1000.0) & (F.pmod(thousandths, F.lit(10.0)) == 5.0) & (rest != 0)
+        return F.when(tie, (below + (rest > 0).cast("double")) / 100.0).otherwise(F.bround(v["x"], 2))
+
+    return let(F.struct(c.cast("double").alias("x")), decide)
+
+
+def classify_host(metrics: DataFrame) -> DataFrame:
+    """Add severity and reasons of a host snapshot (mem_pct, swap_pct, load1, cpus)."""
+    per_cpu = round_cents(F.col("load1") / F.col("cpus"))
     checks = (
         (F.col("mem_pct"), MEM_LIMITS, "memory at ", "%"),
         (F.col("swap_pct"), SWAP_LIMITS, "swap at ", "%"),

@@ -343,9 +343,7 @@ EXTRA: dict[str, str] = {
                             CASE WHEN swap_pct >= 50 THEN 'swap at ' || CAST(swap_pct AS VARCHAR) || '%' END,
                             CASE WHEN per_cpu >= 1.5 THEN 'load ' || CAST(per_cpu AS VARCHAR) || 'x per cpu' END],
                            lambda r: r IS NOT NULL) AS reasons
-        FROM (SELECT *, CAST(f + CASE WHEN d - f > 0.5 OR (d - f = 0.5 AND f % 2 = 1) THEN 1 ELSE 0 END AS DOUBLE) / 100 AS per_cpu
-              FROM (SELECT *, floor(d) AS f FROM (
-                SELECT *, CAST(CAST(load1 / cpus AS VARCHAR) AS DECIMAL(20, 17)) * 100 AS d FROM host_metrics) hundredths) floored) loaded""",
+        FROM (SELECT *, CAST(printf('%.2f', load1 / cpus) AS DOUBLE) AS per_cpu FROM host_metrics) loaded""",
     "latest_hosts": "SELECT * FROM classified QUALIFY row_number() OVER (PARTITION BY host ORDER BY seen_at DESC) = 1",
     "islands": """
         SELECT host, seen_at, sum(opens) OVER (PARTITION BY host ORDER BY seen_at) AS session
@@ -559,6 +557,11 @@ ORACLES: dict[str, str] = {
     "search_books": """
         SELECT id, title, author FROM books WHERE coalesce(nullif(genre, ''), 'Uncategorized') = 'Uncategorized'
           AND (contains(lower(title), '#00000010') OR contains(lower(author), '#00000010'))""",
+    "search_needles": """
+        SELECT DISTINCT query, id FROM books JOIN (
+          SELECT right(c_name, 6) AS query FROM customer UNION SELECT ' K ' || CAST(c_custkey % 1000 AS VARCHAR) || ' ' FROM customer
+          UNION SELECT right(c_name, 2) FROM customer WHERE c_custkey % 100 = 7 UNION SELECT '  ') wanted
+          ON trim(query) <> '' AND (contains(lower(title), lower(trim(query))) OR contains(lower(author), lower(trim(query))))""",
     "genre_facets": """
         SELECT coalesce(nullif(genre, ''), 'Uncategorized') AS genre, count(*) AS n FROM books GROUP BY 1
         UNION ALL SELECT 'All', count(*) FROM books""",
@@ -729,6 +732,16 @@ ORACLES: dict[str, str] = {
     "parse_log": """
         SELECT event_id AS id, strftime(ts, '%Y-%m-%d %H:%M:%S,%g') AS ts, CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARNING' ELSE 'INFO' END AS level,
                'app.' || event_type AS logger, 'user ' || CAST(user_id AS VARCHAR) || ' sent: ' || props AS message FROM events""",
+    "log_records": """
+        SELECT 'user ' || CAST(user_id AS VARCHAR) || ' sent ' || CAST(event_id AS VARCHAR) || ': ' || props AS message,
+               CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARNING' ELSE 'INFO' END AS level,
+               strftime(ts, '%Y-%m-%d %H:%M:%S,%g') AS ts, 'app.' || event_type AS logger,
+               CASE WHEN event_type = 'error' THEN 'Traceback (most recent call last):' || chr(10) || repeat('  File "a.py", line 3, in f' || chr(10), event_id % 5)
+                    || chr(10) || 'ValueError: bad value at: ' || props END AS traceback,
+               CASE WHEN event_type = 'error' THEN 4 + event_id % 5 ELSE 1 END AS lines
+        FROM events""",
+    "newest_by_day": """
+        SELECT event_id AS id, ts AS created_at FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 500""",
     "tail_logs": "SELECT id, line FROM log_lines WHERE source = 'worker' ORDER BY seen_at DESC, id DESC LIMIT 200",
     "cap_log": "SELECT id, source FROM log_lines QUALIFY row_number() OVER (PARTITION BY source ORDER BY seen_at DESC, id DESC) <= 1000",
     "queue_depth": """

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import chapters, chunks, layout, text
 from ..functions.base import let
-from ..operators import catalog, corpus, monitor, packing, planning, votes
+from ..operators import catalog, corpus, monitor, packing, planning, search, votes
 from ..session import scratch_dir
-from ..sources import migrate, tables
+from ..sources import events as event_files
+from ..sources import logs, migrate, tables
 from ..streaming import jobs
 from .fixtures import DEFAULT_NARRATOR, NARRATORS, view
 
@@ -503,6 +504,19 @@ def search_books(v):
     return catalog.search_books(v("books"), genre="Uncategorized", query=" #00000010 ").select("id", "title", "author")
 
 
+@query
+def search_needles(v):
+    """Endings of all customers' names, beginnings of numbers in titles, one too short for the index, and a blank one."""
+    books, name, key = v("books"), F.col("c_name"), F.col("c_custkey")
+    short = F.when(key % 100 == 7, F.right(name, F.lit(2)))
+    spaced = F.concat(F.lit(" K "), (key % 1000).cast("string"), F.lit(" "))
+    needles = v("customer").select(
+        F.explode(F.array(F.right(name, F.lit(6)), spaced, short, F.lit("  "))).alias("query"))
+    path = scratch_dir(books.sparkSession, "search")
+    search.write_index(books, path)
+    return search.search_needles(books, books.sparkSession.read.parquet(path), needles)
+
+
 @query
 def genre_facets(v):
     return catalog.genre_facets(v("books"))
@@ -859,6 +873,32 @@ def parse_log(v):
     return monitor.parse_log(v("log_lines")).select("id", "ts", "level", "logger", "message")
 
 
+@query
+def log_records(v):
+    """The events as log files, errors with a traceback of four to eight lines, and read back."""
+    rows, spark = v("events"), v("events").sparkSession
+    kind = F.col("event_type")
+    level = F.when(kind == "error", "ERROR").when(kind == "signup", "WARNING").otherwise("INFO")
+    head = F.concat(
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSS"), F.lit(" "), level, F.lit(" app."), kind, F.lit(": user "),
+        F.col("user_id").cast("string"), F.lit(" sent "), F.col("event_id").cast("string"), F.lit(": "), F.col("props"))
+    calls = F.repeat(F.lit('  File "a.py", line 3, in f\n'), (F.col("event_id") % 5).cast("int"))
+    trace = F.concat(F.lit("\nTraceback (most recent call last):\n"), calls, F.lit("\nValueError: bad value at: "), F.col("props"))
+    path = scratch_dir(spark, "logs")
+    rows.select(F.when(kind == "error", F.concat(head, trace)).otherwise(head).alias("value")).write.text(path)
+    return logs.read_log_records(spark, path).drop("file")
+
+
+@query
+def newest_by_day(v):
+    """The events come in three batches, each over all days, so that later ones are late."""
+    rows = v("pipeline_events").select("id", "level", "created_at")
+    path = scratch_dir(rows.sparkSession, "events-by-day")
+    for k in range(3):
+        event_files.write_events(rows.where(F.pmod("id", F.lit(3)) == k), path, k)
+    return event_files.newest_events(rows.sparkSession, path, 500, "error").select("id", "created_at")
+
+
 @query
 def tail_logs(v):
     return monitor.tail_logs(v("log_lines"), "worker", 200).select("id", "line")

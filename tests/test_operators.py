@@ -82,6 +82,13 @@ def test_host_severity(spark):
         "d": ("critical", ["swap at 80.0%", "load 1.5x per cpu"])}
 
 
+def test_rounding_of_the_binary_value(spark):
+    values = [k / 1000 for k in range(-2005, 4000, 5)] + [6.3 / 4, 2.675, 1.005, 0.125, 1e6 + 0.005, 12345.675, 7.0, None, 0.1 + 0.2]
+    values += [random.Random(3).uniform(0, 50) for _ in range(500)] + [float("inf")]
+    df = spark.createDataFrame([(v,) for v in values], "x double").select("x", monitor.round_cents(F.col("x")).alias("r"))
+    assert [(r.x, r.r) for r in df.collect()] == [(v, v if v in (None, float("inf")) else round(v, 2)) for v in values]
+
+
 def test_limits_are_checked(spark):
     empty = spark.createDataFrame([], "id long, book_id long, level string, created_at timestamp_ntz, source string, seen_at timestamp_ntz")
     with pytest.raises(ValueError):
