@@ -162,6 +162,61 @@ def test_repeated_runs_of_a_host(spark, monkeypatch):
         assert got[99] == f"{menu} own words 99 of page 99 are kept {foot}"  # alone on its host
 
 
+def test_shared_sentences_stay(spark, monkeypatch):
+    """Sentences and phrases that a few pages share, with or without an end of their own, are these pages' text."""
+    said = "The minister said on Monday that the new bridge will be opened in May."
+    pages = [page(1, f"<p>{said}</p>"), page(2, f"<p>{said}</p><p>Nobody else spoke about it at all.</p>"),
+             page(3, "<p>The minister said on Monday that the budget was not yet settled at all.</p>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for size in (html_text.SHARD_TOKENS, 10):
+        monkeypatch.setattr(html_text, "SHARD_TOKENS", size)
+        got = {r.page_id: r.text for r in html_text.main_text(df).collect()}
+        assert got == {i: " ".join(re.sub(r"</?p>", " ", body).split()) for i, _, body in pages}
+
+
+def brute_blocks(pages, need):
+    """Blocks of pages without markup but paragraphs, without those covered by runs on `need` distinct pages."""
+    on = {}
+    streams = {i: [b.split() for b in blocks] for i, blocks in pages.items()}
+    for content in {tuple(map(tuple, s)) for s in streams.values()}:
+        flat = [w for b in content for w in b]
+        for run in {tuple(flat[k : k + html_text.RUN]) for k in range(len(flat) - html_text.RUN + 1)}:
+            on[run] = on.get(run, 0) + 1
+    out = {}
+    for i, blocks in streams.items():
+        flat = [w for b in blocks for w in b]
+        gone = {k + d for k in range(len(flat) - html_text.RUN + 1) for d in range(html_text.RUN)
+                if on[tuple(flat[k : k + html_text.RUN])] >= need}
+        at, keep = 0, []
+        for b in blocks:
+            if not set(range(at, at + len(b))) <= gone:
+                keep.append(" ".join(b))
+            at += len(b)
+        out[i] = " ".join(keep)
+    return out
+
+
+@pytest.mark.parametrize("tokens", [50_000, 60])
+def test_blocks_against_all_runs(spark, monkeypatch, tokens):
+    monkeypatch.setattr(html_text, "SHARD_TOKENS", tokens)
+    rng = np.random.default_rng(8)
+    common = [" ".join(rng.choice(list("abcd"), rng.integers(1, 15))) for _ in range(12)]
+    pages = {i: [common[rng.integers(12)] for _ in range(6)] + [" ".join(rng.choice(list("abcd"), 20))] for i in range(60)}
+    pages |= {i + 60: pages[i] for i in range(10)}  # copies are one page
+    df = spark.createDataFrame([page(i, "".join(f"<p>{b}</p>" for b in bs)) for i, bs in pages.items()],
+                               "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.text for r in html_text.main_text(df).collect()}
+    assert got == brute_blocks(pages, int(np.ceil(np.sqrt(len({tuple(b) for b in pages.values()})))))
+
+
+def test_copies_of_a_page_are_dealt_once(spark, monkeypatch):
+    seen = []
+    keep = html_text.covered
+    monkeypatch.setattr(html_text, "covered", lambda streams: (seen.append(streams.count()), keep(streams))[1])
+    df = spark.range(3000).select(F.col("id").alias("page_id"), F.lit("http://h/").alias("url"), F.lit("<p>same old words</p>").alias("html"))
+    assert html_text.main_text(df).where("text = 'same old words'").count() == 3000 and seen == [1]
+
+
 def test_suffix_blocks():
     rng = np.random.default_rng(1)
     tokens, page_of = rng.integers(0, 2, 400), np.repeat(np.arange(8), 50)
