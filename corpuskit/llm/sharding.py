@@ -145,13 +145,16 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8) -> DataFrame:
 
     The sizes (UTF-8 bytes plus 1; null text counts as empty) of the shards differ by TOLERANCE or one row. Equal
     texts share a shard unless that would cost more than TOLERANCE. Slots follow the order of hash and id, without
-    gaps. Rows without an id come first among equal texts. Rows equal in text and id may swap slots; an unbounded
-    number of such rows would meet in one task. An empty table gives no rows; other columns are ignored.
+    gaps. Rows without an id come first among equal texts, each with a key of its own, so that very many of them are
+    cut like any others. Rows equal in text and a real id may swap slots; an unbounded number of copies of one row
+    would meet in one task. Very long texts count with their size, a shard may differ by one of them. An empty table
+    gives no rows; other columns are ignored.
     """
     text = F.coalesce("text", F.lit(""))
+    salt = F.lit(NO_ID) + F.monotonically_increasing_id()  # written with the keys, so it stays what it is
     keys = stage(
         docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"),
+            F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), salt).alias("id"),
             (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(text).alias("hash"),
         ),

@@ -123,6 +123,20 @@ def test_shards_of_one_hot_text(spark):
     assert (got.groupby("shard")["slot"].nunique() == got.groupby("shard")["slot"].max() + 1).all()
 
 
+def test_rows_without_id_and_text_are_cut(spark, monkeypatch):
+    """60,000 rows that nothing tells apart: equal shards, and no cell that collects or numbers them all."""
+    looked, cells = [], []
+    between, place = sharding._between, sharding.place_splitters
+    monkeypatch.setattr(sharding, "_between", lambda *a: (looked.append(between(*a).count()), between(*a))[1])
+    monkeypatch.setattr(sharding, "place_splitters", lambda *a: (cells.append(place(*a)), cells[-1])[1])
+    df = spark.range(60_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    long = spark.createDataFrame([(1, "x" * 5_000_000)], "doc_id long, text string")
+    got = sharding.shard_by_bytes(df).groupBy("shard").agg(F.sum("size").alias("b"), F.max("slot").alias("last")).collect()
+    assert len(got) == 8 and all(abs(r.b - 7500) <= 10 and r.last == r.b - 1 for r in got)
+    assert max(looked, default=0) <= sharding.LOOK and max(n for _, n in cells[0][1]) <= 20_000
+    assert sharding.shard_by_bytes(df.union(long)).agg(F.sum("size")).first()[0] == 60_000 + 5_000_001
+
+
 # ---- 2 HTML
 
 
