@@ -462,6 +462,10 @@ ORACLES: dict[str, str] = {
         WHERE starts_with(key, 'audio/' || CAST(book_id AS VARCHAR) || '/')
            OR starts_with(key, 'audio-archive/' || CAST(book_id AS VARCHAR) || '/')
            OR starts_with(key, 'pdfs/' || CAST(book_id AS VARCHAR) || '/')""",
+    "list_inventory": """
+        SELECT doc_id % 40 AS book_id, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS bytes, count(DISTINCT coalesce(lang, 'none')) AS folders,
+               doc_id % 40 % 3 = 0 AS purged, doc_id % 40 = 13 AS moved
+        FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id % 40""",
     "purge_narrator": """
         SELECT key, book_id FROM inventory JOIN doomed ON split_part(key, '/', 2) = CAST(book_id AS VARCHAR)
         WHERE starts_with(key, 'audio/' || CAST(book_id AS VARCHAR) || '/alder/')""",

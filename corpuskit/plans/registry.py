@@ -12,7 +12,7 @@ from ..functions.base import let
 from ..operators import catalog, corpus, monitor, packing, planning, search, votes
 from ..session import scratch_dir
 from ..sources import events as event_files
-from ..sources import logs, migrate, tables
+from ..sources import logs, migrate, objects, tables
 from ..streaming import jobs
 from .fixtures import DEFAULT_NARRATOR, NARRATORS, view
 
@@ -110,6 +110,28 @@ def purge_narrator(v):
     return planning.purge_prefixes(v("inventory"), _some_books(v), narrator="alder")
 
 
+@query
+def list_inventory(v):
+    """The documents as files of forty books by language, listed; one book is planned to move, every third to go."""
+    docs, parts = v("documents").where("doc_id IS NOT NULL"), text_partitions(v("documents").sparkSession)
+    spark, root = docs.sparkSession, scratch_dir(v("documents").sparkSession, "objects")
+    lang = F.coalesce("lang", F.lit("none"))
+    files = docs.select(F.pmod("doc_id", F.lit(40)).alias("book"), lang.alias("lang"), F.coalesce("text", F.lit("")).alias("value"))
+    dealt = files.repartition(parts, "book", F.pmod(F.xxhash64("value"), F.lit(4)))
+    dealt.write.partitionBy("book", "lang").text(f"{root}/audio")
+    listed = objects.list_objects(spark, root)
+    keyed = listed.withColumn("key", F.replace("key", F.lit("book="), F.lit("")))
+    gone = planning.purge_prefixes(keyed, spark.range(40).where("id % 3 = 0").select(F.col("id").alias("book_id")))
+    moves = migrate.rekey_prefix(keyed, "audio/13/", f"audio-archive/13/{STAMP}/")
+    parts_of = F.split("key", "/")
+    return keyed.join(gone.select("key", F.lit(True).alias("purged")), "key", "left").join(moves, "key").groupBy(
+        F.get(parts_of, F.lit(1)).cast("bigint").alias("book_id")
+    ).agg(
+        F.sum("bytes").alias("bytes"), F.count_distinct(F.get(parts_of, F.lit(2))).alias("folders"),
+        F.bool_and(F.coalesce("purged", F.lit(False))).alias("purged"), F.bool_and("moved").alias("moved"),
+    )
+
+
 @query
 def write_segments(v):
     """All segments, then a rebuild of the books with ready ones, delivered in two batches, one of them twice."""

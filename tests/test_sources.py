@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuskit.sources import events as event_files
-from corpuskit.sources import logs
+from corpuskit.sources import logs, objects
 
 HEAD = "2024-01-01 00:00:{:02d},{:03d} {} app.x: {}"
 
@@ -89,3 +89,15 @@ def test_events_without_a_time_come_last(spark, tmp_path):
     event_files.write_events(rows, path, 0)
     assert [r.id for r in event_files.newest_events(spark, path, 22).collect()] == newest(rows, 20) + [21, 20]
     assert [r.id for r in event_files.newest_events(spark, path, 20).collect()] == newest(rows, 20)
+
+
+def test_listing_opens_no_file(spark, tmp_path):
+    names = {"a.txt": 3, "deep/er/b c.txt": 1, "deep/ü%41.txt": 7}
+    for name, size in {**names, "empty.txt": 0}.items():
+        (tmp_path / "store" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "store" / name).write_bytes(b"x" * size)
+    (tmp_path / "store" / "_hidden").write_text("no")
+    listed = objects.list_objects(spark, str(tmp_path / "store"))
+    assert "content" not in listed._jdf.queryExecution().executedPlan().toString()
+    assert {r.key: r.bytes for r in listed.collect()} == names
+    assert {r.key for r in objects.list_objects(spark, f"file://{tmp_path}/store/").collect()} == set(names)
