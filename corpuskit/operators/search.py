@@ -1,8 +1,8 @@
 """Substring search of very many books, and for very many needles at once, by an index of trigrams.
 
 A posting list names the fields (title or author) that hold a trigram; it is cut into blocks by a hash of the book, so
-that the list of a trigram in every title is many rows. A needle asks for the lists of its rarest trigrams only, takes
-the fields that are in all of them, and these are verified against the text. Which lists are read changes the number of
+that the list of a trigram in every title is many rows. A needle asks for the list of its rarest trigram, or for several
+that are intersected, and what is found is verified against the text. Which lists are read changes the number of
 candidates, never the result.
 """
 
@@ -15,8 +15,8 @@ from ..functions.base import let
 
 #: Fields of one block of a posting list, on average.
 BLOCK_FIELDS = 4096
-#: Lists that are intersected for one needle.
-LISTS = 3
+#: Lists that are read for one needle. Intersecting several spares verifications, but all of their entries are shuffled.
+LISTS = 1
 FIELDS = ("title", "author")
 
 
@@ -50,8 +50,8 @@ def write_index(books: DataFrame, path: str, block_fields: int = BLOCK_FIELDS) -
     index.repartitionByRange("gram", "block").sortWithinPartitions("gram", "block").write.mode("overwrite").parquet(path)
 
 
-def candidates(index: DataFrame, needles: DataFrame) -> DataFrame:
-    """(needle, id, field): fields in the lists of the ``LISTS`` rarest grams of each needle of three characters or more.
+def candidates(index: DataFrame, needles: DataFrame, lists: int = LISTS) -> DataFrame:
+    """(needle, id, field): fields in the ``lists`` shortest lists of each needle of three characters or more.
 
     A needle with a gram that no list has finds nothing.
     """
@@ -60,15 +60,17 @@ def candidates(index: DataFrame, needles: DataFrame) -> DataFrame:
     rarity = index.groupBy("gram").agg(F.sum(F.size("fields")).alias("n"), F.first("blocks").alias("blocks"))
     known = asked.join(rarity, "gram", "left").groupBy("needle").agg(
         F.sort_array(F.collect_list(F.struct("n", "gram", "blocks"))).alias("lists"), F.count_if(F.col("n").isNull()).alias("unknown")
-    ).where("unknown = 0").withColumn("lists", F.slice("lists", 1, LISTS))
+    ).where("unknown = 0").withColumn("lists", F.slice("lists", 1, lists))
     wanted = known.select("needle", F.size("lists").alias("wanted"), F.explode("lists").alias("l")).select(
         "needle", "wanted", "l.gram", F.explode(F.sequence(F.lit(0), F.col("l.blocks") - 1)).alias("block"))
     found = wanted.join(index.select("gram", "block", "fields"), ["gram", "block"])
     hits = found.select("needle", "wanted", F.explode("fields").alias("at"))
+    if lists == 1:
+        return hits.select("needle", "at.*")
     return hits.groupBy("needle", "wanted", "at").agg(F.count(F.lit(1)).alias("n")).where("n = wanted").select("needle", "at.*")
 
 
-def search_needles(books: DataFrame, index: DataFrame, needles: DataFrame) -> DataFrame:
+def search_needles(books: DataFrame, index: DataFrame, needles: DataFrame, lists: int = LISTS) -> DataFrame:
     """(query, id): the books whose title or author holds each query, as ``search_books`` finds them one by one.
 
     ``needles``: a column ``query``; it is trimmed and lowered, and equal ones are searched once. Needles of one or two
@@ -78,7 +80,7 @@ def search_needles(books: DataFrame, index: DataFrame, needles: DataFrame) -> Da
     asked = needles.select("query").distinct().withColumn("needle", F.lower(F.trim("query"))).where("needle <> ''")
     distinct = asked.select("needle").distinct()
     fields = _fields(books)
-    long = candidates(index, distinct.where(F.length("needle") >= 3)).join(fields, ["id", "field"]).where(
+    long = candidates(index, distinct.where(F.length("needle") >= 3), lists).join(fields, ["id", "field"]).where(
         F.col("text").contains(F.col("needle"))
     ).select("needle", "id")
     parts = F.explode(F.array_union(grams(F.col("text"), 1), grams(F.col("text"), 2)))

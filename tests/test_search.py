@@ -17,14 +17,14 @@ def table(spark, n=400, seed=1):
     return spark.createDataFrame(rows + [rows[0][:1] + rows[0][1:]], SCHEMA).withColumn("needle", F.lit("clash"))
 
 
-@pytest.mark.parametrize("block", [1, 5, 4096])
-def test_as_one_by_one(spark, block):
+@pytest.mark.parametrize("block,lists", [(1, 1), (5, 3), (4096, 2)])
+def test_as_one_by_one(spark, block, lists):
     books = table(spark)
     queries = ["abc", " ABC ", "a", "bé", "é", "%", "a_b", "abca", "bcabc", "zzz", "aaaa", "abc zzz", "  ", "", None, "É b", "abc"]
     needles = spark.createDataFrame([(q, 1) for q in queries], "query string, id int")
     index = search.trigram_index(books, block)
     got = {}
-    for r in search.search_needles(books, index, needles).collect():
+    for r in search.search_needles(books, index, needles, lists).collect():
         got.setdefault(r.query, []).append(r.id)
     for q in filter(None, set(queries)):
         want = {r.id for r in catalog.search_books(books, query=q).collect()} if q.strip() else set()
@@ -48,9 +48,9 @@ def test_few_candidates(spark, sf_dir):
         F.format_string("Customer#%09d", F.col("id") * 7919 % 2000).alias("author"))
     needles = spark.range(50, 2000, 50).select(F.format_string("customer#%09d", "id").alias("needle"))
     index = search.trigram_index(books)
-    read = search.candidates(index, needles).count()
+    read, read_one = search.candidates(index, needles, 3).count(), search.candidates(index, needles).count()
     found = search.search_needles(books, index, needles.withColumnRenamed("needle", "query")).count()
-    assert found == 39 * 10 and read < 3 * found
+    assert found == 39 * 10 and read < 3 * found and read_one < 39 * 40000 / 50
     zeros = spark.createDataFrame([("customer#000000000",)], "needle string")
     assert search.candidates(index, zeros).count() == 20000
     assert search.search_needles(books, index, zeros.withColumnRenamed("needle", "query")).count() == 10
