@@ -15,7 +15,8 @@ from ..functions.base import let
 
 #: Fields of one block of a posting list, on average.
 BLOCK_FIELDS = 4096
-#: Lists that are read for one needle. Intersecting several spares verifications, but all of their entries are shuffled.
+#: Lists that are read for one needle. Intersecting several spares verifications, but all of their entries are shuffled,
+#: which on titles costs far more than it spares.
 LISTS = 1
 FIELDS = ("title", "author")
 
