@@ -67,3 +67,34 @@ def test_empty_tables(spark):
     needles = spark.createDataFrame([("abc",), ("a",)], "query string")
     assert search.search_needles(none, search.trigram_index(none), needles).count() == 0
     assert search.search_needles(books, search.trigram_index(books), needles.limit(0)).count() == 0
+
+
+def test_match_needles_as_one_by_one(spark):
+    """Also of lengths at and around the window lengths, and needles that only begin alike."""
+    long = "The Whole History of É Things and of %s in Sixty Volumes"
+    books = table(spark).unionByName(spark.createDataFrame(
+        [(1000 + i, long % c, c * 40, None, "x") for i, c in enumerate(("ab", "É", "aa"))], table(spark).schema))
+    text = (long % "ab").lower()
+    queries = ["abc", " ABC ", "a", "bé", "é", "%", "a_b", "abca", "bcabc", "zzz", "aaaa", "abc zzz", "  ", "", None, "É b",
+               *(text[3 : 3 + n] for n in (7, 8, 9, 15, 16, 17, 31, 32, 33, 50)), text, text + "x", "a" * 64, "a" * 81]
+    needles = spark.createDataFrame([(q, 1) for q in queries], "query string, id int")
+    got = {}
+    for r in search.match_needles(books, needles).collect():
+        got.setdefault(r.query, []).append(r.id)
+    for q in filter(None, set(queries)):
+        want = {r.id for r in catalog.search_books(books, query=q).collect()} if q.strip() else set()
+        assert sorted(got.get(q, [])) == sorted(want), q
+    assert None not in got and search.match_needles(books, needles.limit(0)).count() == 0
+
+
+def test_match_needles_without_candidates(spark):
+    """The index verifies many fields for each that it finds; here what meets the needles is what is found."""
+    books = spark.range(20000).select(
+        "id", F.lit(None).cast("string").alias("title"), F.format_string("Customer#%09d", "id").alias("author"))
+    needles = spark.range(11111, 20000, 10).select(F.format_string("%06d", "id").alias("query"))
+    found = search.match_needles(books, needles)
+    rows = found.collect()
+    verified = search.candidates(search.trigram_index(books), needles.withColumnRenamed("query", "needle")).count()
+    assert len(rows) == needles.count() and verified > 10 * len(rows)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains" not in plan and plan.count("Join") == 2
