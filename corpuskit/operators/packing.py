@@ -9,6 +9,8 @@ a block can be left, in as many rounds as the logarithm of the blocks of the lon
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -60,16 +62,78 @@ def _reached(edges: DataFrame, blocks: int) -> DataFrame:
     return reached
 
 
+def _greedy(texts: list[str], cap: int) -> Iterator[str]:
+    """The chunks of all pieces of a document, one piece after another."""
+    part, size = [texts[0]], len(texts[0])
+    for text in texts[1:]:
+        if size + len(text) + 1 <= cap:
+            part.append(text)
+            size += len(text) + 1
+        else:
+            yield " ".join(part)
+            part, size = [text], len(text)
+    yield " ".join(part)
+
+
+def _short_packed(rows: DataFrame, cap: int, block_pieces: int) -> DataFrame:
+    """(doc_id, pos, text, packed): the chunks of documents with less than a block of pieces, the pieces of others."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def packed(doc: int, pos: list[int], texts: list[str], out: list) -> None:
+            if pos[0] == 0 and len(texts) < block_pieces:
+                out += [(doc, i, text, True) for i, text in enumerate(_greedy(texts, cap))]
+            else:
+                out += [(doc, at, text, False) for at, text in zip(pos, texts, strict=True)]
+
+        def frame(out: list) -> pd.DataFrame:
+            return pd.DataFrame(out, columns=["doc_id", "pos", "text", "packed"])
+
+        key, pos, texts = None, [], []
+        for batch in batches:
+            out: list = []
+            docs, blocks = batch["doc_id"].to_numpy(), batch["block"].to_numpy()
+            at, text = batch["pos"].tolist(), batch["text"].tolist()
+            edges = np.flatnonzero((np.diff(docs) != 0) | (np.diff(blocks) != 0)) + 1
+            for first, end in zip([0, *edges.tolist()], [*edges.tolist(), len(docs)]):
+                if first == end:
+                    continue
+                if key != (docs[first], blocks[first]):
+                    if texts:
+                        packed(int(key[0]), pos, texts, out)
+                    key, pos, texts = (docs[first], blocks[first]), [], []
+                pos += at[first:end]
+                texts += text[first:end]
+            yield frame(out)
+        if texts:
+            out = []
+            packed(int(key[0]), pos, texts, out)
+            yield frame(out)
+
+    dealt = rows.where("doc_id IS NOT NULL").withColumn("block", F.floor(F.col("pos") / block_pieces))
+    dealt = dealt.repartition("doc_id", "block").sortWithinPartitions("doc_id", "block", "pos")
+    return dealt.mapInPandas(pack, "doc_id long, pos long, text string, packed boolean")
+
+
 def pack_rows(pieces: DataFrame, cap: int = CHUNK_CHARS, block_pieces: int = BLOCK_PIECES) -> DataFrame:
     """(doc_id, pos, piece): the chunks of each document, as ``pack_chunks`` cuts them.
 
     ``pieces``: doc_id, pos (0, 1, ... without gaps within a document) and text, none longer than ``cap`` if it can
-    be cut, as ``split_oversized`` gives them; nulls count as empty. A chunk without text is left out. No task holds
-    more than a block of a document's lengths, or a chunk's texts.
+    be cut, as ``split_oversized`` gives them; nulls count as empty. A chunk without text is left out, pieces without
+    a doc_id belong to no document. No task holds more than a block of a document's pieces.
     """
     if block_pieces <= cap + 1:
         raise ValueError("a block must have more pieces than a chunk may have")
-    rows = pieces.select("doc_id", F.col("pos").cast("long").alias("pos"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = pieces.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("pos").cast("long").alias("pos"),
+        F.coalesce("text", F.lit("")).alias("text"))
+    first = _written(_short_packed(rows, cap, block_pieces), "packed")
+    short = first.where("packed").select("doc_id", "pos", F.col("text").alias("piece")).where("piece <> ''")
+    long = first.where("NOT packed").select("doc_id", "pos", "text")
+    return short if long.isEmpty() else short.unionByName(_pack_long(long, cap, block_pieces))
+
+
+def _pack_long(rows: DataFrame, cap: int, block_pieces: int) -> DataFrame:
+    """(doc_id, pos, piece) of documents of any number of blocks."""
     lengths = rows.select("doc_id", "pos", F.length("text").alias("n"))
     block = F.floor(F.col("pos") / block_pieces)
     own = lengths.withColumn("block", block)

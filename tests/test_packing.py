@@ -68,3 +68,30 @@ def test_odd_rows(spark):
     rows = [(1, 0, ""), (2, 0, None), (3, 0, "y" * 5000), (3, 1, "z"), (3, 2, "y" * 5000)]
     got = packing.pack_rows(spark.createDataFrame(rows, schema)).orderBy("doc_id", "pos").collect()
     assert [(r.doc_id, r.pos, len(r.piece)) for r in got] == [(3, 0, 5000), (3, 1, 1), (3, 2, 5000)]
+
+
+def test_short_documents_are_packed_as_they_come(spark):
+    """Documents of less than a block take one exchange and no group of their own; one of a block or more takes all steps."""
+    rng = random.Random(5)
+    sizes = {d: rng.choice([1, 2, 5, 39, 40, 41, 90]) for d in range(120)}
+    rows = [(d, i, rng.choice([None, "", "x" * rng.randint(1, 30)])) for d, n in sizes.items() for i in range(n)]
+    rng.shuffle(rows)
+    pieces = spark.createDataFrame(rows, "doc_id long, pos int, text string").repartition(7)
+    done = packing._short_packed(pieces.fillna(""), 38, 40)
+    assert {r.doc_id for r in done.where("NOT packed").select("doc_id").distinct().collect()} == {
+        d for d, n in sizes.items() if n >= 40}
+    got = sorted(tuple(r) for r in packing.pack_rows(pieces, 38, 40).collect())
+    want = []
+    for d in sizes:
+        texts = [t or "" for _, _, t in sorted((r for r in rows if r[0] == d), key=lambda r: r[1])]
+        chunks = []
+        for t in texts:
+            if chunks and len(chunks[-1]) + 1 + len(t) <= 38:
+                chunks[-1] += " " + t
+            else:
+                chunks.append(t)
+        want += [(d, i, c) for i, c in enumerate(chunks) if c]
+    assert got == sorted(want)
+    only_short = packing.pack_rows(pieces.where(F.col("doc_id").isin([d for d, n in sizes.items() if n < 40])), 38, 40)
+    plan = only_short._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "FlatMapGroups" not in plan and "FlatMapCoGroups" not in plan
