@@ -247,12 +247,17 @@ def extract_report(prepared: DataFrame) -> DataFrame:
 
 
 def scanned_events(report: DataFrame) -> DataFrame:
-    """A warning event for each document that looks scanned."""
+    """A warning event for each document that looks scanned.
+
+    An event is the element of an array: a plain filter would be moved below the report and below the exchange that
+    deals the texts, and the whole preparation would run once for it, in as many tasks as files, and once more.
+    """
     message = F.format_string(SCANNED_MESSAGE, F.col("total"), F.col("pages"))
-    return report.filter("scanned").select(
+    event = F.struct(
         F.col("doc_id").alias("book_id"), F.lit("ingest_book").alias("task"), F.lit("warning").alias("level"),
         message.alias("message"),
     )
+    return unroll(report, array=F.when(F.col("scanned"), F.array(event))).select("item.*")
 
 
 def review_summary(books: DataFrame, segments: DataFrame) -> DataFrame:

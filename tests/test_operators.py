@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corpuskit.functions import chunks
 from corpuskit.operators import catalog, corpus, monitor, planning, votes
 from corpuskit.operators.ranking import newest_per_group, number_in_group
+from corpuskit.plans import registry
 from corpuskit.plans.registry import QUERIES
 from corpuskit.session import scratch_dir
 from corpuskit.sources import migrate, tables
@@ -339,3 +340,12 @@ def test_no_shuffle_in_the_corpus_job(spark, sf_dir):
 def test_scans_of_the_narration_family(spark, sf_dir, name, most):
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") <= most
+
+
+def test_scanned_events_prepare_texts_once(spark, sf_dir):
+    """The test for scans stays above the exchange that deals the texts, and the chunks are computed once."""
+    plan = registry.QUERIES["scanned_events"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("RepartitionByExpression"):] if "RepartitionByExpression" in plan else plan[plan.index("Repartition"):]
+    assert "aggregate(" not in below
+    report = corpus.extract_report(registry._prepared(registry.derived(spark, sf_dir)))
+    assert plan.count("array_sort(") == report._jdf.queryExecution().optimizedPlan().toString().count("array_sort(")
