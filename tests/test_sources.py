@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuskit.sources import events as event_files
-from corpuskit.sources import logs, objects
+from corpuskit.plans import registry
+from corpuskit.sources import logs, migrate, objects
 
 HEAD = "2024-01-01 00:00:{:02d},{:03d} {} app.x: {}"
 
@@ -101,3 +102,21 @@ def test_listing_opens_no_file(spark, tmp_path):
     assert "content" not in listed._jdf.queryExecution().executedPlan().toString()
     assert {r.key: r.bytes for r in listed.collect()} == names
     assert {r.key for r in objects.list_objects(spark, f"file://{tmp_path}/store/").collect()} == set(names)
+
+
+def test_remap_joins_only_what_can_match(spark, sf_dir):
+    """Counts join the local clips alone, with keys of their form; ids are moved without the target's keys."""
+    v = registry.derived(spark, sf_dir)
+    inv = v("inventory")
+    found = migrate.remap_ids(v("books"), v("segments"), inv, inv, 2)
+    plans = {name: df._jdf.queryExecution().optimizedPlan().toString() for name, df in found.items()}
+    assert "_there" not in plans["segments"] and "RLIKE" in plans["counts"] and "concat(\0" not in plans["counts"]
+    segs = spark.createDataFrame(
+        [(1, 1, 0, "storage/audio/1/0000.mp3"), (2, 1, 1, "storage/audio/1/0001.mp3"), (3, 1, 2, "storage/audio/x"), (4, 1, 3, None), (5, 1, 4, "audio/1/0004.mp3")],
+        "id long, book_id long, seg_order int, audio_path string").selectExpr("*", "'t' AS text", "'s' AS status", "1.0 AS duration")
+    here = spark.createDataFrame([("storage/audio/1/0000.mp3",), ("storage/audio/1/0001.mp3",), ("audio/1/0004.mp3",)] * 2, "key string")
+    there = spark.createDataFrame([("audio/3/0001.mp3",), ("audio/3/alder/0000.mp3",), (None,)], "key string")
+    small = migrate.remap_ids(spark.createDataFrame([(1,)], "id long"), segs, here, there, 2)
+    assert small["counts"].first().asDict() == {"uploaded": 1, "skipped": 1, "missing": 1}
+    assert [r.audio_path for r in small["segments"].orderBy("id").collect()] == [
+        "audio/3/0000.mp3", "audio/3/0001.mp3", None, None, "audio/1/0004.mp3"]
