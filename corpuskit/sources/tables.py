@@ -126,15 +126,21 @@ def current_segments(rows: DataFrame) -> DataFrame:
     """The segments of each book's newest generation, each as it was delivered last.
 
     ``rows``: book_id, seg_order, generation, delivered_at and other columns. A rebuild of a book carries a higher
-    generation and so replaces the whole book; within a generation deliveries add up. The generation is looked up by
-    book after partial maxima, a hot book is split by the join.
+    generation and so replaces the whole book; within a generation deliveries add up. What is current is found without
+    the other columns: the generation is looked up by book after partial maxima, a hot book is split by the join. Texts
+    are then moved and sorted once, for the join by which they are also reduced. They go to as many partitions as an
+    exchange has: adaptive sizes are those of compressed texts, and sorts of coalesced partitions would spill.
     """
-    values = [c for c in rows.columns if c not in ("book_id", "seg_order", "delivered_at")]
-    last = rows.groupBy("book_id", "seg_order", F.col("generation").alias("_g")).agg(
-        F.max(F.struct("delivered_at", *values)).alias("s")
-    )
-    newest = rows.groupBy("book_id").agg(F.max("generation").alias("_g"))
-    return last.join(newest, ["book_id", "_g"]).select("book_id", "seg_order", "s.*").select(*rows.columns)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.struct("seg_order", "delivered_at").alias("_at")  # as one key, nulls are equal
+    values = [c for c in rows.columns if c not in ("book_id", "seg_order", "generation", "delivered_at")]
+    last = rows.groupBy("book_id", "seg_order", "generation").agg(F.max("delivered_at").alias("delivered_at"))
+    newest = rows.groupBy("book_id").agg(F.max("generation").alias("generation"))
+    current = last.join(newest, ["book_id", "generation"]).select("book_id", "generation", at)
+    keys = ["book_id", "generation", "_at"]
+    values = rows.select("book_id", "generation", at, F.struct(*values).alias("s")).repartition(parts, *keys)
+    kept = values.join(current, keys)
+    return kept.groupBy(*keys).agg(F.max("s").alias("s")).select("book_id", "generation", "_at.*", "s.*").select(*rows.columns)
 
 
 def write_segments(rows: DataFrame, path: str, batch: int) -> None:
@@ -142,6 +148,11 @@ def write_segments(rows: DataFrame, path: str, batch: int) -> None:
     append_changes(rows, path, batch)
 
 
+def read_delivery(spark: SparkSession, path: str, batch: int) -> DataFrame:
+    """The rows of one batch as they were delivered, for as long as no version has superseded it."""
+    return spark.read.parquet(f"{path}/changes/batch={batch}")
+
+
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
     return read_state(spark, path, current_segments)
 

@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -159,6 +160,26 @@ def test_a_newer_generation_replaces_a_book(spark):
     assert rows(tables.read_segments(spark, path).select("book_id", "seg_order", "text")) == want
 
 
+def test_texts_move_once(spark):
+    """Texts are reduced in the stage that joins them to what is current: one exchange, one sort."""
+    data = [(1, i % 2, 0, 0, "a") for i in range(4)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        current = tables.current_segments(spark.createDataFrame(data, SEGMENTS))
+        plan = current._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" in plan and not re.search("Exchange|Sort ", plan[: plan.index("SortMergeJoin")])
+        assert rows(current) == [(1, 0, 0, 0, "a"), (1, 1, 0, 0, "a")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_current_segments_keep_nulls_and_ties(spark):
+    data = [(1, None, None, 0, "a"), (1, None, None, 0, "b"), (1, 2, 5, 0, "c"), (1, 2, None, 0, "z"), (2, 0, 1, 0, "old"),
+            (2, 1, 1, 1, "new"), (3, 0, 0, 0, None)]
+    got = tables.current_segments(spark.createDataFrame(data, SEGMENTS)).collect()
+    assert {tuple(r) for r in got} == {data[1], data[2], data[5], data[6]} and len(got) == 4
+
+
 def test_a_killed_compaction_leaves_the_table(spark):
     path = scratch_dir(spark, "segments")
     data = [(1, i, 0, 0, "kept") for i in range(50)]
