@@ -247,9 +247,16 @@ def card_state(books: DataFrame, segments: DataFrame, progress: DataFrame | None
 
 
 def first_segment_excerpt(segments: DataFrame, n: int = EXCERPT_CHARS) -> DataFrame:
-    """The opening of each book: its lowest-order segment, first ``n`` characters."""
-    head = segments.select("book_id", "seg_order", F.substring("text", 1, n).alias("head"))
-    return head.groupBy("book_id").agg(F.min_by("head", "seg_order").alias("excerpt"))
+    """The opening of each book: its lowest-order segment, first ``n`` characters.
+
+    The lowest order is found without texts. Texts then pass a table of their partition's books, so only the openings,
+    not all segments, are held and sorted; a hot book is split by the join.
+    """
+    first = segments.groupBy("book_id").agg(F.min("seg_order").alias("_first")).hint("shuffle_hash")
+    head = segments.select(F.col("book_id").alias("_book"), "seg_order", F.substring("text", 1, n).alias("head"))
+    lowest = F.coalesce(F.col("seg_order") <= F.col("_first"), F.col("_first").isNull())
+    opening = head.join(first, F.col("_book").eqNullSafe(F.col("book_id")) & lowest)
+    return opening.groupBy("book_id").agg(F.min_by("head", "seg_order").alias("excerpt"))
 
 
 def parse_metadata(df: DataFrame, column: str) -> DataFrame:

@@ -370,3 +370,15 @@ def test_scanned_events_prepare_texts_once(spark, sf_dir):
     assert "aggregate(" not in below
     report = corpus.extract_report(registry._prepared(registry.derived(spark, sf_dir)))
     assert plan.count("array_sort(") == report._jdf.queryExecution().optimizedPlan().toString().count("array_sort(")
+
+
+def test_openings_pass_the_join_without_sorts(spark):
+    """Only openings are sorted: segments pass a table of books. Nulls, ties and a hot book included."""
+    data = [(1, 3, "c"), (1, 0, "abcdef"), (None, 2, "n"), (None, 1, "m"), (2, None, "x"), (3, None, "y"), (3, 5, "z"), (4, 1, None)]
+    segs = spark.createDataFrame(data, "book_id long, seg_order int, text string")
+    hot = spark.range(20_000).selectExpr("9L AS book_id", "CAST(id AS INT) AS seg_order", "CAST(id AS STRING) AS text")
+    found = catalog.first_segment_excerpt(segs.union(hot), 3)
+    got = {r.book_id: r.excerpt for r in found.collect()}
+    assert got == {1: "abc", None: "m", 2: None, 3: "z", 4: None, 9: "0"}
+    plan = catalog.first_segment_excerpt(segs)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Sort" not in plan[plan.index("ShuffledHashJoin"):]
