@@ -119,9 +119,12 @@ def sort_books(table: DataFrame, key: str, direction: str = "asc") -> DataFrame:
 
 
 def alt_ready_counts(segments: DataFrame, takes: DataFrame) -> DataFrame:
-    """Ready takes per book and narrator. Narrator is counted per book after a partial count."""
+    """Ready takes per book and narrator. Narrator is counted per book after a partial count.
+
+    Takes pass a table of their partition's segment ids, two numbers each, and are not sorted.
+    """
     ready = takes.filter(F.col("status") == "ready").select("segment_id", "narrator")
-    owner = segments.select(F.col("id").alias("segment_id"), "book_id")
+    owner = segments.select(F.col("id").alias("segment_id"), "book_id").hint("shuffle_hash")
     return ready.join(owner, "segment_id").groupBy("book_id", "narrator").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -382,3 +382,13 @@ def test_openings_pass_the_join_without_sorts(spark):
     assert got == {1: "abc", None: "m", 2: None, 3: "z", 4: None, 9: "0"}
     plan = catalog.first_segment_excerpt(segs)._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "Sort" not in plan[plan.index("ShuffledHashJoin"):]
+
+
+def test_takes_pass_the_join_without_sorts(spark):
+    segs = spark.createDataFrame([(1, 7), (2, 7), (3, 8), (3, 9), (None, 7)], "id long, book_id long")
+    data = [(1, "a", "ready"), (1, "a", "ready"), (2, "a", "ready"), (2, "b", "error"), (3, None, "ready"), (4, "a", "ready"),
+            (None, "a", "ready")]
+    counts = catalog.alt_ready_counts(segs, spark.createDataFrame(data, "segment_id long, narrator string, status string"))
+    assert {tuple(r) for r in counts.collect()} == {(7, "a", 3), (8, None, 1), (9, None, 1)}
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Sort" not in plan
