@@ -182,23 +182,17 @@ def narrations(
 
 
 def _voices_heard(segments: DataFrame, takes: DataFrame) -> DataFrame:
-    """Per book from one pass over each table: total, base_ready, voices ARRAY<STRUCT<narrator, n>>.
+    """Per book: total, base_ready, voices ARRAY<STRUCT<narrator, n>>.
 
-    A segment's ready takes are one array before the join. Counting by book and narrator comes before counting by
-    book, so that a book with very many segments is combined on the map side.
+    Segments are counted by themselves, and takes as in ``alt_ready_counts``: only ids pass the join, and counting by
+    book and narrator comes before collecting by book, so that a book with very many segments is combined on the map side.
     """
-    ready = takes.filter(F.col("status") == "ready").groupBy("segment_id").agg(F.collect_list("narrator").alias("names"))
-    joined = segments.select("book_id", F.col("id").alias("segment_id"), "status").join(ready, "segment_id", "left")
-    each = joined.select("book_id", "status", F.posexplode_outer("names").alias("k", "narrator"))
-    first = F.coalesce("k", F.lit(0)) == 0
-    by_voice = each.groupBy("book_id", "narrator").agg(
-        F.count_if(first).alias("total"), F.count_if(first & (F.col("status") == "ready")).alias("base_ready"),
-        F.count("narrator").alias("n"),
-    )
-    voice = F.when(F.col("narrator").isNotNull(), F.struct("narrator", "n"))
-    return by_voice.groupBy("book_id").agg(
-        F.sum("total").alias("total"), F.sum("base_ready").alias("base_ready"), F.collect_list(voice).alias("voices")
+    counts = segments.groupBy("book_id").agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "ready").alias("base_ready")
     )
+    heard = alt_ready_counts(segments, takes.filter(F.col("narrator").isNotNull()))
+    voices = heard.groupBy("book_id").agg(F.collect_list(F.struct("narrator", "n")).alias("voices"))
+    return counts.join(voices, "book_id", "left")
 
 
 def library_list(

@@ -392,3 +392,14 @@ def test_takes_pass_the_join_without_sorts(spark):
     assert {tuple(r) for r in counts.collect()} == {(7, "a", 3), (8, None, 1), (9, None, 1)}
     plan = counts._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "Sort" not in plan
+
+
+def test_voices_heard_without_arrays_of_takes(spark):
+    """Takes are counted, not collected; a segment counts once however many takes it has, also with none."""
+    segs = spark.createDataFrame([(1, 7, "ready"), (2, 7, "error"), (3, 8, "ready"), (4, 9, None)], "id long, book_id long, status string")
+    data = [(1, "a", "ready"), (1, "b", "ready"), (2, "a", "ready"), (3, None, "ready"), (4, "a", "error")]
+    heard = catalog._voices_heard(segs, spark.createDataFrame(data, "segment_id long, narrator string, status string"))
+    got = {(r.book_id, r.total, r.base_ready, tuple(sorted((v.narrator, v.n) for v in r.voices or ()))) for r in heard.collect()}
+    assert got == {(7, 2, 1, (("a", 2), ("b", 1))), (8, 1, 1, ()), (9, 1, 0, ())}
+    plan = heard._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list(narrator" not in plan and "ShuffledHashJoin" in plan
