@@ -5,8 +5,11 @@ article goes, as far as it is known, into the page's token stream. Streams of a
 finds the substrings of RUN tokens or more, and those on enough distinct pages of the host (copies are one page) cover
 their tokens: on the square root of the host's pages, three at least. On pages whose markup names no article, a block
 that is covered from end to end is boilerplate and goes; a block with anything of its own stays whole, so a quotation,
-a common phrase or a sentence that two pages share takes nothing away. Repetition never removes text inside of a marked
-article: copies and near copies of articles are common, and paragraphs that many articles share are theirs.
+a common phrase or a sentence that two pages share takes nothing away.
+Blocks of a marked article go where substrings on half of the host's distinct articles, five at least, cover them from
+end to end: lines that the host puts into its articles. Paragraphs that fewer share are theirs, and an article of which
+this would take more than half is a near copy of others and stays whole. Only blocks whose first RUN tokens begin a block
+on so many articles can be covered, so only these enter the suffix arrays.
 Large hosts are cut into shards of distinct pages with a suffix array each; the pages of a substring are summed over
 the shards.
 """
@@ -27,6 +30,7 @@ from corpuskit.llm.common import released, shuffle_parts, stage, table
 
 RUN = 6
 MIN_PAGES = 3
+MIN_ARTICLES = 5
 SHARD_TOKENS = 50_000
 
 RAW = "script|style|textarea|title|noscript|template|iframe|noframes|noembed|xmp|svg|math|object|canvas|audio|video|select"
@@ -160,13 +164,15 @@ def blocks(page: str) -> list[tuple[str, str]]:
     return out
 
 
-def read_page(page: str | None) -> tuple[str | None, list[str], list[bool], list[bool]]:
-    """(text, stream, kept, starts): the main text where the markup settles it, else None; the tokens outside of it;
-    for an unsettled page which of them may be kept, and which start a block."""
+def read_page(page: str | None) -> tuple[str | None, list[int], list[str], list[bool], list[bool]]:
+    """(text, sizes, stream, kept, starts): the text of the article that the markup names, else None, and the tokens of
+    each of its blocks; the tokens outside of it; for an unsettled page which of them may be kept, and which start a
+    block."""
     found = blocks(page or "")
     regions = {r for r, _ in found}
     best = next((r for r in ("article", "main", "hint") if r in regions), None)
-    text = " ".join(t for r, t in found if r == best) if best else None
+    main = [t for r, t in found if r == best] if best else []
+    text = " ".join(main) if best else None
     if not best and "open" not in regions:
         text = ""
     stream, kept, starts = [], [], []
@@ -176,7 +182,7 @@ def read_page(page: str | None) -> tuple[str | None, list[str], list[bool], list
             stream += tokens
             kept += [region == "open"] * len(tokens)
             starts += [True] + [False] * (len(tokens) - 1)
-    return text, stream, kept, starts
+    return text, [t.count(" ") + 1 for t in main], stream, kept, starts
 
 
 def host_of(url: str | None) -> str:
@@ -190,23 +196,40 @@ def _keys(host: str, page: str | None) -> tuple[int, int]:
     return tuple(xxhash.xxh64_intdigest(data, seed) - (1 << 63) for seed in (1, 2))
 
 
+def _cut(text: str, sizes: bytes) -> list[list[str]]:
+    """The tokens of each block of an article."""
+    ends = np.cumsum(np.frombuffer(sizes, np.int32)).tolist()
+    words = text.split(" ")
+    return [words[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def _head(words: list[str]) -> int:
+    return xxhash.xxh64_intdigest("\n".join(words[:RUN]).encode("utf-8", "surrogatepass"), 3) - (1 << 63)
+
+
 def _read(pages: DataFrame) -> DataFrame:
-    """Per page, in one parse: text where the markup settles it; else, or beside it, the key and stream of its host."""
+    """Per page, in one parse: text where the markup settles it, with the article's key, block sizes and heads of blocks;
+    else, or beside it, the key and stream of its host."""
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for page_id, url, page in zip(batch["page_id"], batch["url"], batch["html"], strict=True):
-                text, stream, kept, starts = read_page(page)
+                text, sizes, stream, kept, starts = read_page(page)
                 host = host_of(url)
                 mask = np.packbits([kept, starts], axis=1).tobytes() if text is None else None
                 joined = " ".join(stream) if stream else None
-                rows.append((page_id, url, text, host, *_keys(host, page), len(stream), joined, mask))
-            out = pd.DataFrame(rows, columns=["page_id", "url", "text", "host", "k1", "k2", "n", "stream", "kept"])
+                cuts = np.array(sizes, np.int32).tobytes() if sizes else None
+                article = (*_keys(host, text), cuts, list({_head(b) for b in _cut(text, cuts) if len(b) >= RUN})) if sizes else (None,) * 4
+                rows.append((page_id, url, text, host, *_keys(host, page), len(stream), joined, mask, *article))
+            out = pd.DataFrame(rows, columns=["page_id", "url", "text", "host", "k1", "k2", "n", "stream", "kept", "a1", "a2", "cuts", "heads"])
+            for k, name in ((9, "a1"), (10, "a2")):
+                out[name] = pd.array([r[k] for r in rows], "Int64")
             out["page_id"] = batch["page_id"].astype("Int64").to_numpy()
             yield out
 
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    schema = "page_id long, url string, text string, host string, k1 long, k2 long, n long, stream string, kept binary"
+    schema = ("page_id long, url string, text string, host string, k1 long, k2 long, n long, stream string, kept binary, "
+              "a1 long, a2 long, cuts binary, heads array<long>")
     return own.mapInPandas(parse, schema)
 
 
@@ -300,7 +323,12 @@ def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def covered(streams: DataFrame) -> DataFrame:
-    """k1, k2, gone: where in unsettled pages substrings start that are on enough pages of their host.
+    """k1, k2, gone: where in unsettled pages substrings start that are on enough pages of their host."""
+    return covered_on(streams, None)
+
+
+def covered_on(streams: DataFrame, least: DataFrame | None) -> DataFrame:
+    """As `covered`; how many pages are enough is the square root of the host's, or what ``least`` (host, need) says.
 
     ``streams``: host, k1, k2, n, stream, kept of distinct pages. Hosts are counted after partial counts and dealt in
     shards of SHARD_TOKENS tokens, so a host with a third of all pages is many tasks; of a substring each shard sends
@@ -308,9 +336,13 @@ def covered(streams: DataFrame) -> DataFrame:
     """
     parts = shuffle_parts(streams.sparkSession)
     size = streams.groupBy("host").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("pages"))
-    need = F.greatest(F.ceil(F.sqrt("pages")), F.lit(MIN_PAGES)).alias("need")
-    large = size.where((F.col("size") > SHARD_TOKENS) | (F.col("pages") > MIN_PAGES**2)).select(
-        F.col("host").alias("l_host"), F.ceil(F.col("size") / SHARD_TOKENS).alias("shards"), need)
+    shards = F.ceil(F.col("size") / SHARD_TOKENS).alias("shards")
+    if least is None:
+        need = F.greatest(F.ceil(F.sqrt("pages")), F.lit(MIN_PAGES)).alias("need")
+        large = size.where((F.col("size") > SHARD_TOKENS) | (F.col("pages") > MIN_PAGES**2))
+        large = large.select(F.col("host").alias("l_host"), shards, need)
+    else:
+        large = size.join(least, "host").select(F.col("host").alias("l_host"), shards, "need")
     dealt = streams.join(large, F.col("host") == F.col("l_host"), "left").drop("l_host").fillna(1, ["shards"])
     dealt = dealt.fillna(MIN_PAGES, ["need"]).withColumn("shard", F.pmod("k1", "shards").cast("int"))
     dealt = dealt.repartition(parts, "host", "shard").sortWithinPartitions("host", "shard")
@@ -344,6 +376,61 @@ def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"o1": batch["k1"], "o2": batch["k2"], "kept_text": texts})
 
 
+def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Streams of the blocks whose head is frequent; a token of its own ends each, so that no substring spans two."""
+    for batch in batches:
+        rows = []
+        for host, a1, a2, text, cuts, found in batch[["host", "a1", "a2", "text", "cuts", "found"]].itertuples(index=False):
+            heads, stream, picked = set(found), [], []
+            for i, block in enumerate(_cut(text, cuts)):
+                if len(block) >= RUN and _head(block) in heads:
+                    stream += [*block, f"\n{a1}.{a2}.{i}"]
+                    picked.append(i)
+            rows.append((host, a1, a2, len(stream), " ".join(stream), b"", text, cuts, np.array(picked, np.int32).tobytes()))
+        yield pd.DataFrame(rows, columns=["host", "k1", "k2", "n", "stream", "kept", "text", "cuts", "picked"])
+
+
+def _without_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Articles without their covered blocks, where these are no more than half of the tokens."""
+    for batch in batches:
+        rows = []
+        for a1, a2, n, text, cuts, picked, gone in batch.itertuples(index=False):
+            repeated = np.zeros(n, bool)
+            for part in gone:
+                for k in range(RUN):
+                    repeated[np.frombuffer(part, np.int64) + k] = True
+            blocks_, at, drop = _cut(text, cuts), 0, set()
+            for i in np.frombuffer(picked, np.int32).tolist():
+                if repeated[at : at + len(blocks_[i])].all():
+                    drop.add(i)
+                at += len(blocks_[i]) + 1
+            if drop and 2 * sum(len(blocks_[i]) for i in drop) <= sum(map(len, blocks_)):
+                rows.append((a1, a2, " ".join(" ".join(b) for i, b in enumerate(blocks_) if i not in drop)))
+        yield pd.DataFrame(rows, columns=["o1", "o2", "own_text"])
+
+
+def without_lines(read: DataFrame) -> DataFrame:
+    """o1, o2, own_text: the marked articles that hold lines of their host, without them.
+
+    Copies of an article on its host are one article. Heads of blocks are counted after partial counts; texts move only
+    for articles with a frequent head.
+    """
+    articles = read.where("a1 IS NOT NULL")
+    heads = stage(articles.select("host", "a1", "a2", "heads").dropDuplicates(["a1", "a2"]), "heads")
+    half = F.ceil(F.count(F.lit(1)) / 2)
+    least = heads.groupBy("host").agg(F.greatest(half, F.lit(MIN_ARTICLES)).alias("need"))
+    each = heads.select("host", "a1", "a2", F.explode("heads").alias("head"))
+    often = each.groupBy("host", "head").agg(F.count(F.lit(1)).alias("on")).where(F.col("on") >= MIN_ARTICLES)
+    often = often.join(least, "host").where(F.col("on") >= F.col("need")).select("host", "head")
+    found = each.join(often, ["host", "head"]).groupBy("a1", "a2").agg(F.collect_set("head").alias("found"))
+    own = articles.select("host", "a1", "a2", "text", "cuts").join(stage(found, "found"), ["a1", "a2"])
+    schema = "host string, k1 long, k2 long, n long, stream string, kept binary, text string, cuts binary, picked binary"
+    lines = stage(own.dropDuplicates(["a1", "a2"]).mapInPandas(_lines, schema), "lines")
+    gone = covered_on(lines.select("host", "k1", "k2", "n", "stream", "kept"), least)
+    cut = lines.join(gone, ["k1", "k2"]).select("k1", "k2", "n", "text", "cuts", "picked", "gone")
+    return stage(cut.mapInPandas(_without_lines, "o1 long, o2 long, own_text string"), "own")
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row.
 
@@ -364,7 +451,9 @@ def main_text(pages: DataFrame) -> DataFrame:
     rest = read.where("text IS NULL").select("page_id", "url", "k1", "k2")
     rest = rest.join(unsettled, (F.col("k1") == F.col("o1")) & (F.col("k2") == F.col("o2")), "left")
     rest = rest.select("page_id", "url", F.coalesce("kept_text", F.lit("")).alias("text"))
-    every = read.where("text IS NOT NULL").select("page_id", "url", "text").union(rest)
+    settled = read.where("text IS NOT NULL").select("page_id", "url", "text", "a1", "a2")
+    settled = settled.join(without_lines(read), (F.col("a1") == F.col("o1")) & (F.col("a2") == F.col("o2")), "left")
+    every = settled.select("page_id", "url", F.coalesce("own_text", "text").alias("text")).union(rest)
     return every.withColumn("n_chars", F.length("text").cast("long"))
 
 

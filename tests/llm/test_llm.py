@@ -144,6 +144,24 @@ def page(i, body):
     return i, f"http://Host.example:80/{i}", body
 
 
+@pytest.mark.parametrize("tokens", [50_000, 60])
+def test_lines_of_a_host_inside_of_marked_articles(spark, monkeypatch, tokens):
+    """A line on half of the host's articles goes; a rarer one, near copies of one article, and a line that goes on stay."""
+    monkeypatch.setattr(html_text, "SHARD_TOKENS", tokens)
+    line = "Subscribe to our newsletter for the best stories of the week"
+    rare = "The minister said on Monday that the new bridge is late"
+    own = [" ".join(f"w{i}x{k}" for k in range(30)) for i in range(12)]
+    pages = {i: ([own[i]] + [line] * (i < 7) + [rare] * (i > 8) + [line + f" or {i}"] * (i == 8), "http://a/") for i in range(12)}
+    body = ["An article that many pages of its host hold in nearly the same words", "It has a second paragraph which is never changed at all"]
+    pages |= {20 + i: ([*body, f"Copy {i}"], "http://b/") for i in range(9)}
+    rows = [(i, url, "<nav>Home</nav><article>" + "".join(f"<p>{b}</p>" for b in bs) + "</article>") for i, (bs, url) in pages.items()]
+    rows += [(100 + k, "http://c/", f"<article><p>{own[0]}</p><p>{line}</p></article>") for k in range(9)]  # copies: one article
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.main_text(df).collect()}
+    want = {i: " ".join(b for b in bs if b != line) for i, (bs, _) in pages.items()}
+    assert got == want | {100 + k: f"{own[0]} {line}" for k in range(9)}
+
+
 def test_main_text(spark):
     shell = "<html><head><title>t</title><style>p{}</style></head><body><nav>Home Shop</nav>%s<footer>by us</footer>"
     cases = {
